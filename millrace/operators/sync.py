@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.plans.shapes import first_per_key, null_safe
+from millrace.plans.shapes import first_per_key, same_key, under_keys
 
 # Columns that do not count as content.
 VOLATILE = ("updated_at", "content_hash", "scraped_at", "embedding", "vec_rowid", "created_at")
@@ -57,9 +57,8 @@ def count_backfill(df: DataFrame) -> DataFrame:
 
 
 def _changed(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    known = target.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("content_hash").alias("_h"), F.lit(True).alias("_there"))
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    manifest = source.select(*keys, "content_hash").join(known, on, "left")
+    known = under_keys(target.select(*keys, F.col("content_hash").alias("_h"), F.lit(True).alias("_there")), keys)
+    manifest = source.select(*keys, "content_hash").join(known, same_key(keys), "left")
     moved = manifest.filter(F.col("_there").isNull() | ~F.col("content_hash").eqNullSafe(F.col("_h")))
     return moved.withColumn(
         "reason", F.when(F.col("_there").isNull(), "missing").otherwise("different")).select(*keys, "reason")
@@ -77,7 +76,7 @@ def to_pull(local: DataFrame, cloud: DataFrame, keys: Sequence[str]) -> DataFram
 
 def payload(rows: DataFrame, moved: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Whole rows of the keys that move."""
-    return rows.join(moved.select(*keys), null_safe(rows, moved, keys), "left_semi")
+    return rows.join(under_keys(moved.select(*keys), keys), same_key(keys), "left_semi")
 
 
 def classify(local: DataFrame, cloud: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -184,16 +183,20 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], newest: str
     """Upsert ``source`` into ``target``: one row per key, newest source row, columns in ``keep`` stay as they were."""
     order = [F.col(newest).desc_nulls_last(), *[F.col(c).desc() for c in tie]]
     fresh = first_per_key(source, list(keys), order)
-    on = null_safe(target, fresh, keys)
+    shared = [c for c in target.columns if c in fresh.columns and c not in keys]
+    fresh = under_keys(
+        fresh.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in shared], F.lit(True).alias("_new")), keys)
     columns = []
     for name in target.columns:
-        if name not in fresh.columns:
-            columns.append(target[name])
-        elif name in keys or name in keep:
-            columns.append(F.coalesce(target[name], fresh[name]).alias(name))
+        if name in keys:
+            columns.append(F.coalesce(name, f"_k_{name}").alias(name))
+        elif name not in shared:
+            columns.append(F.col(name))
+        elif name in keep:
+            columns.append(F.coalesce(name, f"_s_{name}").alias(name))
         else:
-            columns.append(F.when(F.col("_new"), fresh[name]).otherwise(target[name]).alias(name))
-    return target.join(fresh.withColumn("_new", F.lit(True)), on, "full").select(*columns)
+            columns.append(F.when(F.col("_new"), F.col(f"_s_{name}")).otherwise(F.col(name)).alias(name))
+    return target.join(fresh, same_key(keys), "full").select(*columns)
 
 
 def apply_sync(local: DataFrame, cloud: DataFrame, keys: Sequence[str], strategy: str) -> DataFrame:
@@ -204,11 +207,9 @@ def apply_sync(local: DataFrame, cloud: DataFrame, keys: Sequence[str], strategy
     keeps the local row and is marked ``manual``.
     """
     value_cols = [c for c in local.columns if c not in keys]
-    cl = cloud.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_c_{c}") for c in value_cols], F.lit(True).alias("_in_cloud"))
-    op = local.withColumn("_in_op", F.lit(True))
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    both = op.join(cl, on, "full")
+    cl = under_keys(
+        cloud.select(*keys, *[F.col(c).alias(f"_c_{c}") for c in value_cols], F.lit(True).alias("_in_cloud")), keys)
+    both = local.withColumn("_in_op", F.lit(True)).join(cl, same_key(keys), "full")
     h, ch = F.coalesce("content_hash", F.lit("")), F.coalesce("_c_content_hash", F.lit(""))
     same_time = F.col("updated_at").eqNullSafe(F.col("_c_updated_at"))
     hashed = (h != "") & (ch != "")
@@ -390,6 +391,6 @@ def health(ledger: DataFrame, letters: DataFrame) -> DataFrame:
 
 def delete_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``keys_df``."""
-    return df.join(keys_df.select(*keys).distinct(), null_safe(df, keys_df, keys), "left_anti")
+    return df.join(under_keys(keys_df.select(*keys).distinct(), keys), same_key(keys), "left_anti")
 
 

@@ -49,9 +49,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_per_key(df, keys, order, 1)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of all key columns."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def under_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with its key columns renamed, so that it can meet a frame of the same origin."""
+    return df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+
+
+def same_key(keys: Sequence[str]) -> Column:
+    """Null-safe equality of plain keys with those renamed by ``under_keys``."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
 
 
 def budget_prefix(
@@ -106,7 +111,6 @@ def budget_prefix(
         F.lit(True).alias("_has_cut"),
         *[F.col(c).alias(f"_cut_{c}") for c in order_cols],
     )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     before = F.lit(False)
     tied = F.lit(True)
     for c, desc in order:
@@ -114,7 +118,7 @@ def budget_prefix(
         before = before | (tied & ((here > there) if desc else (here < there)))
         tied = tied & (here == there)
     free_kept = (
-        free.join(cut, on, "left")
+        free.join(cut, same_key(keys), "left")
         .filter(F.col("_has_cut").isNull() | before)
         .withColumn(running, F.lit(None).cast("long"))
         .select(*kept.columns)

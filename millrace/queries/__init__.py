@@ -1,4 +1,4 @@
 """Registered queries by family; importing this package registers them all."""
 
-from millrace.queries import logs_jobs, sync  # noqa: F401
+from millrace.queries import facts, logs_jobs, notes, sync  # noqa: F401
 from millrace.queries.registry import CHECKS, QUERIES  # noqa: F401
