@@ -209,3 +209,29 @@ def sliding_count(
         .filter(F.col("_to") == F.col("_b"))
         .select(*by, F.col("_t").alias(time_us), F.col("_n").alias("at_time"), "in_window")
     )
+
+
+def islands(df: DataFrame, keys: Sequence[str], number: str, *, block: int = 4096) -> DataFrame:
+    """Runs of consecutive whole numbers of each key, as first, last and length.
+
+    Numbers are looked at in blocks of ``block``; only runs that touch the edge
+    of a block, two for each block at most, meet in a second step.
+    """
+    rows = df.select(*keys, F.col(number).cast("long").alias("_n")).distinct()
+    rows = rows.withColumn("_b", F.floor(F.col("_n") / block).cast("long"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_n")
+    runs = (
+        rows.withColumn("_g", F.col("_n") - F.row_number().over(inside))
+        .groupBy(*keys, "_b", "_g").agg(F.min("_n").alias("first"), F.max("_n").alias("last"))
+    )
+    edge = (F.pmod("first", F.lit(block)) == 0) | (F.pmod("last", F.lit(block)) == block - 1)
+    across = Window.partitionBy(*keys).orderBy("first")
+    joined = (
+        runs.filter(edge)
+        .withColumn("_new", F.when(F.lag("last").over(across) == F.col("first") - 1, 0).otherwise(1))
+        .withColumn("_run", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .drop("_run")
+    )
+    whole = runs.filter(~edge).select(*keys, "first", "last").unionByName(joined)
+    return whole.withColumn("length", F.col("last") - F.col("first") + 1)
