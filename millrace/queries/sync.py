@@ -173,11 +173,11 @@ def sync_pending(v):
 
 
 @query("sync_ledger", SIDES, f"""
-WITH {BOTH.strip()} SELECT md5('orders|push|2024-03-01 00:00:00') AS operation_id, 'orders' AS table_name, 'push' AS direction,
+WITH {BOTH.strip()} SELECT md5('orders|LOCAL_TO_CLOUD|2024-03-01 00:00:00') AS operation_id, 'orders' AS table_name, 'LOCAL_TO_CLOUD' AS direction,
   CAST(count(*) AS BIGINT) AS row_count, 'COMPLETED' AS state FROM k WHERE lid IS NOT NULL AND (cid IS NULL OR lh <> ch)""")
 def sync_ledger(v):
     moved = S.to_push(v("local_v"), v("cloud_v"), ["id"])
-    return S.ledger_row(moved, "orders", "push", "2024-03-01 00:00:00", "2024-03-01 00:05:00").select(
+    return S.ledger_row(moved, "orders", "LOCAL_TO_CLOUD", "2024-03-01 00:00:00", "2024-03-01 00:05:00").select(
         "operation_id", "table_name", "direction", "row_count", "state")
 
 
