@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.shapes import budget_prefix, first_per_key, small_side
+from millrace.plans.shapes import budget_prefix, first_per_key
 
 RESERVE = 1000
 
@@ -20,7 +20,7 @@ def effective_cost(messages: DataFrame) -> DataFrame:
     stale = F.col("has_screenshot") & (F.col("id") < F.col("_newest"))
     attached = F.when(stale, 0).otherwise(F.col("attachment_char_count"))
     return (
-        messages.join(small_side(newest), "session_id", "left")
+        messages.join(newest, "session_id", "left")
         .withColumn("cost", (F.col("char_count") + attached).cast("long"))
         .drop("_newest")
     )

@@ -53,7 +53,7 @@ def quarterly_only(facts: DataFrame, max_days: int = MAX_QUARTER_DAYS) -> DataFr
 
 def in_blueprint(facts: DataFrame, blueprint: DataFrame) -> DataFrame:
     """Facts of the statement's concepts that are not headings."""
-    return facts.join(small_side(blueprint.filter("NOT is_abstract").select("concept")), "concept", "left_semi")
+    return facts.join(blueprint.filter("NOT is_abstract").select("concept"), "concept", "left_semi")
 
 
 def derive_q4(facts: DataFrame, existing: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def derive_q4(facts: DataFrame, existing: DataFrame) -> DataFrame:
 
 def enrich(facts: DataFrame, blueprint: DataFrame) -> DataFrame:
     """Label, depth, total flag and order from the blueprint, with defaults for other concepts."""
-    bp = small_side(blueprint.select("concept", "label", "depth", "is_total", "position"))
+    bp = blueprint.select("concept", "label", "depth", "is_total", "position")
     return (
         facts.join(bp, "concept", "left")
         .withColumn("label", F.coalesce("label", short_concept(F.col("concept"))))
@@ -109,6 +109,7 @@ def newest_quarters(facts: DataFrame, n: int, by: Sequence[str] = ("ticker",)) -
 
 def income(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFrame:
     """Income statement: single quarters, with fourth quarters derived."""
+    blueprint = small_side(blueprint)
     listed = in_blueprint(facts, blueprint)
     single = quarterly_only(listed.filter(F.col("fiscal_period").isin(*QUARTERS) & (F.col("period_type") == "duration")))
     single = first_per_key(
@@ -121,6 +122,7 @@ def income(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFrame
 
 def balance(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFrame:
     """Balance sheet: instants; where a date is given twice, the year-end fact comes first."""
+    blueprint = small_side(blueprint)
     listed = in_blueprint(facts, blueprint).filter(
         F.col("fiscal_period").isin(*QUARTERS, "FY") & (F.col("period_type") == "instant"))
     one = first_per_key(listed, ["ticker", "concept", "period_end"], [F.col("fiscal_period").asc(), F.col("fiscal_year").desc()])
@@ -134,6 +136,7 @@ def cashflow(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFra
 
     A quarter appears only if the sum before it, with the same start, is there.
     """
+    blueprint = small_side(blueprint)
     periods = ("Q1", "Q2", "Q3", "FY")
     listed = in_blueprint(facts, blueprint).filter(
         F.col("fiscal_period").isin(*QUARTERS, "FY") & (F.col("period_type") == "duration"))

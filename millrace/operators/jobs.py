@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.shapes import first_per_key, small_side, top_per_key
+from millrace.plans.shapes import first_per_key, top_per_key
 
 META = "step string, ulid string, retry long, timestamp string, model string, error string, is_top10 boolean"
 CLOSED = ("COMPLETED", "ABANDONED", "SKIPPED")
@@ -121,7 +121,7 @@ def heal(jobs: DataFrame, items: DataFrame, now: Column, days: int = 7) -> tuple
         "new_status",
         F.when(stale, "FAILED").when(touched, "INTERRUPTED").otherwise(F.col("status")),
     )
-    kept = items.join(small_side(jobs.filter(stale).select("job_id")), "job_id", "left_anti")
+    kept = items.join(jobs.filter(stale).select("job_id"), "job_id", "left_anti")
     return healed, kept
 
 

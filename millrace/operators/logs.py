@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.logs import contains_text, level_at_least, under_tag
-from millrace.plans.shapes import budget_prefix, small_side, top_per_key
+from millrace.plans.shapes import budget_prefix, top_per_key
 
 MAX_ROWS = 5000
 DEFAULT_ROWS = 50
@@ -143,7 +143,7 @@ def tail_budget(df: DataFrame, max_chars: int, line: Column | None = None) -> Da
         lined, ["job_id"], [("log_ts", True), ("id", True)], "_cost", max_chars + 1, keep_first=True
     )
     # A line needs its leading newline inside the tail, unless nothing is older.
-    size = small_side(lined.groupBy("job_id").agg(F.sum("_cost").alias("_all")))
+    size = lined.groupBy("job_id").agg(F.sum("_cost").alias("_all"))
     fits = (F.col("running_cost") <= max_chars) | (F.col("running_cost") == F.col("_all")) | (
         F.col("running_cost") == F.col("_cost"))
     return (

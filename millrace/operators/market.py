@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.finance import clean_value, is_close, parse_date, rescale
-from millrace.plans.shapes import asof_join, first_per_key, small_side
+from millrace.plans.shapes import asof_join, first_per_key
 
 MOVING_ROWS = 756
 STALE_DAYS = 45
@@ -64,7 +64,7 @@ def new_prices(old: DataFrame, feed: DataFrame, overlap_days: int = 0) -> DataFr
     """
     high = old.groupBy("ticker").agg(F.max("price_date").alias("_high"))
     return (
-        feed.join(small_side(high), "ticker", "left")
+        feed.join(high, "ticker", "left")
         .filter(F.col("_high").isNull() | (F.col("price_date") > F.date_sub("_high", overlap_days)))
         .drop("_high")
     )
@@ -121,7 +121,7 @@ def anchor_scale(ref: DataFrame, raw: DataFrame, anchors: dict[str, str] | None
     hit = both.withColumn("factor", factor).filter("factor IS NOT NULL")
     first = first_per_key(hit, ["ticker"], [F.col("place").asc()]).select("ticker", "factor")
     return (
-        ref.join(small_side(first), "ticker", "left")
+        ref.join(first, "ticker", "left")
         .withColumn("factor", F.coalesce("factor", F.lit(1.0)))
         .withColumn("value", F.col("value") / F.col("factor"))
     )

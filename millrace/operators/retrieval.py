@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.vectors import vector_fault
-from millrace.plans.shapes import SMALL_SIDE_ROWS, islands, small_side, top_per_key
+from millrace.plans.shapes import SMALL_SIDE_ROWS, islands, top_per_key
 
 # Ranking constants and search defaults.
 BM25_K1 = 1.2
@@ -150,28 +150,38 @@ def clean_query(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
+_WORD_GAP = r"[^\p{L}\p{N}]+"
+
+
 def tokens(*texts: Column) -> Column:
     """Lower-case words of the texts, in order."""
-    words = F.split(F.lower(F.concat_ws(" ", *texts)), r"[^\p{L}\p{N}]+")
-    return F.filter(words, lambda w: w != "")
+    return F.filter(F.split(F.lower(F.concat_ws(" ", *texts)), _WORD_GAP), lambda w: w != "")
 
 
-def _tokenized(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return docs.select("id", tokens(*[F.col(c) for c in columns]).alias("_words"))
+def _split_docs(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Documents as pieces between gaps, with the number of words.
+
+    Only the first and the last piece can be empty, so the words are counted
+    without walking the array; empty pieces go after the explode.  That explode
+    is an outer one: for a plain one Spark adds a filter on the size of the array,
+    which would cut every text twice.
+    """
+    pieces = F.split(F.lower(F.concat_ws(" ", *[F.col(c) for c in columns])), _WORD_GAP)
+    split = docs.select("id", pieces.alias("_p"))
+    blank = lambda at: (F.element_at("_p", at) == "").cast("int")
+    return split.select("id", "_p", F.greatest(F.size("_p") - blank(1) - blank(-1), F.lit(0)).alias("length"))
 
 
 def postings(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The inverted index: token, id, tf, and the length of the document."""
-    words = _tokenized(docs, columns)
-    return words.select("id", F.size("_words").alias("length"), F.explode("_words").alias("token")).groupBy(
-        "token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    words = _split_docs(docs, columns).select("id", "length", F.explode_outer("_p").alias("token")).filter("token <> ''")
+    return words.groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index_stats(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Documents and their mean length, as one row."""
-    sizes = _tokenized(docs, columns).select(F.size("_words").alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_words")).select(
-        "n_docs", (F.col("n_words") / F.col("n_docs")).alias("mean_length"))
+def index_stats(index: DataFrame) -> DataFrame:
+    """Documents of an index and their mean length, as one row."""
+    sizes = index.groupBy("id").agg(F.max("length").alias("length"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -181,41 +191,52 @@ def query_terms(queries: DataFrame) -> DataFrame:
         "query_id", F.size("_w").alias("n_terms"), F.explode("_w").alias("token"))
 
 
-def bm25(docs: DataFrame, columns: Sequence[str], queries: DataFrame, k: int, *, allowed: DataFrame | None = None,
-         index: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, columns: Sequence[str], queries: DataFrame, k: int, *, allowed: DataFrame | None = None) -> DataFrame:
     """The ``k`` best documents that hold all words of a query, by BM25.
 
-    Only postings of words that some query asks for are counted and shuffled.  An
-    ``index`` made by ``postings`` is used in place of the texts if given;
-    statistics cover all documents, ``allowed`` (id) limits the answers only.
+    Texts are cut into words once.  Only words that some query asks for are
+    counted and shuffled, with one empty word for each document, from which the
+    number and mean length of all documents follow.  ``allowed`` (id) limits the
+    answers, not the statistics.
     """
     terms = query_terms(queries)
-    vocabulary = terms.select("token").distinct()
-    small = vocabulary.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
+    # The words and weights of all queries have no more rows than this frame.
+    small = terms.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
     hint = F.broadcast if small else (lambda df: df)
+    wanted = terms.select("token").union(queries.sparkSession.createDataFrame([("",)], "token string")).distinct()
 
-    if index is None:
-        words = _tokenized(docs, columns).select("id", F.size("_words").alias("length"), F.explode("_words").alias("token"))
-        posts = words.join(hint(vocabulary), "token", "left_semi").groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    else:
-        posts = index.join(hint(vocabulary), "token", "left_semi")
-    stats = index_stats(docs, columns).select(F.struct("n_docs", "mean_length")).scalar()
-
-    spread = posts.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    idf = F.log((stats["n_docs"] - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weighted = terms.join(spread, "token").withColumn("_idf", F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf))
-    size_part = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / stats["mean_length"])
+    pieces = F.explode_outer(F.concat(F.array(F.lit("")), F.col("_p"))).alias("token")
+    posts = (
+        _split_docs(docs, columns).select("id", "length", pieces)
+        .join(hint(wanted), "token", "left_semi")
+        .groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    # Every use of the postings reads tf and length, so that Spark shuffles them once.
+    seen = F.col("tf") > 0
+    spread = posts.groupBy("token").agg(F.count_if(seen).alias("_df"), F.avg("length").alias("_mean"))
+    every = F.col("token") == ""
+    totals = spread.agg(F.struct(F.max(F.when(every, F.col("_df"))).alias("n"), F.max(F.when(every, F.col("_mean"))).alias("mean")))
+    stats = totals.scalar()
+    idf = F.log((stats["n"] - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weighted = terms.join(spread, "token").select(
+        "query_id", "token", "n_terms", "_df", F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("_idf"), stats["mean"].alias("_mean"))
+
+    # A document must hold every word, so it is looked for by the rarest one only.
+    anchors = weighted.groupBy("query_id", "n_terms").agg(
+        F.count(F.lit(1)).alias("_known"), F.min_by("token", F.struct("_df", "token")).alias("token"))
+    anchors = anchors.filter("_known = n_terms").select("query_id", "token")
+    candidates = posts.filter(seen).join(hint(anchors), "token").select("query_id", "id", "length")
+    if allowed is not None:
+        candidates = candidates.join(allowed.select("id"), "id", "left_semi")
+    pairs = candidates.join(hint(weighted), "query_id")
+    size_part = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("_mean"))
     gain = F.col("_idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + size_part)
-    # Terms of all queries are few if the vocabulary is, but are counted on their own.
-    per_term = weighted.select("query_id", "token", "n_terms", "_idf")
     hits = (
-        posts.join(small_side(per_term), "token")
+        pairs.join(posts, ["token", "id", "length"])
         .groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("_hits"), F.sum(gain).alias("_score"))
         .filter(F.col("_hits") == F.col("n_terms"))
         .select("query_id", "id", F.round("_score", DIGITS).alias("score"))
     )
-    if allowed is not None:
-        hits = hits.join(allowed.select("id"), "id", "left_semi")
     return top_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("id").asc()], k, "rank")
 
 
@@ -238,7 +259,7 @@ def rrf(vector_hits: DataFrame, keyword_hits: DataFrame, w_vec: float = VECTOR_W
 
 def hybrid_search(docs: DataFrame, columns: Sequence[str], vectors: DataFrame, queries: DataFrame, *,
                   allowed: DataFrame | None = None, limit: int = 5, w_vec: float = VECTOR_WEIGHT,
-                  w_kw: float = KEYWORD_WEIGHT, index: DataFrame | None = None) -> DataFrame:
+                  w_kw: float = KEYWORD_WEIGHT) -> DataFrame:
     """Vector and keyword search, three times ``limit`` from each, fused by rank.
 
     ``queries`` have query_id, query_text and query_vec; ``vectors`` id and vec;
@@ -247,7 +268,7 @@ def hybrid_search(docs: DataFrame, columns: Sequence[str], vectors: DataFrame, q
     limit = min(limit, MAX_RESULTS)
     found = vectors if allowed is None else vectors.join(allowed.select("id"), "id", "left_semi")
     near = knn(found, queries, OVERFETCH * limit)
-    words = bm25(docs, columns, queries, OVERFETCH * limit, allowed=allowed, index=index)
+    words = bm25(docs, columns, queries, OVERFETCH * limit, allowed=allowed)
     return rrf(near, words, w_vec, w_kw, limit=limit)
 
 
