@@ -167,8 +167,8 @@ def _split_docs(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     which would cut every text twice.
     """
     pieces = F.split(F.lower(F.concat_ws(" ", *[F.col(c) for c in columns])), _WORD_GAP)
-    split = docs.select("id", pieces.alias("_p"))
-    blank = lambda at: (F.element_at("_p", at) == "").cast("int")
+    split = docs.filter("id IS NOT NULL").select("id", pieces.alias("_p"))
+    blank = lambda at: F.coalesce((F.element_at("_p", at) == "").cast("int"), F.lit(0))
     return split.select("id", "_p", F.greatest(F.size("_p") - blank(1) - blank(-1), F.lit(0)).alias("length"))
 
 
