@@ -106,9 +106,9 @@ def batch_assign(v):
 # For each batch: bring in the first article outside the top ten at place 0, then trade places 0 and 1.
 @query("batch_swap", ["details_v"], """
 WITH f AS (SELECT batch_id, min(article_id) AS new FROM details_v WHERE NOT is_top10 GROUP BY 1),
-t AS (SELECT d.*, f.new FROM details_v d JOIN f USING (batch_id))
-SELECT detail_id, batch_id, article_id, (is_top10 AND top10_rank <> 0) OR article_id = new AS is_top10,
-  CASE WHEN article_id = new THEN 1 WHEN top10_rank = 0 THEN -1 WHEN top10_rank = 1 THEN 0 ELSE coalesce(top10_rank, -1) END AS top10_rank FROM t""")
+t AS (SELECT d.*, f.new FROM details_v d LEFT JOIN f USING (batch_id))
+SELECT detail_id, batch_id, article_id, CASE WHEN new IS NULL THEN is_top10 ELSE (is_top10 AND top10_rank <> 0) OR article_id = new END AS is_top10,
+  CASE WHEN new IS NULL THEN coalesce(top10_rank, -1) WHEN article_id = new THEN 1 WHEN top10_rank = 0 THEN -1 WHEN top10_rank = 1 THEN 0 ELSE coalesce(top10_rank, -1) END AS top10_rank FROM t""")
 def batch_swap(v):
     d = v("details_v")
     new = d.filter("NOT is_top10").groupBy("batch_id").agg(F.min("article_id").alias("target_article"))
