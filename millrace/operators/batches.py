@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize_url, strip_query
 from millrace.operators.jobs import with_keys
 from millrace.operators.sync import merge
-from millrace.plans.shapes import budget_prefix, first_per_key, top_per_key
+from millrace.plans.shapes import budget_prefix, first_per_key
 
 # Statuses that are still to publish, and sizes of curation.
 OPEN_STATUSES = ("PENDING", "FAILED", "TRANSLATING", "PUBLISHED_BRIEFING")
@@ -190,25 +190,25 @@ def pack(df: DataFrame, budget: int, key: str = "batch_id", ident: str = "id") -
     sized = df.withColumn("_len", F.length(F.coalesce("conclusion", F.lit("")))).withColumn(
         "_title", F.coalesce("title", F.lit(""))).withColumn("size", item_size(ident))
     packed = budget_prefix(
-        sized, [key], [("_len", True), ("_title", False), (ident, False)], "size", budget, keep_first=True)
-    counts = packed.groupBy(key).agg(F.least(F.lit(TOP), F.count(F.lit(1))).cast("long").alias("target"))
-    return packed.join(counts, key).drop("_title")
+        sized, [key], [("_len", True), ("_title", False), (ident, False)], "size", budget, keep_first=True, positive=True)
+    # What is packed of a batch is bounded by the budget.
+    count = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return packed.withColumn("target", F.least(F.lit(TOP), count).cast("long"))
 
 
 def accept_ranking(ranked: DataFrame, packed: DataFrame, key: str = "batch_id", ident: str = "id") -> DataFrame:
     """The ranked ids (key, id, position) of each batch if, known and distinct, they number the target; else the first packed."""
-    known = ranked.join(packed.select(key, ident), [key, ident], "left_semi")
-    firsts = known.groupBy(key, ident).agg(F.min("position").alias("_at"))
-    counts = firsts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    targets = packed.groupBy(key).agg(F.max("target").alias("_want"))
-    verdict = targets.join(counts, key, "left").select(
-        key, "_want", (F.coalesce("_n", F.lit(0)) == F.col("_want")).alias("accepted"))
-    chosen = top_per_key(firsts.join(verdict.filter("accepted"), key), [key], [F.col("_at").asc(), F.col(ident).asc()], TOP, "choice")
-    fallback = top_per_key(
-        packed.join(verdict.filter("NOT accepted"), key), [key],
-        [F.col("_len").desc(), F.col("title").asc(), F.col(ident).asc()], TOP, "choice").filter(F.col("choice") <= F.col("_want"))
-    cols = [key, ident, "choice", "accepted"]
-    return chosen.select(*cols).unionByName(fallback.select(*cols))
+    firsts = ranked.groupBy(key, ident).agg(F.min("position").alias("_at"))
+    whole = Window.partitionBy(key)
+    order = whole.orderBy(
+        F.when(F.col("accepted"), F.col("_at")).asc_nulls_last(), F.col("_len").desc(), F.col("_title").asc(), F.col(ident).asc())
+    return (
+        packed.join(firsts, [key, ident], "left")
+        .withColumn("accepted", F.count("_at").over(whole) == F.col("target"))
+        .withColumn("choice", F.row_number().over(order).cast("long"))
+        .filter(F.when(F.col("accepted"), F.col("_at").isNotNull()).otherwise(F.col("choice") <= F.col("target")))
+        .select(key, ident, "choice", "accepted")
+    )
 
 
 def completed_articles(articles: DataFrame, items: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def tail_budget(df: DataFrame, max_chars: int, line: Column | None = None) -> Da
         line = F.concat(F.col("log_ts").cast("string"), F.lit(" "), "level", F.lit(" "), "tag", F.lit(": "), "message")
     lined = df.withColumn("line", line).withColumn("_cost", (F.length("line") + 1).cast("long"))
     kept = budget_prefix(
-        lined, ["job_id"], [("log_ts", True), ("id", True)], "_cost", max_chars + 1, keep_first=True
+        lined, ["job_id"], [("log_ts", True), ("id", True)], "_cost", max_chars + 1, keep_first=True, positive=True
     )
     # A line needs its leading newline inside the tail, unless nothing is older.
     size = lined.groupBy("job_id").agg(F.sum("_cost").alias("_all"))

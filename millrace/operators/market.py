@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.finance import clean_value, is_close, parse_date, rescale
-from millrace.plans.shapes import asof_join, first_per_key
+from millrace.plans.shapes import asof_join, first_per_key, top_per_key
 
 MOVING_ROWS = 756
 STALE_DAYS = 45
@@ -130,12 +130,14 @@ def anchor_scale(ref: DataFrame, raw: DataFrame, anchors: dict[str, str] | None
 def align_dates(wanted: DataFrame, known: DataFrame, by: str = "ticker") -> DataFrame:
     """Give each wanted date (``date``, in the order of ``position``) a known date of the same month, else the next, else the one before.
 
-    A known date is given once.  Dates are first made one per month, so a ticker
-    has no more of them than there are months and positions.
+    A known date is given once.  Known dates are first made one per month.  A
+    wanted date has three months to look in, so only its first three places can be
+    answered; with that, a ticker's lists are bounded by the calendar.
     """
     month = lambda c: F.date_format(c, "yyyy-MM")
     months = known.groupBy(by, month("date").alias("m")).agg(F.max("date").alias("d"))
     have = months.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("m", "d"))).alias("_have"))
+    wanted = top_per_key(wanted.distinct(), [by, "date"], [F.col("position").asc()], 3)
     asks = wanted.groupBy(by).agg(F.array_sort(F.collect_set(F.struct("position", "date"))).alias("_asks"))
     start = F.array().cast("array<struct<position:bigint,date:date,aligned:date>>")
 

@@ -84,12 +84,16 @@ def concept_catalog(details: DataFrame, key: Sequence[str] = ("ticker", "accessi
     """
     group = [*key, "concept", "dimension_member_label"]
     shown = details.filter(~F.col("abstract") & (F.col("value") != ""))
-    ends = shown.groupBy(*group).agg(
-        F.countDistinct("period_end_date").alias("period_count"),
-        F.min("period_end_date").alias("earliest_period"), F.max("period_end_date").alias("latest_period"))
-    newest = first_per_key(shown, group, [F.col("period_end_date").desc(), F.col("detail_id").desc()]).select(
-        *group, "label", "dimension_axis", short_number(F.col("value")).alias("sample_value"))
-    whole = ends.join(newest, group)
+    # One row per period first: its last entry.  Periods are then few, and distinct.
+    entry = F.struct("detail_id", "label", "dimension_axis", "value")
+    periods = shown.groupBy(*group, "period_end_date").agg(F.max(entry).alias("_e"))
+    whole = periods.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("period_count"), F.min("period_end_date").alias("earliest_period"),
+        F.max(F.struct("period_end_date", "_e")).alias("_last"),
+    ).select(
+        *group, "period_count", "earliest_period", F.col("_last.period_end_date").alias("latest_period"),
+        F.col("_last._e.label").alias("label"), F.col("_last._e.dimension_axis").alias("dimension_axis"),
+        short_number(F.col("_last._e.value")).alias("sample_value"))
     if n is None:
         return whole
     return top_per_key(whole, list(key), [F.col("concept").asc(), F.col("dimension_member_label").asc()], n)

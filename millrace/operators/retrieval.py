@@ -178,10 +178,19 @@ def postings(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return words.groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index_stats(index: DataFrame) -> DataFrame:
-    """Documents of an index and their mean length, as one row."""
-    sizes = index.groupBy("id").agg(F.max("length").alias("length"))
-    return sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+def _pieces(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Words of the documents, with one empty word more for each document."""
+    pieces = F.explode_outer(F.concat(F.array(F.lit("")), F.col("_p"))).alias("token")
+    return _split_docs(docs, columns).select("id", "length", pieces)
+
+
+def _count_words(words: DataFrame) -> DataFrame:
+    return words.groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def write_index(docs: DataFrame, columns: Sequence[str], path: str) -> None:
+    """Write the index for ``bm25_index``, sorted by word, so that a search reads the words asked for only."""
+    _count_words(_pieces(docs, columns)).sort("token").write.mode("overwrite").parquet(path)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -199,18 +208,26 @@ def bm25(docs: DataFrame, columns: Sequence[str], queries: DataFrame, k: int, *,
     number and mean length of all documents follow.  ``allowed`` (id) limits the
     answers, not the statistics.
     """
+    terms, hint, wanted = _wanted(queries)
+    posts = _count_words(_pieces(docs, columns).join(hint(wanted), "token", "left_semi"))
+    return _ranked(posts, terms, hint, k, allowed)
+
+
+def bm25_index(index: DataFrame, queries: DataFrame, k: int, *, allowed: DataFrame | None = None) -> DataFrame:
+    """The same as ``bm25``, from an index made by ``write_index`` in place of the texts."""
+    terms, hint, wanted = _wanted(queries)
+    return _ranked(index.join(hint(wanted), "token", "left_semi"), terms, hint, k, allowed)
+
+
+def _wanted(queries: DataFrame):
     terms = query_terms(queries)
     # The words and weights of all queries have no more rows than this frame.
     small = terms.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
-    hint = F.broadcast if small else (lambda df: df)
-    wanted = terms.select("token").union(queries.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    every = queries.sparkSession.createDataFrame([("",)], "token string")
+    return terms, (F.broadcast if small else (lambda df: df)), terms.select("token").union(every).distinct()
 
-    pieces = F.explode_outer(F.concat(F.array(F.lit("")), F.col("_p"))).alias("token")
-    posts = (
-        _split_docs(docs, columns).select("id", "length", pieces)
-        .join(hint(wanted), "token", "left_semi")
-        .groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    )
+
+def _ranked(posts: DataFrame, terms: DataFrame, hint, k: int, allowed: DataFrame | None) -> DataFrame:
     # Every use of the postings reads tf and length, so that Spark shuffles them once.
     seen = F.col("tf") > 0
     spread = posts.groupBy("token").agg(F.count_if(seen).alias("_df"), F.avg("length").alias("_mean"))

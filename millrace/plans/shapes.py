@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_SIDE_ROWS = 50_000
-BUDGET_SALTS = 32
+MIN_SALTS = 32
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
@@ -67,22 +67,26 @@ def budget_prefix(
     budget: int | Column,
     *,
     keep_first: bool = False,
+    positive: bool = False,
     running: str = "running_cost",
-    salts: int = BUDGET_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Rows of each key, in order, up to the first one that overflows the budget.
 
     ``order`` lists (column, descending) pairs that order a key fully; ``cost`` is
     a column of whole numbers, not negative.  ``keep_first`` keeps the first
-    costly row of a key even if it is too large by itself.
+    costly row of a key even if it is too large by itself.  ``positive`` says that
+    every row costs something, which leaves out the last step below.
 
     A plain running sum would sort a whole key in one task.  Here the key is
-    first split over ``salts`` parts and each part is cut at the budget by
-    itself, which never drops a row of the answer: a sum over part of the rows
+    first split over ``salts`` parts (as many as the session shuffles to, unless
+    given) and each part is cut at the budget by itself, which never drops a row of the answer: a sum over part of the rows
     is at most the sum over all of them.  What is left of a key is at most
     ``salts * (budget + 1)`` rows, and the exact sum runs over those.  Rows that
     cost nothing are judged against the place of the cut, by a join.
     """
+    if salts is None:
+        salts = max(MIN_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     budget_col = F.lit(budget) if isinstance(budget, int) else budget
     exprs = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
     order_cols = [c for c, _ in order]
@@ -103,6 +107,8 @@ def budget_prefix(
     if keep_first:
         fits = fits | (F.col(running) == F.col(cost))
     kept = summed.filter(fits)
+    if positive:
+        return kept.drop("_budget")
 
     free = base.filter(F.col(cost) == 0)
     over = summed.filter(~fits)
@@ -134,14 +140,15 @@ def asof_join(
     right_on: str,
     values: Sequence[str],
     *,
-    bucket: str = "month",
+    bucket: str = "day",
 ) -> DataFrame:
     """Give each left row the newest right row at or before it, for the same key.
 
     Both sides are cut along time into calendar buckets, so a key with very many
     rows is spread over its buckets.  A bucket starts from the last right row of
     any earlier bucket; that row is found on one row per (key, bucket), which the
-    calendar bounds.  No join condition on ranges is needed.
+    calendar bounds.  No join condition on ranges is needed.  Right rows are
+    distinct in key and time.
     """
     def cut(col: str) -> Column:
         return F.date_trunc(bucket, F.col(col))

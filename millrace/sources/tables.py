@@ -99,11 +99,11 @@ def embed_articles(df: DataFrame, embed: Callable[[list[str]], Sequence[Sequence
 
 def restore(spark: SparkSession, source: str, target: str, names: Sequence[str] = DURABLE) -> list[str]:
     """Copy the durable tables, parents first, then rebuild the text index."""
-    from millrace.operators.retrieval import postings
+    from millrace.operators.retrieval import write_index
 
     for name in names:
         scan(spark, source, name).write.mode("overwrite").parquet(f"{target}/{name}")
     if "scraped_articles" in names:
         articles = scan(spark, target, "scraped_articles")
-        postings(articles, ["title", "conclusion", "summary"]).write.mode("overwrite").parquet(f"{target}/article_postings")
+        write_index(articles, ["title", "conclusion", "summary"], f"{target}/article_postings")
     return list(names)

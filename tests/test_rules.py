@@ -220,7 +220,7 @@ def test_prefilter_and_postfilter(spark):
     assert retrieval.knn(d, q, 2, where=F.col("c") == "a", prefilter=False).count() == 1
 
 
-def test_bm25_against_plain_python(spark):
+def test_bm25_against_plain_python(spark, tmp_path):
     import math
     import re
 
@@ -244,6 +244,9 @@ def test_bm25_against_plain_python(spark):
     got = {(r.query_id, r.id): r.score for r in retrieval.bm25(docs, ["t"], ask, 10).collect()}
     want = {(q, i): s for q, terms in ((7, ("hen", "red")), (8, ("fox", "absent")), (9, ("fox",))) for i in words if (s := score(i, terms)) is not None}
     assert got == pytest.approx(want)
+    retrieval.write_index(docs, ["t"], str(tmp_path / "index"))
+    stored = retrieval.bm25_index(spark.read.parquet(str(tmp_path / "index")), ask, 10)
+    assert {(r.query_id, r.id): r.score for r in stored.collect()} == pytest.approx(want)
 
 
 def test_fused_score_is_bounded(spark):
