@@ -62,15 +62,17 @@ def derive_q4(facts: DataFrame, existing: DataFrame) -> DataFrame:
     Only for concepts that add up, where no fourth quarter with that end exists.
     The longest year and nine-month fact with the same start are paired.
     """
-    additive = facts.filter((F.col("period_type") == "duration") & ~is_non_additive(F.col("concept")))
+    additive = facts.filter(
+        (F.col("period_type") == "duration") & F.col("fiscal_period").isin("FY", "Q3") & ~is_non_additive(F.col("concept")))
     key = ["ticker", "concept", "period_start"]
-    longest = [_days().desc(), F.col("fiscal_year").desc()]
-    year = first_per_key(additive.filter("fiscal_period = 'FY'"), key, longest).filter("numeric_value IS NOT NULL")
-    nine = first_per_key(additive.filter("fiscal_period = 'Q3'"), key, longest).select(
-        *key, F.col("numeric_value").alias("_nine"))
+    longest = first_per_key(additive, [*key, "fiscal_period"], [_days().desc(), F.col("fiscal_year").desc()])
+    is_year = F.col("fiscal_period") == "FY"
+    rest = [c for c in facts.columns if c not in key]
+    pairs = longest.groupBy(*key).agg(
+        F.max(F.when(is_year, F.struct(*rest))).alias("_year"), F.max(F.when(~is_year, F.col("numeric_value"))).alias("_nine"))
     known = existing.filter("fiscal_period = 'Q4'").select("ticker", "concept", "period_end").distinct()
     derived = (
-        year.join(nine.filter("_nine IS NOT NULL"), key)
+        pairs.filter("_year.numeric_value IS NOT NULL AND _nine IS NOT NULL").select(*key, "_year.*", "_nine")
         .join(known, ["ticker", "concept", "period_end"], "left_anti")
         .withColumn("numeric_value", F.col("numeric_value") - F.col("_nine"))
         .withColumn("fiscal_period", F.lit("Q4"))

@@ -70,21 +70,14 @@ FROM {quarters_v}
 # Raw facts: single quarters, year-to-date sums, end-of-period counts, and the
 # same quarters again as next year's comparatives (one unit higher).
 VIEWS["facts_v"] = """
-SELECT ticker, concept, make_date(y, 3 * q - 2, 1) AS period_start, period_end,
-  concat('Q', CAST(q AS STRING)) AS fiscal_period, y AS fiscal_year, cents AS numeric_value, 'USD' AS unit, 'duration' AS period_type
-FROM {running_v} WHERE q < 4
-UNION ALL
-SELECT ticker, concept, make_date(y, 3 * q - 2, 1) AS period_start, period_end,
-  concat('Q', CAST(q AS STRING)) AS fiscal_period, y + 1 AS fiscal_year, cents + 1 AS numeric_value, 'USD' AS unit, 'duration' AS period_type
-FROM {running_v} WHERE q < 4
-UNION ALL
-SELECT ticker, concept, make_date(y, 1, 1) AS period_start, period_end,
-  CASE WHEN q = 4 THEN 'FY' ELSE concat('Q', CAST(q AS STRING)) END AS fiscal_period, y AS fiscal_year, ytd AS numeric_value, 'USD' AS unit, 'duration' AS period_type
-FROM {running_v} WHERE q > 1
-UNION ALL
-SELECT ticker, concept, CAST(NULL AS DATE) AS period_start, period_end,
-  CASE WHEN q = 4 THEN 'FY' ELSE concat('Q', CAST(q AS STRING)) END AS fiscal_period, y AS fiscal_year, held AS numeric_value, 'shares' AS unit, 'instant' AS period_type
-FROM {running_v}
+SELECT ticker, concept,
+  CASE WHEN kind < 3 THEN make_date(y, 3 * q - 2, 1) WHEN kind = 3 THEN make_date(y, 1, 1) END AS period_start, period_end,
+  CASE WHEN kind > 2 AND q = 4 THEN 'FY' ELSE concat('Q', CAST(q AS STRING)) END AS fiscal_period,
+  CASE WHEN kind = 2 THEN y + 1 ELSE y END AS fiscal_year,
+  CASE kind WHEN 1 THEN cents WHEN 2 THEN cents + 1 WHEN 3 THEN ytd ELSE held END AS numeric_value,
+  CASE WHEN kind = 4 THEN 'shares' ELSE 'USD' END AS unit, CASE WHEN kind = 4 THEN 'instant' ELSE 'duration' END AS period_type
+FROM (SELECT *, explode(array(1, 2, 3, 4)) AS kind FROM {running_v}) k
+WHERE kind = 4 OR (kind < 3 AND q < 4) OR (kind = 3 AND q > 1)
 """
 
 VIEWS["blueprint_v"] = """
@@ -228,6 +221,6 @@ def ctes(*names: str) -> str:
         _needs(name, order)
     parts = []
     for name in order:
-        text = _NAME.sub(r"\1", VIEWS[name]).replace("{{", "{").replace("}}", "}").replace("`", '"')
+        text = _NAME.sub(r"\1", VIEWS[name]).replace("explode(array(1, 2, 3, 4))", "unnest([1, 2, 3, 4])").replace("{{", "{").replace("}}", "}").replace("`", '"')
         parts.append(f"{name} AS ({text.strip()})")
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
