@@ -1,8 +1,8 @@
 """Market metrics and their reconciliation.
 
 Prices hold one row for each ticker and day, fundamentals one for each ticker and
-period end.  Windows over a ticker are therefore bounded by the calendar; frames
-that break the key are brought to it first.
+period end; these are their keys.  Windows over a ticker are therefore bounded by
+the calendar.
 """
 
 from __future__ import annotations

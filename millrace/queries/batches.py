@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import normalize_url
 from millrace.operators import batches as B
 from millrace.operators import context as C
+from millrace.operators.jobs import publisher_report
 from millrace.queries.registry import query
 
 AD = ["articles_v", "details_v"]
@@ -91,6 +92,18 @@ def batch_rollup(v):
     return B.rollup(v("details_v").join(langs, "article_id").withColumn("batch_id", F.concat_ws("/", "batch_id", "lang")))
 
 
+@query("batch_resume", ["details_v"], """
+WITH c AS (SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE publish_status IN ('PUBLISHED_ARCHIVE', 'PUBLISHED_BRIEFING', 'SKIPPED')) AS done,
+  count(*) FILTER (WHERE publish_status = 'PUBLISHED_ARCHIVE') AS published, count(*) FILTER (WHERE publish_status = 'FAILED') AS failed, count(*) FILTER (WHERE publish_status = 'SKIPPED') AS skipped FROM details_v GROUP BY 1),
+s AS (SELECT *, CASE WHEN published + skipped = total AND published > 0 THEN 'COMPLETED' WHEN failed = total OR failed + skipped = total THEN 'FAILED'
+  WHEN published > 0 OR failed > 0 THEN 'PARTIAL' ELSE 'PENDING' END AS status FROM c)
+SELECT batch_id, status, CAST(done AS BIGINT) AS items_completed, CAST(total - done AS BIGINT) AS items_pending,
+  CASE WHEN status = 'COMPLETED' THEN false WHEN failed > 0 THEN true ELSE status IN ('PENDING', 'PARTIAL') AND total > done END AS resumable FROM s""")
+def batch_resume(v):
+    details = v("details_v")
+    return publisher_report(B.rollup(details).select("batch_id", "status"), details)
+
+
 @query("batch_assign", AD, """
 WITH e AS (SELECT batch_id, article_id FROM details_v WHERE publish_status = 'FAILED'),
 t AS (SELECT batch_id, article_id, top10_rank FROM details_v WHERE is_top10)

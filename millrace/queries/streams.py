@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize_url
 from millrace.queries.registry import QUERIES, query
+from millrace.operators.sync import evolve
 from millrace.session import ensure_checkpoint_dir
 from millrace.sources import tables as A
+from millrace.sources.schemas import REGISTRY
 from millrace.streaming import jobs as T
 
 
@@ -63,6 +65,23 @@ def art_embed(v):
     return out.select("id", "embedding_status", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
 
 
+@query("sync_restore", ["articles_v", "details_v"], """
+WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, conclusion, summary)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM articles_v)
+SELECT 'scraped_articles' AS table_name, CAST(count(*) AS BIGINT) AS n FROM articles_v UNION ALL SELECT 'broadcast_details', count(*) FROM details_v
+UNION ALL SELECT 'article_postings', (SELECT count(*) FROM (SELECT DISTINCT id, unnest(w) FROM w)) + (SELECT count(*) FROM w)""")
+def sync_restore(v):
+    articles, details = v("articles_v"), v("details_v")
+    spark = articles.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/restore-{uuid.uuid4().hex}"
+    frames = {
+        "broadcast_details": evolve(details, REGISTRY["broadcast_details"].schema),
+        "scraped_articles": evolve(articles, REGISTRY["scraped_articles"].schema, {"metadata_json": "{}"}),
+    }
+    names = [*A.restore(frames, folder), "article_postings"]
+    counts = [spark.read.parquet(f"{folder}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n in names]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 def stream_query(name: str, source: str, sql: str):
     """Register ``fn(stream, folder, spark, sf_dir)``; it starts a query that ends, and gives its rows."""
     query(name, [], sql)(lambda v: None)

@@ -97,13 +97,19 @@ def embed_articles(df: DataFrame, embed: Callable[[list[str]], Sequence[Sequence
     return done.withColumn("embedding_status", F.when(F.col("embedding").isNotNull(), "EMBEDDED").otherwise("PENDING"))
 
 
-def restore(spark: SparkSession, source: str, target: str, names: Sequence[str] = DURABLE) -> list[str]:
-    """Copy the durable tables, parents first, then rebuild the text index."""
+def durable_frames(spark: SparkSession, source: str) -> dict[str, DataFrame]:
+    """All durable tables of a mirror."""
+    return {name: scan(spark, source, name) for name in DURABLE}
+
+
+def restore(frames: dict[str, DataFrame], target: str) -> list[str]:
+    """Write the given durable tables, parents first, then rebuild the text index from the articles."""
     from millrace.operators.retrieval import write_index
 
+    names = [name for name in DURABLE if name in frames]
     for name in names:
-        scan(spark, source, name).write.mode("overwrite").parquet(f"{target}/{name}")
-    if "scraped_articles" in names:
-        articles = scan(spark, target, "scraped_articles")
+        frames[name].write.mode("overwrite").parquet(f"{target}/{name}")
+    if "scraped_articles" in frames:
+        articles = scan(frames["scraped_articles"].sparkSession, target, "scraped_articles")
         write_index(articles, ["title", "conclusion", "summary"], f"{target}/article_postings")
-    return list(names)
+    return names

@@ -512,7 +512,7 @@ def test_scan_export_and_restore(spark, tmp_path):
         spark.createDataFrame([], REGISTRY[name].schema).write.parquet(str(tmp_path / "src" / name))
     row = ("i", "u", "Red fox", "", "A red hen", "{}", "PENDING", "", None, None)
     spark.createDataFrame([row], REGISTRY["scraped_articles"].schema).write.mode("overwrite").parquet(str(tmp_path / "src" / "scraped_articles"))
-    tables.restore(spark, str(tmp_path / "src"), str(tmp_path / "dst"))
+    assert tables.restore(tables.durable_frames(spark, str(tmp_path / "src")), str(tmp_path / "dst")) == list(DURABLE)
     back = tables.scan(spark, str(tmp_path / "dst"), "scraped_articles").first()
     assert back.conclusion is None and back.title == "Red fox"
     assert spark.read.parquet(str(tmp_path / "dst" / "article_postings")).filter("token = 'red'").first().tf == 2
