@@ -71,8 +71,12 @@ def clean_bullets(bullets: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Secrets after a known name and ``=`` or ``:`` are replaced, with a word after ``Bearer`` too."""
-    return F.regexp_replace(text, SECRET, "$1[REDACTED]")
+    """Secrets after a known name and ``=`` or ``:`` are replaced, with a word after ``Bearer`` too.
+
+    The pattern needs one of the two signs, so texts without them are passed on unread.
+    """
+    signed = text.contains("=") | text.contains(":")
+    return F.when(signed, F.regexp_replace(text, SECRET, "$1[REDACTED]")).otherwise(text)
 
 
 def shorten(text: Column, limit: int) -> Column:

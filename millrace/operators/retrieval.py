@@ -189,8 +189,11 @@ def _count_words(words: DataFrame) -> DataFrame:
 
 
 def write_index(docs: DataFrame, columns: Sequence[str], path: str) -> None:
-    """Write the index for ``bm25_index``, sorted by word, so that a search reads the words asked for only."""
-    _count_words(_pieces(docs, columns)).sort("token").write.mode("overwrite").parquet(path)
+    """Write the index for ``bm25_index``, sorted by word, so that a search reads the words asked for only.
+
+    The document is part of the order, so a very common word is cut over several files.
+    """
+    _count_words(_pieces(docs, columns)).sort("token", "id").write.mode("overwrite").parquet(path)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

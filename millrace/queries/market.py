@@ -155,7 +155,10 @@ def fin_anchor(v):
     return M.anchor_scale(ref, raw, ANCHORS).select("ticker", "metric", "period_end_date", "factor", "value")
 
 
-@query("fin_align")
+# Each date asked for lies in the month after a known one, so no two of them meet.
+@query("fin_align", ["stored_v", "earnings_v"], """
+WITH a AS (SELECT ticker, CAST(period_end_date + INTERVAL 1 MONTH AS DATE) AS d FROM earnings_v), k AS (SELECT DISTINCT ticker, period_end AS e FROM stored_v)
+SELECT a.ticker, CAST(date_diff('day', DATE '1970-01-01', d) AS BIGINT) AS position, d AS date, e AS aligned FROM a JOIN k ON a.ticker = k.ticker AND date_diff('month', e, d) = 1""")
 def fin_align(v):
     filed = v("stored_v").select("ticker", F.col("period_end").alias("date")).distinct()
     asked = v("earnings_v").select("ticker", F.add_months("period_end_date", 1).alias("date"))
