@@ -96,7 +96,7 @@ def page_media(v):
 
 @query("page_slim")
 def page_slim(v):
-    return P.slim(v("pages"), 4000).select("page_id", "slim")
+    return P.slim(v("pages")).select("page_id", "slim")
 
 
 @query("text_json", [], """

@@ -213,6 +213,19 @@ def test_knn_paths_agree_with_ties_and_copies(spark, rows):
     assert cosine.filter("query_id = 9 AND rank = 1").first().distance == pytest.approx(0.0, abs=1e-5)
 
 
+def test_task_functions_need_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps((_slim, _split_at_newlines, retrieval._nearest)))
+    code = f"import pickle; s, c, n = pickle.load(open({str(blob)!r}, 'rb')); print(s('<p>x', 9, frozenset()), c('a', 2))"
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "<p>x</p> ['a']", done.stderr
+
+
 def test_prefilter_and_postfilter(spark):
     d = spark.createDataFrame([(1, [0.0], "a"), (2, [1.0], "b"), (3, [2.0], "a")], "id long, vec array<float>, c string")
     q = spark.createDataFrame([(1, [0.9])], "query_id long, query_vec array<float>")
