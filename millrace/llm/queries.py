@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontamination, html_text, language, packing, quality, simhash, topk, toxicity
+from millrace.llm import chat, decontamination, html_text, language, linededup, packing, quality, simhash, topk, toxicity
 from millrace.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +78,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = fold_of(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
-    found = toxicity.score(docs, model)
+    found = toxicity.score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -127,3 +127,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     found = simhash.near_duplicates(simhash.fingerprints(_table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the blocks of lines that earlier ones hold."""
+    found = linededup.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "removed_lines", F.length("text").cast("long").alias("n_chars"))

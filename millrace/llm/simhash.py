@@ -122,19 +122,25 @@ def linked(values: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """`doc_id, fp` of every row, the 64 bits as a long.  Null, empty and blank texts have the fingerprint 0."""
-    source = named(docs, doc_id=doc_id, text=text)
-    id_type = source.schema["doc_id"].dataType.simpleString()
+    return with_fingerprint(named(docs, doc_id=doc_id, text=text), "fp", shingle).select("doc_id", "fp")
+
+
+def with_fingerprint(docs: DataFrame, into: str, shingle: int = SHINGLE) -> DataFrame:
+    """All rows and columns of `docs` and the fingerprint of `text`, in column `into`."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = docs.columns.index("text")
+    names = [*docs.columns, into]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column(at)
             found: list[int] = []
             for first, last in by_volume(texts):
                 found += [fingerprint(t.encode(), shingle) if t else 0 for t in texts.slice(first, last - first).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            bits = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], names)
 
-    return source.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.mapInArrow(run, f"{kinds}, `{into}` long")
 
 
 def _tables(parts: int, radius: int) -> list[int]:
@@ -149,9 +155,10 @@ def _signed(value: int) -> int:
 
 
 def near_duplicates(found: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """`doc_id, fp, component_id` of fingerprinted rows `doc_id, fp`, which are linked at `radius` or fewer differing bits.
+    """`doc_id, fp, component_id, component_fp` of fingerprinted rows `doc_id, fp`, linked at `radius` or fewer bits.
 
     `component_id` is the smallest doc_id that links reach, the row's own included; null where all of them are null.
+    `component_fp` is the fingerprint of that document, so that both name a component even then.
     Equal fingerprints, of copies or of empty texts, are one class before anything else is done, so a group of copies
     costs one row; repeated rows stay.  No link between classes is lost: two of them that are near enough meet in at least
     one table.  Shards are searched where the shuffle puts them; they are not broadcast, as they grow with the corpus.
@@ -191,11 +198,28 @@ def near_duplicates(found: DataFrame, radius: int = RADIUS, parts: int = PARTS)
         search, f"v {vertex}, u {vertex}")
     labels = components(links)
     named_classes = classes.join(labels, "v", "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce(F.col("label.first"), F.col("v.first")).alias("component_id"))
+        F.col("fp").alias("class_fp"), F.coalesce("label", "v").alias("head")).select(
+        "class_fp", F.col("head.first").alias("component_id"), F.col("head.fp").alias("component_fp"))
     # Both sides are plain frames, so that adaptive execution can split a class of very many rows.
-    return rows.join(cut(named_classes), F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    return rows.join(cut(named_classes), F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id", "component_fp")
 
 
 def _pairs(out: list[tuple], v_type: pa.DataType) -> pa.RecordBatch:
     v, u = zip(*out)
     return pa.RecordBatch.from_arrays([pa.array(v, v_type), pa.array(u, v_type)], ["v", "u"])
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the smallest doc_id, null last.
+
+    Rows that repeat both id and fingerprint are one document, of which one row stays, any of them.
+    """
+    if not {"_near_key", "_near_fp"}.isdisjoint(docs.columns):
+        raise ValueError("columns _near_key and _near_fp are this operator's own")
+    grouped = near_duplicates(fingerprints(docs, shingle=shingle), radius)
+    key = lambda doc_id, fp: F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(fp))
+    heads = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("component_fp"))).select(
+        key("doc_id", "fp").alias("_near_key")).distinct()
+    marked = with_fingerprint(docs, "_near_fp", shingle).withColumn("_near_key", key("doc_id", "_near_fp"))
+    return marked.join(heads, "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -130,29 +130,45 @@ def fit(
     return _train(kinds[0], kinds[1], prior)
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id, score` of every row: the chance that the whole text is toxic.
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """All rows and columns of `docs` and the chance that the whole text is toxic, in column `into`, a name not in use.
 
     A null or empty text has no feature and gets the score of the bias alone.  Repeated rows are scored each.
     """
-    source = named(docs, doc_id=doc_id, text=text)
-    shared = source.sparkSession.sparkContext.broadcast(model)
-    id_type = source.schema["doc_id"].dataType.simpleString()
+    if into in docs.columns:
+        raise ValueError(f"column {into} is there already")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = docs.columns.index(text)
+    names = [*docs.columns, into]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights, bias = shared.value
         place = {int(f): i for i, f in enumerate(features)}
         for batch in batches:
             held: list[set[int]] = [set() for _ in range(batch.num_rows)]
-            for part in chunked(batch.column("text")):
+            for part in chunked(batch.column(at)):
                 known = [[place[h] for h in _hashes(c) if h in place] for c in part.chunks]
                 told = np.fromiter(map(bool, known), bool, len(known))
-                at = np.flatnonzero(told[part.index])
-                texts = part.rows[np.searchsorted(part.cuts, at, side="right") - 1]
-                for pair in np.unique(texts * len(known) + part.index[at]).tolist():
+                found = np.flatnonzero(told[part.index])
+                texts = part.rows[np.searchsorted(part.cuts, found, side="right") - 1]
+                for pair in np.unique(texts * max(1, len(known)) + part.index[found]).tolist():
                     held[pair // len(known)].update(known[pair % len(known)])
-            value = bias + np.array([weights[list(h)].sum() if h else 0.0 for h in held])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(value, -35, 35))))], ["doc_id", "score"])
+            value = bias + np.array([weights[sorted(h)].sum() if h else 0.0 for h in held])
+            chance = pa.array(1 / (1 + np.exp(-np.clip(value, -35, 35))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, chance], names)
+
+    return docs.mapInArrow(run, f"{kinds}, `{into}` double")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
 
-    return source.mapInArrow(run, f"doc_id {id_type}, score double")
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with their columns, whose text scores below the limit."""
+    into = free_name(docs, "toxicity")
+    return score(docs, model, into=into).where(F.col(f"`{into}`") < limit).drop(into)
