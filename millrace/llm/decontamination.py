@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import named
+from millrace.llm.common import free_name, named
 
 #: Everything below U+0080 that is neither a digit nor a letter.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -136,7 +136,8 @@ def covered(windows: Column) -> Column:
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents that hold no window of a benchmark item, as they came: all columns, repeated rows and null ids too."""
+    hit_id, hit_hash = free_name(docs, "hit_id"), free_name(docs, "hit_hash")
     found = contamination(docs, items, n).where(F.size("windows") > 0).select(
-        F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
-    same_doc = docs["doc_id"].eqNullSafe(F.col("hit_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("hit_hash"))
+        F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash))
+    same_doc = docs["doc_id"].eqNullSafe(F.col(hit_id)) & F.xxhash64(docs["text"]).eqNullSafe(F.col(hit_hash))
     return docs.join(found, same_doc, "left_anti")

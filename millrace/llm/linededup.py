@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import by_volume
-from millrace.llm.common import cut, named
+from millrace.llm.common import cut, free_name, named
 
 #: Words that an aligned block must have to go: shorter ones are headings, licenses and the like, common by nature.
 BLOCK_WORDS = 20
@@ -174,7 +174,8 @@ def common_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All rows of `docs` and their columns, `text` without the blocks that earlier documents hold, and `removed_lines`.
+    """All rows of `docs` and their columns, `text` without the blocks that earlier documents hold, and `removed_lines`
+    (a column of that name is replaced).
 
     Every document stays; one that loses all its lines gets the empty text.  A line is what stands between line feeds,
     compared without white space around it; lines without a word are never compared and stay where they are, unless
@@ -182,13 +183,14 @@ def without_repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> D
     change alike; another text under the same or a null id is another document.  A block of fewer than `block_words`
     words stays, however often it comes.
     """
-    blocks = common_blocks(docs, block_words).select(
-        F.col("doc_id").alias("_block_id"), F.col("text_hash").alias("_block_hash"), F.col("ranges").alias("_ranges"),
-        F.col("removed").alias("_removed"))
-    joined = docs.join(
-        blocks, docs["doc_id"].eqNullSafe(F.col("_block_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_block_hash")), "left")
-    return joined.withColumn("text", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(_rest(F.col("text"), F.col("_ranges")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.coalesce("_removed", F.lit(0).cast("long")).alias("removed_lines"))
+    docs = docs.drop("removed_lines")
+    own = [free_name(docs, c) for c in ("block_id", "block_hash", "block_ranges", "block_removed")]
+    blocks = common_blocks(docs, block_words).toDF(*own)
+    block_id, block_hash, ranges, removed = map(F.col, own)
+    joined = docs.join(blocks, docs["doc_id"].eqNullSafe(block_id) & F.xxhash64(docs["text"]).eqNullSafe(block_hash), "left")
+    left = F.when(ranges.isNull(), F.col("text")).otherwise(_rest(F.col("text"), ranges))
+    return joined.withColumn("text", left).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.coalesce(removed, F.lit(0).cast("long")).alias("removed_lines"))
 
 
 def _rest(text: Column, ranges: Column) -> Column:

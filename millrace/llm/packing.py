@@ -7,7 +7,6 @@ items themselves and meet those of other partitions in a tree of groups, round a
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
 from bisect import bisect_left, insort
@@ -17,10 +16,10 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.chunks import by_volume, segments, split
 from millrace.llm.common import cut, named, worker_state
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -75,10 +74,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is the empty text."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        found = split.flatten().dictionary_encode()
-        chunks = found.dictionary.to_pylist()
-        index = found.indices.to_numpy(zero_copy_only=False)
+        chunks, index, bounds = split(texts)
         ids = self._resolve(chunks)
         sizes = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
         pool = np.frombuffer(b"".join(ids), "<u4")
@@ -88,7 +84,7 @@ class ChunkEncoder:
         gather = np.repeat(starts[index] - ends[:-1], sizes[index])
         gather += np.arange(total)
         out = pool[gather]
-        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        cuts = ends[bounds]
         return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
@@ -96,31 +92,6 @@ def _little_endian(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
 
 
-def _segments(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
-    """A text in parts of about `size` bytes, parted at white space."""
-    at = 0
-    gap = re.compile(rb"[ \t\n\r\x0b\f]")
-    while len(text) - at > size:
-        found = gap.search(text, at + size)
-        if not found:
-            break
-        yield text[at:found.end()]
-        at = found.end()
-    yield text[at:]
-
-
-def _by_volume(texts: pa.Array, volume: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of an array of texts that hold about `volume` bytes each."""
-    first = total = 0
-    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
-        total += size or 0
-        if total >= volume:
-            yield first, i + 1
-            first, total = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def token_pieces(
     docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0, doc_id: str = "doc_id",
     text: str = "text", keep_chunks: int = KEPT_CHUNKS,
@@ -139,12 +110,12 @@ def token_pieces(
     width = 4 * capacity
 
     def ids_of(encoder: ChunkEncoder, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
-        for first, last in _by_volume(texts):
+        for first, last in by_volume(texts):
             if last - first > 1:
                 for i, ids in enumerate(encoder.encode(texts.slice(first, last - first))):
                     yield first + i, ids.tobytes() + end
             else:
-                parts = _segments((texts[first].as_py() or "").encode())
+                parts = segments((texts[first].as_py() or "").encode())
                 yield first, b"".join(encoder.encode(pa.array([p.decode()]))[0].tobytes() for p in parts) + end
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,18 +191,21 @@ def pack_pieces(
 ) -> DataFrame:
     """Rows of `pieces` with `sequence_id, offset`: their place in as few sequences of `capacity` as best fit finds.
 
-    `length` (1 to `capacity`) decides; all other columns are carried, so keep them small or lower `local_items`, the
+    Columns of these two names are replaced.  `length` (1 to `capacity`) decides; all other columns are carried, so keep them small or lower `local_items`, the
     number of rows that one task holds.  The offsets of a sequence have no gaps.  Each row is placed once, repeated rows
     too; an empty frame stays empty.
     """
-    items = cut(pieces)
+    pieces = pieces.drop("sequence_id", "offset")
+    names = [f"c{i}" for i in range(len(pieces.columns))]
+    back = [F.col(c).alias(old) for c, old in zip(names, pieces.columns)]
+    of_length = names[pieces.columns.index("length")]
+    items = cut(pieces.toDF(*names))
     count = items.count()
     groups = max(1, -(-count // local_items))
     levels, reach = 0, 1
     while reach < groups:
         levels, reach = levels + 1, reach * fan_in
     merges = fan_in * max(1, levels)
-    names = items.columns
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -240,7 +214,7 @@ def pack_pieces(
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        bins, offsets, fills = best_fit(table.column("length").to_pylist(), capacity)
+        bins, offsets, fills = best_fit(table.column(of_length).to_pylist(), capacity)
         keep = _open_bins(fills, capacity, slack, merges)
         bins = np.asarray(bins, dtype=np.int64)
         table = table.append_column("bin", pa.array(bins + (node << 32)))
@@ -249,10 +223,10 @@ def pack_pieces(
         table = table.append_column("open", pa.array(np.asarray(keep)[bins]))
         yield from table.combine_chunks().to_batches(max_chunksize=10_000)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields)
     local = items.repartition(groups).mapInArrow(pack, f"{schema}, bin long, at long, fill long, open boolean")
     if groups == 1:
-        return local.select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+        return local.select(*back, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     local = cut(local)
     node = F.shiftright("bin", 32)
     opened = local.where("open").where("at = 0").select(
@@ -282,9 +256,9 @@ def pack_pieces(
         opened = merged.where("open").select("node", "bin", "fill", "members")
     moved = done.select(F.col("bin").alias("root"), F.explode("members").alias("m")).select(
         "root", F.col("m.bin").alias("leaf"), F.col("m.shift").alias("shift"))
-    still = local.where(~F.col("open")).select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+    still = local.where(~F.col("open")).select(*back, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     placed = local.where("open").join(moved, F.col("bin") == F.col("leaf")).select(
-        *names, F.col("root").alias("sequence_id"), (F.col("at") + F.col("shift")).alias("offset"))
+        *back, F.col("root").alias("sequence_id"), (F.col("at") + F.col("shift")).alias("offset"))
     return still.unionByName(placed)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import by_volume
-from millrace.llm.common import cut, named
+from millrace.llm.common import cut, free_name, named
 from millrace.llm.components import components
 
 BITS = 64
@@ -214,12 +214,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
 
     Rows that repeat both id and fingerprint are one document, of which one row stays, any of them.
     """
-    if not {"_near_key", "_near_fp"}.isdisjoint(docs.columns):
-        raise ValueError("columns _near_key and _near_fp are this operator's own")
+    fp_name, key_name = free_name(docs, "near_fp"), free_name(docs, "near_key")
     grouped = near_duplicates(fingerprints(docs, shingle=shingle), radius)
     key = lambda doc_id, fp: F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(fp))
     heads = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("component_fp"))).select(
-        key("doc_id", "fp").alias("_near_key")).distinct()
-    marked = with_fingerprint(docs, "_near_fp", shingle).withColumn("_near_key", key("doc_id", "_near_fp"))
-    return marked.join(heads, "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(
+        key("doc_id", "fp").alias(key_name)).distinct()
+    marked = with_fingerprint(docs, fp_name, shingle).withColumn(key_name, key("doc_id", fp_name))
+    return marked.join(heads, key_name, "left_semi").dropDuplicates([key_name]).select(
         *[F.col(f"`{c}`") for c in docs.columns])

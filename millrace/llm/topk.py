@@ -90,7 +90,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK)
     by_vector = Window.partitionBy("v").orderBy(F.asc_nulls_first("vec_id"))
     smallest = vectors.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     # Numbered after they are written: reading them again gives the same numbers.
-    members = cut(smallest.groupBy("v").agg(F.collect_list("vec_id").alias("ids"))).withColumn(
+    members = cut(smallest.groupBy("v").agg(F.collect_list(F.struct("vec_id")).alias("ids"))).withColumn(
         "cls", F.monotonically_increasing_id())
     classes = members.select("cls", "v")
     asked = cut(vectors.where(is_query & F.col("vec_id").isNotNull()).select("v", F.col("vec_id").alias("query_id")))
@@ -102,7 +102,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK)
         rows = query_classes.where(F.pmod(F.xxhash64(F.lit("block"), "v"), F.lit(blocks)) == b).toPandas() if blocks > 1 else query_classes.toPandas()
         part = cut(_search(classes, rows, k))
         found = part if found is None else found.unionByName(part)
-    listed = found.join(members.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
+    listed = found.join(members.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("id")).select("q", "score", "id.vec_id")
     pairs = asked.join(query_classes, "v").select("q", "query_id").join(listed, "q").where(~F.col("vec_id").eqNullSafe(F.col("query_id")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("vec_id"))
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

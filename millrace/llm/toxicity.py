@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import Chunked, chunked
-from millrace.llm.common import named
+from millrace.llm.common import free_name, named
 from millrace.llm.sampling import thinned
 
 #: Texts of either kind that a model is fitted on, at most.
@@ -131,12 +131,11 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """All rows and columns of `docs` and the chance that the whole text is toxic, in column `into`, a name not in use.
+    """All rows and columns of `docs` and the chance that the whole text is toxic, in column `into`; one of that name is replaced.
 
     A null or empty text has no feature and gets the score of the bias alone.  Repeated rows are scored each.
     """
-    if into in docs.columns:
-        raise ValueError(f"column {into} is there already")
+    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text)
@@ -161,13 +160,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     return docs.mapInArrow(run, f"{kinds}, `{into}` double")
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """A column name like `name` that the frame doesn't have."""
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of `docs`, with their columns, whose text scores below the limit."""
     into = free_name(docs, "toxicity")
