@@ -25,6 +25,10 @@ SCALE = 10.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
+#: A word and itself again is one feature, whatever the word.
+_TWICE = np.uint64(1)
+
+
 class Model(NamedTuple):
     weights: np.ndarray
     bias: float
@@ -42,6 +46,7 @@ def _features(part: Chunked) -> tuple[np.ndarray, np.ndarray]:
     pairs = words * np.uint64(0x9E3779B97F4A7C15)
     pairs[:-1] ^= words[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     pairs ^= pairs >> np.uint64(31)
+    pairs[:-1][words[1:] == words[:-1]] = _TWICE
     held = np.ones(len(words), bool)
     held[cuts[1:][cuts[1:] > cuts[:-1]] - 1] = False  # the last word of a text begins no pair
     both = np.stack([words, pairs], axis=1) % np.uint64(BUCKETS)

@@ -26,6 +26,8 @@ TRAIN_ROWS = 6000
 KEPT_FEATURES = 4096
 #: Texts of the sample that must hold a feature.
 LEAST_TEXTS = 5
+#: Standard errors between its shares of positives and of unlabelled texts that a feature must have.
+LEAST_GAP = 4.0
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _STEM = 5
 
@@ -56,9 +58,10 @@ def _text_features(part: Chunked) -> Iterator[np.ndarray]:
         yield found[found >= 0].astype("<u4")
 
 
-def _train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 300, rate: float = 0.05, l2: float = 1e-4) -> Model:
+def _train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 300, rate: float = 0.05) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss, over the features that tell the two kinds apart."""
     n_pos, n_unl = max(1, len(pos)), max(1, len(unl))
+    l2 = 0.2 / max(100, n_pos)  # the fewer positives, the less a feature is trusted
     names, where = np.unique(np.concatenate([*pos, *unl, np.zeros(0, np.uint32)]), return_inverse=True)
     sizes = np.fromiter(map(len, [*pos, *unl]), np.int64, len(pos) + len(unl))
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -69,7 +72,7 @@ def _train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: i
     gap = (a / n_pos - b / n_unl) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_pos + 1 / n_unl))
     gap[a + b < LEAST_TEXTS] = 0
     kept = np.sort(np.argsort(-np.abs(gap), kind="stable")[:KEPT_FEATURES])
-    kept = kept[np.abs(gap[kept]) > 4]
+    kept = kept[np.abs(gap[kept]) > LEAST_GAP]
     place = np.full(len(names), -1)
     place[kept] = np.arange(len(kept))
     col = place[where]
