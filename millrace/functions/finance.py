@@ -75,8 +75,8 @@ def format_value(value: Column, unit: Column) -> Column:
     )
 
 
-def clean_value(text: Column) -> Column:
-    """Money text to a number: currency signs, commas, (negatives), K/M/B; what cannot be read is zero."""
+def money_number(text: Column) -> Column:
+    """Money text to a number: currency signs, commas, (negatives), K/M/B; null if it cannot be read."""
     t = F.btrim(text)
     negative = t.rlike(r"^\(.*\)$")
     body = F.when(negative, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
@@ -85,7 +85,12 @@ def clean_value(text: Column) -> Column:
         F.when(body.endswith("b"), 1e9).when(body.endswith("m"), 1e6).when(body.endswith("k"), 1e3).otherwise(1.0)
     )
     number = F.regexp_replace(body, "[bmk]$", "").try_cast("double") * factor
-    return F.coalesce(F.when(negative, -number).otherwise(number), F.lit(0.0))
+    return F.when(negative, -number).otherwise(number)
+
+
+def clean_value(text: Column) -> Column:
+    """Money text to a number; what cannot be read is zero, as ``unreadable`` counts."""
+    return F.coalesce(money_number(text), F.lit(0.0))
 
 
 # Accepted date patterns, tried in this order.

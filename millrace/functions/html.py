@@ -77,16 +77,16 @@ class _Slimmer(HTMLParser):
         return " ".join("".join(self.out).split())
 
 
-def _slim(text: str | None, limit: int, attributes: frozenset[str]) -> str:
+def _slim(text: str | None, limit: int | None, attributes: frozenset[str]) -> str:
     if not text:
         return ""
     parser = _Slimmer(attributes)
     parser.feed(text)
     slim = parser.finish()
-    return slim if len(slim) <= limit else slim[:limit] + TRUNCATED
+    return slim if limit is None or len(slim) <= limit else slim[:limit] + TRUNCATED
 
 
-def slim_html(markup: Column, limit: int = 40_000, extra: Iterable[str] = ()) -> Column:
+def slim_html(markup: Column, limit: int | None = None, extra: Iterable[str] = ()) -> Column:
     attributes = frozenset(KEPT_ATTRIBUTES) | frozenset(extra)
 
     @F.pandas_udf(T.StringType())

@@ -99,14 +99,22 @@ def add_details(existing: DataFrame, articles: DataFrame, top: DataFrame) -> Dat
         *key, F.col("top10_rank").isNotNull().alias("is_top10"), "top10_rank", F.lit("PENDING").alias("publish_status"))
 
 
-def apply_swaps(details: DataFrame, swaps: DataFrame) -> DataFrame:
+# States in which a batch may still change.
+OPEN_STATUSES = ("PENDING", "PARTIAL", "FAILED")
+
+
+def apply_swaps(details: DataFrame, swaps: DataFrame, batches: DataFrame | None = None) -> DataFrame:
     """Apply each batch's swaps, in order, to its top ten, and number it anew.
 
     ``swaps`` has batch_id, seq, index_top10 and either target_index (another place)
     or target_article (an article of the batch outside the top ten).  The article
-    that leaves returns to the pool.  Only top lists and swaps are gathered, never
+    that leaves returns to the pool.  With ``batches`` (batch_id, status) only those in
+    one of ``OPEN_STATUSES`` change; swaps of others are passed over.  Only top lists and swaps are gathered, never
     the pool: whether a target belongs to its batch is found by a join.
     """
+    if batches is not None:
+        unlocked = batches.filter(F.col("status").isin(*OPEN_STATUSES)).select("batch_id").distinct()
+        swaps = swaps.join(unlocked, "batch_id", "left_semi")
     order = F.struct(F.coalesce("top10_rank", F.lit(999)).cast("long"), "detail_id", "article_id")
     tops = details.filter("is_top10").groupBy("batch_id").agg(F.array_sort(F.collect_list(order)).alias("_t"))
     tops = tops.select("batch_id", F.transform("_t", lambda x: x["article_id"]).alias("_top"))

@@ -181,7 +181,7 @@ def upsert_facts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def query_facts(facts: DataFrame, ticker: str, statement: str, concept: str | None = None,
-                start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
+                start: str | None = None, end: str | None = None, limit: int | None = None) -> DataFrame:
     """Facts of a ticker and statement, in statement order, newest quarter first."""
     found = facts.filter((F.col("ticker") == ticker.upper()) & (F.col("statement_type") == statement.lower()))
     if concept:
@@ -190,7 +190,8 @@ def query_facts(facts: DataFrame, ticker: str, statement: str, concept: str | No
         found = found.filter(F.col("quarter") >= start)
     if end:
         found = found.filter(F.col("quarter") <= end)
-    return found.orderBy("concept_order", F.desc("quarter"), "concept").limit(limit)
+    ordered = found.orderBy("concept_order", F.desc("quarter"), "concept")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def concepts(facts: DataFrame, ticker: str, statement: str | None = None) -> DataFrame:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.logs import contains_text, level_at_least, under_tag
-from millrace.plans.shapes import budget_prefix, top_per_key
+from millrace.plans.shapes import budget_prefix, same_key, top_per_key, under_keys
 
-MAX_ROWS = 5000
-DEFAULT_ROWS = 50
 ERROR_LEVELS = ("ERROR", "CRITICAL")
 ISSUE_LEVELS = ("ERROR", "WARNING", "CRITICAL")
 
@@ -53,25 +51,31 @@ def log_filter(
     return df
 
 
-def recent(df: DataFrame, limit: int = DEFAULT_ROWS, **conditions) -> DataFrame:
-    """The newest matching rows, at most ``MAX_ROWS``."""
-    return log_filter(df, **conditions).orderBy(*_newest()).limit(min(limit, MAX_ROWS))
+def _first(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """Rows in order, all of them or the first ``limit``."""
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def errors(df: DataFrame, limit: int = DEFAULT_ROWS, since=None) -> DataFrame:
+def recent(df: DataFrame, limit: int | None = None, **conditions) -> DataFrame:
+    """The matching rows, newest first; all of them unless a limit is given (a console shows 50)."""
+    return _first(log_filter(df, **conditions), _newest(), limit)
+
+
+def errors(df: DataFrame, limit: int | None = None, since=None) -> DataFrame:
     return recent(df, limit, level="ERROR", since=since)
 
 
-def by_tag(df: DataFrame, tag: str, limit: int = DEFAULT_ROWS, since=None, strict: bool = False) -> DataFrame:
+def by_tag(df: DataFrame, tag: str, limit: int | None = None, since=None, strict: bool = False) -> DataFrame:
     return recent(df, limit, tag=tag, since=since, strict_tag=strict)
 
 
-def by_job(df: DataFrame, job_id, limit: int = DEFAULT_ROWS) -> DataFrame:
-    """The oldest rows of a job."""
-    return log_filter(df, job_id=job_id).orderBy("log_ts", "id").limit(min(limit, MAX_ROWS))
+def by_job(df: DataFrame, job_id, limit: int | None = None) -> DataFrame:
+    """The rows of a job, oldest first."""
+    return _first(log_filter(df, job_id=job_id), [F.col("log_ts").asc(), F.col("id").asc()], limit)
 
 
-def search(df: DataFrame, text: str, limit: int = DEFAULT_ROWS, in_payload: bool = False, level=None) -> DataFrame:
+def search(df: DataFrame, text: str, limit: int | None = None, in_payload: bool = False, level=None) -> DataFrame:
     return recent(df, limit, search=text, in_payload=in_payload, level=level)
 
 
@@ -99,16 +103,34 @@ def stats_level(df: DataFrame) -> DataFrame:
     return df.groupBy("level").agg(F.count(F.lit(1)).alias("entries"))
 
 
-def tags(df: DataFrame, limit: int = DEFAULT_ROWS) -> DataFrame:
-    """The most used tags with the time of their last entry."""
+def tags(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Tags with the time of their last entry, the most used first."""
     counted = df.groupBy("tag").agg(F.count(F.lit(1)).alias("entries"), F.max("log_ts").alias("latest"))
-    return counted.orderBy(F.desc("entries"), "tag").limit(limit)
+    return _first(counted, [F.desc("entries"), F.col("tag").asc()], limit)
 
 
-def error_context(df: DataFrame, event: DataFrame, n: int = 50) -> DataFrame:
-    """The newest ``n`` rows at or before the time of one event (a one-row frame)."""
-    at = event.select("log_ts").scalar()
-    return df.filter(F.col("log_ts") <= at).orderBy(*_newest()).limit(n)
+def error_context(df: DataFrame, events: DataFrame, n: int = 50, bucket: str = "hour") -> DataFrame:
+    """The newest ``n`` rows at or before the time of each event (event_id, log_ts), as rows with its ``event_id``.
+
+    Rows are numbered in order of time, in calendar buckets that are put one after the other by their sizes, and an
+    event asks for the ``n`` numbers up to its own.  So each event costs ``n`` rows, and no rows are paired by a range.
+    Rows and events without a time have no place and no context.
+    """
+    rows = df.filter(F.col("log_ts").isNotNull()).select(
+        F.date_trunc(bucket, F.col("log_ts")).alias("_b"), F.col("log_ts").alias("_at"), F.lit(1).alias("_row"),
+        F.col("id").alias("_id"), F.struct(*df.columns).alias("_r"))
+    asked = events.filter(F.col("log_ts").isNotNull()).select(
+        F.date_trunc(bucket, F.col("log_ts")).alias("_b"), F.col("log_ts").alias("_at"), F.lit(0).alias("_row"), "event_id")
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    # One row for each bucket: the calendar bounds them.
+    sizes = both.groupBy("_b").agg(F.sum("_row").alias("_size"))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_b", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_b").orderBy("_at", F.col("_row").desc(), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_n", F.sum("_row").over(inside)).join(offsets, "_b").withColumn("_n", F.col("_n") + F.col("_before"))
+    wanted = placed.filter("_row = 0 AND _n > 0").select(
+        "event_id", F.explode(F.sequence(F.greatest(F.col("_n") - (n - 1), F.lit(1)), F.col("_n"))).alias("_n"))
+    return wanted.join(placed.filter("_row = 1").select("_n", "_r"), "_n").select("event_id", "_r.*")
 
 
 def job_log(df: DataFrame, job_id=None) -> DataFrame:
@@ -134,20 +156,22 @@ def job_report(jobs: DataFrame, logs: DataFrame) -> DataFrame:
 def tail_budget(df: DataFrame, max_chars: int, line: Column | None = None) -> DataFrame:
     """The newest whole lines of each job whose text, joined by newlines, fits in ``max_chars``.
 
-    If even the newest line is too long, its end is kept.
+    If even the newest line is too long, its end is kept.  A missing field is an empty part of its line, and lines
+    without a job are one job.
     """
     if line is None:
-        line = F.concat(F.col("log_ts").cast("string"), F.lit(" "), "level", F.lit(" "), "tag", F.lit(": "), "message")
-    lined = df.withColumn("line", line).withColumn("_cost", (F.length("line") + 1).cast("long"))
+        said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("log_ts", "level", "tag", "message")]
+        line = F.concat(said[0], F.lit(" "), said[1], F.lit(" "), said[2], F.lit(": "), said[3])
+    lined = df.withColumn("line", F.coalesce(line, F.lit(""))).withColumn("_cost", (F.length("line") + 1).cast("long"))
     kept = budget_prefix(
         lined, ["job_id"], [("log_ts", True), ("id", True)], "_cost", max_chars + 1, keep_first=True, positive=True
     )
     # A line needs its leading newline inside the tail, unless nothing is older.
-    size = lined.groupBy("job_id").agg(F.sum("_cost").alias("_all"))
+    size = under_keys(lined.groupBy("job_id").agg(F.sum("_cost").alias("_all")), ["job_id"])
     fits = (F.col("running_cost") <= max_chars) | (F.col("running_cost") == F.col("_all")) | (
         F.col("running_cost") == F.col("_cost"))
     return (
-        kept.join(size, "job_id").filter(fits)
+        kept.join(size, same_key(["job_id"])).filter(fits)
         .withColumn("line", F.right("line", F.lit(max_chars)))
-        .drop("_cost", "_all", "running_cost")
+        .drop("_cost", "_all", "_k_job_id", "running_cost")
     )

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.finance import clean_value, is_close, parse_date, rescale
+from millrace.functions.finance import clean_value, is_close, money_number, parse_date, rescale
 from millrace.plans.shapes import asof_join, first_per_key, top_per_key
 
 MOVING_ROWS = 756
@@ -44,6 +44,20 @@ def melt_statement(wide: DataFrame, ids: Sequence[str] = ("label", "concept")) -
     return long.filter(F.abs("value") >= NEAR_ZERO)
 
 
+def unreadable(df: DataFrame, money: Sequence[str] = (), dates: Sequence[str] = ()) -> DataFrame:
+    """For each of the columns, how many values there are and how many of them cannot be read as money or as a date.
+
+    ``melt_statement`` takes the former for zero and ``parse_date`` the latter for missing; this tells how many.
+    """
+    held = [(c, "money", money_number(F.col(c).cast("string"))) for c in money]
+    held += [(c, "date", parse_date(F.col(c).cast("string"))) for c in dates]
+    there = lambda c: F.btrim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    counts = df.agg(*[F.struct(
+        F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count_if(there(c)).alias("n_values"),
+        F.count_if(there(c) & value.isNull()).alias("n_unreadable")).alias(f"_{i}") for i, (c, kind, value) in enumerate(held)])
+    return counts.select(F.inline(F.array(*counts.columns)))
+
+
 def fundamentals(df: DataFrame, ticker: str, concept: str, start: str, end: str) -> DataFrame:
     found = df.filter((F.col("ticker") == ticker) & (F.col("concept") == concept) & F.col("period_end_date").between(
         F.lit(start).cast("date"), F.lit(end).cast("date")))

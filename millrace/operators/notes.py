@@ -19,9 +19,6 @@ META_COLUMNS = (
     "dimension_member_label", "is_breakdown", "label", "level", "parent_abstract_concept", "parent_concept",
     "preferred_sign", "standard_concept", "weight",
 )
-CATALOG_ROWS = 50
-SERIES_ROWS = 500
-MAX_QUARTERS = 12
 
 
 def to_tidy(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -66,21 +63,33 @@ def fill_meta(tidy: DataFrame) -> DataFrame:
 def registry(tidy: DataFrame, key: Sequence[str] = ("ticker", "detail_table_name", "accession_no", "note_number")) -> DataFrame:
     """Row count and distinct concepts of each detail table, with an id from its natural key.
 
-    Concepts are made distinct before they are gathered; a table has few of them.
+    Concepts are made distinct first and gathered as a list; ``registry_concepts``
+    gives them as rows, for tables that may have more than a list should hold.
     """
     key = list(key)
-    counts = tidy.groupBy(*key, "concept").agg(F.count(F.lit(1)).alias("_n"))
+    counts = _concept_counts(tidy, key)
     named = F.when(F.coalesce("concept", F.lit("")) != "", F.col("concept"))
     return counts.groupBy(*key).agg(
         F.sum("_n").alias("row_count"), F.array_sort(F.collect_list(named)).alias("available_concepts"),
     ).withColumn("registry_id", md5_of(*[F.col(k) for k in key]))
 
 
+def _concept_counts(tidy: DataFrame, key: list[str]) -> DataFrame:
+    return tidy.groupBy(*key, "concept").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def registry_concepts(tidy: DataFrame, key: Sequence[str] = ("ticker", "detail_table_name", "accession_no", "note_number")) -> DataFrame:
+    """Id of each detail table and each of its concepts, with the number of rows; nothing is gathered."""
+    counts = _concept_counts(tidy, list(key)).filter(F.coalesce("concept", F.lit("")) != "")
+    return counts.withColumn("registry_id", md5_of(*[F.col(k) for k in key])).select(
+        "registry_id", "concept", F.col("_n").alias("row_count"))
+
+
 def concept_catalog(details: DataFrame, key: Sequence[str] = ("ticker", "accession_no", "note_number"),
-                    n: int | None = CATALOG_ROWS) -> DataFrame:
+                    n: int | None = None) -> DataFrame:
     """Concept and member of each note: periods, first and last, and the newest label, axis and value.
 
-    Headings and empty values do not count; a note lists its first ``n`` entries.
+    Headings and empty values do not count; a note lists its first ``n`` entries, or all.
     """
     group = [*key, "concept", "dimension_member_label"]
     shown = details.filter(~F.col("abstract") & (F.col("value") != ""))
@@ -100,7 +109,7 @@ def concept_catalog(details: DataFrame, key: Sequence[str] = ("ticker", "accessi
 
 
 def series(details: DataFrame, ticker: str, concept: str, start: str | None = None, end: str | None = None,
-           n: int = SERIES_ROWS) -> DataFrame:
+           n: int | None = None) -> DataFrame:
     """One concept from the first day of one month to the last day of another, newest first."""
     import re
 
@@ -112,7 +121,8 @@ def series(details: DataFrame, ticker: str, concept: str, start: str | None = No
         found = found.filter(F.col("period_end_date") >= F.lit(f"{start}-01").cast("date"))
     if end:
         found = found.filter(F.col("period_end_date") <= F.last_day(F.lit(f"{end}-01").cast("date")))
-    return found.orderBy(F.desc("period_end_date"), F.desc("detail_id")).limit(n)
+    newest = found.orderBy(F.desc("period_end_date"), F.desc("detail_id"))
+    return newest if n is None else newest.limit(n)
 
 
 def filing_range(filings: DataFrame) -> DataFrame:
@@ -130,13 +140,13 @@ def with_fiscal_quarter(filings: DataFrame) -> DataFrame:
         "year", fiscal_year(F.col("period_of_report"), month))
 
 
-def quarter_range(df: DataFrame, start: str, end: str, year_end_month: Column, n: int = MAX_QUARTERS) -> DataFrame:
-    """Fiscal quarters from one month to another (date columns), ``n`` at most, one row each."""
+def quarter_range(df: DataFrame, start: str, end: str, year_end_month: Column, n: int | None = None) -> DataFrame:
+    """Fiscal quarters from one month to another (date columns), all of them or the first ``n``, one row each."""
     def number(col: str) -> Column:
         first = F.trunc(F.col(col), "month")
         return fiscal_year(first, year_end_month) * 4 + fiscal_quarter(F.month(first), year_end_month) - 1
 
-    last = F.least(number(end), number(start) + n - 1)
+    last = number(end) if n is None else F.least(number(end), number(start) + n - 1)
     quarters = F.when(last >= number(start), F.sequence(number(start), last))
     return (
         df.withColumn("_q", F.explode(quarters))

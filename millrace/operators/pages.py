@@ -198,7 +198,7 @@ def is_media_only(markup: Column) -> Column:
     return F.coalesce(player & (paragraph_chars(markup) < MEDIA_CHARS), F.lit(False))
 
 
-def slim(pages: DataFrame, limit: int = 40_000, markup: str = "html", extra: Sequence[str] = ()) -> DataFrame:
+def slim(pages: DataFrame, limit: int | None = None, markup: str = "html", extra: Sequence[str] = ()) -> DataFrame:
     return pages.withColumn("slim", slim_html(F.col(markup), limit, extra))
 
 

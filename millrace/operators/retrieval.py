@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.vectors import vector_fault
-from millrace.plans.shapes import SMALL_SIDE_ROWS, islands, top_per_key
+from millrace.plans.shapes import is_small, islands, top_per_key
 
 # Ranking constants and search defaults.
 BM25_K1 = 1.2
@@ -22,11 +22,9 @@ RRF_K = 60
 VECTOR_WEIGHT = 0.6
 KEYWORD_WEIGHT = 0.4
 OVERFETCH = 3
-MAX_RESULTS = 50
-DIGITS = 5
+DIGITS = 5  # of fused scores
 MAX_QUERIES = 1024
 MAX_QUERY_VALUES = 4_000_000
-SHARD_DOCS = 50_000
 
 # Words that mark a contents page, and dotted leaders with a page number.
 TOC_WORDS = ("contents", "index", "table of contents", "daftar isi")
@@ -34,112 +32,118 @@ TOC_LEADER = r"\.{3,}\s*\d+"
 TOC_LEADERS = 3
 
 
-def _distances(docs: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+def _exact(docs: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return np.sqrt(((docs - query) ** 2).sum(axis=1))
-    norms = np.sqrt((docs**2).sum(axis=1)) * np.sqrt((query**2).sum())
-    return 1.0 - (docs @ query) / norms
+    return 1.0 - (docs * query).sum(axis=1) / (np.sqrt((docs**2).sum(axis=1)) * np.sqrt((query**2).sum()))
 
 
-def _nearest(ids: np.ndarray, docs: np.ndarray, query_ids, queries: np.ndarray, k: int, metric: str):
-    """The k nearest rows of a batch for each query, ties by id."""
+def _nearest(ids: np.ndarray, docs: np.ndarray, query_ids: list, queries: np.ndarray, k: int, metric: str):
+    """The k nearest rows of a batch for each query, ties by id.
+
+    One matrix product gives distances that are off by their last digits; the rows
+    that these leave in question are worked out exactly and ranked.
+    """
+    products = docs @ queries.T
+    sizes, asked = (docs**2).sum(axis=1), (queries**2).sum(axis=1)
+    if metric == "l2":
+        rough = sizes[:, None] + asked - 2 * products
+        slack = 1e-9 * (sizes.max() + asked)
+    else:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rough = 1.0 - products / (np.sqrt(sizes)[:, None] * np.sqrt(asked))
+        rough = np.nan_to_num(rough, nan=np.inf)
+        slack = np.full(len(queries), 1e-9)
     out_q, out_i, out_d = [], [], []
-    for qid, query in zip(query_ids, queries):
-        d = np.round(_distances(docs, query, metric), DIGITS)
-        pick = np.arange(len(d))
-        if len(d) > k:
-            pick = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-        pick = pick[np.lexsort((ids[pick], d[pick]))[:k]]
-        out_q.extend([qid] * len(pick))
-        out_i.append(ids[pick])
-        out_d.append(d[pick])
+    for j, (qid, query) in enumerate(zip(query_ids, queries)):
+        column = rough[:, j]
+        pick = np.arange(len(column))
+        if len(column) > k:
+            pick = np.flatnonzero(column <= np.partition(column, k - 1)[k - 1] + slack[j])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = _exact(docs[pick], query, metric)
+        order = np.lexsort((ids[pick], d))[:k]
+        out_q.extend([qid] * len(order))
+        out_i.append(ids[pick][order])
+        out_d.append(d[order])
     return out_q, np.concatenate(out_i), np.concatenate(out_d)
 
 
-def _matrix(values: pa.Array) -> np.ndarray:
-    flat = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-
-
 def knn(docs: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", where: Column | None = None,
         prefilter: bool = True, max_queries: int = MAX_QUERIES) -> DataFrame:
     """The ``k`` nearest of ``docs`` (id, vec) for each of ``queries`` (query_id, query_vec).
 
-    Every doc is compared with every query, in Arrow batches; a batch hands on
-    only its own ``k`` best for each query, so little is shuffled and nothing is
-    paired.  Up to ``max_queries`` queries travel with the tasks; more of them are
-    cut into blocks and met with shards of the docs by a co-grouped shuffle.
+    Every doc is compared with every query of its length, in Arrow batches; a batch
+    hands on only its own ``k`` best for each query, so little is shuffled, no doc is
+    copied and nothing is paired.  Queries travel with the tasks, in blocks of at most
+    ``max_queries`` rows and ``MAX_QUERY_VALUES`` numbers, so the number of passes
+    over the docs follows the number of queries.  Reading the queries is a job of its
+    own, which runs at once.  Ranks go by full distances.  Vectors that are null or
+    hold a value that is not a finite number take no part; ``validate_vectors`` tells
+    them apart, as well as those of another length.
     ``where`` limits the docs before the search, or after it without ``prefilter``.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric: {metric!r}")
     if where is not None and prefilter:
         docs = docs.filter(where)
-    ready = docs.select("id", "vec").filter(F.col("vec").isNotNull())
-    asked = queries.select("query_id", "query_vec").filter(F.col("query_vec").isNotNull())
+
+    def sound(vec: str) -> Column:
+        return F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+    ready = docs.select("id", "vec").filter(sound("vec"))
+    asked = queries.select("query_id", "query_vec").filter(sound("query_vec"))
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("id", docs.schema["id"].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    head = asked.limit(max_queries + 1).toPandas()
-    values = sum(len(x) for x in head["query_vec"])
-    if len(head) <= max_queries and values <= MAX_QUERY_VALUES:
-        near = _knn_small(ready, head, k, metric, schema)
-    else:
-        near = _knn_blocks(ready, asked, k, metric, schema, max_queries)
+    near = docs.sparkSession.createDataFrame([], schema)
+    for block in _query_blocks(asked, max_queries):
+        near = near.unionByName(_knn_block(ready, block, k, metric, schema))
     order = [F.col("distance").asc(), F.col("id").asc()]
     best = top_per_key(near, ["query_id"], order, k, "rank")
     if where is not None and not prefilter:
         best = best.join(docs.filter(where).select("id"), "id", "left_semi")
         best = top_per_key(best.drop("rank"), ["query_id"], order, k, "rank")
-    return best.withColumn("similarity", F.round(1 - F.col("distance"), DIGITS))
+    return best.withColumn("similarity", 1 - F.col("distance"))
+
+
+def _query_blocks(asked: DataFrame, max_queries: int) -> Iterator[list[tuple]]:
+    block, values = [], 0
+    for row in asked.toLocalIterator():
+        if block and (len(block) >= max_queries or values + len(row.query_vec) > MAX_QUERY_VALUES):
+            yield block
+            block, values = [], 0
+        block.append((row.query_id, row.query_vec))
+        values += len(row.query_vec)
+    if block:
+        yield block
 
 
-def _knn_small(docs: DataFrame, queries: pd.DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
-    if queries.empty:
-        return docs.sparkSession.createDataFrame([], schema)
-    query_ids = queries["query_id"].tolist()
-    matrix = np.stack([np.asarray(x, dtype=np.float64) for x in queries["query_vec"]])
-    shared = docs.sparkSession.sparkContext.broadcast((query_ids, matrix))
+def _knn_block(docs: DataFrame, block: list[tuple], k: int, metric: str, schema: T.StructType) -> DataFrame:
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    for size in {len(v) for _, v in block}:
+        same = [(q, v) for q, v in block if len(v) == size]
+        by_size[size] = ([q for q, _ in same], np.array([v for _, v in same], dtype=np.float64).reshape(len(same), size))
+    shared = docs.sparkSession.sparkContext.broadcast(by_size)
 
     def search(batches):
-        qids, qvecs = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            q, i, d = _nearest(ids, _matrix(batch.column(1)), qids, qvecs, k, metric)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q), pa.array(i, type=batch.schema.field(0).type), pa.array(d)], ["query_id", "id", "distance"])
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for size, (qids, qvecs) in shared.value.items():
+                rows = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                if not rows.num_rows:
+                    continue
+                flat = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ids = rows.column(0).to_numpy(zero_copy_only=False)
+                q, i, d = _nearest(ids, flat.reshape(len(ids), size), qids, qvecs, k, metric)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q), pa.array(i, type=batch.schema.field(0).type), pa.array(d)], ["query_id", "id", "distance"])
 
     return docs.mapInArrow(search, schema)
 
 
-def _knn_blocks(docs: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.StructType, block_rows: int) -> DataFrame:
-    blocks = -(-queries.count() // block_rows)
-    shards = -(-docs.count() // SHARD_DOCS) or 1
-
-    def slot(col: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = docs.withColumn("shard", slot("id", shards)).withColumn("block", every(blocks))
-    right = queries.withColumn("block", slot("query_id", blocks)).withColumn("shard", every(shards))
-
-    def search(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if d.empty or q.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        qs, ids, dist = _nearest(
-            d["id"].to_numpy(), np.stack(d["vec"]).astype(np.float64), q["query_id"].tolist(),
-            np.stack(q["query_vec"]).astype(np.float64), k, metric)
-        return pd.DataFrame({"query_id": qs, "id": ids, "distance": dist})
-
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, schema)
-
-
 def above(hits: DataFrame, threshold: float) -> DataFrame:
     """Hits at least as similar as the threshold."""
     return hits.filter(F.col("similarity") >= threshold)
@@ -196,6 +200,18 @@ def write_index(docs: DataFrame, columns: Sequence[str], path: str) -> None:
     _count_words(_pieces(docs, columns)).sort("token", "id").write.mode("overwrite").parquet(path)
 
 
+def update_index(index: DataFrame, changed: DataFrame, columns: Sequence[str], removed: DataFrame | None = None) -> DataFrame:
+    """The index after documents came, changed or went (``removed`` has their ids): only texts of ``changed`` are read.
+
+    Sorted as ``write_index`` does, to be written to a new place.
+    """
+    gone = changed.select("id")
+    if removed is not None:
+        gone = gone.unionByName(removed.select("id"))
+    kept = index.join(gone.distinct(), "id", "left_anti")
+    return kept.unionByName(_count_words(_pieces(changed, columns))).sort("token", "id")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct words of each query (query_id, query_text), with their number."""
     words = F.array_distinct(tokens(clean_query(F.col("query_text"))))
@@ -225,7 +241,7 @@ def bm25_index(index: DataFrame, queries: DataFrame, k: int, *, allowed: DataFra
 def _wanted(queries: DataFrame):
     terms = query_terms(queries)
     # The words and weights of all queries have no more rows than this frame.
-    small = terms.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
+    small = is_small(terms)
     every = queries.sparkSession.createDataFrame([("",)], "token string")
     return terms, (F.broadcast if small else (lambda df: df)), terms.select("token").union(every).distinct()
 
@@ -253,9 +269,10 @@ def _ranked(posts: DataFrame, terms: DataFrame, hint, k: int, allowed: DataFrame
     gain = F.col("_idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + size_part)
     hits = (
         pairs.join(posts, ["token", "id", "length"])
-        .groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("_hits"), F.sum(gain).alias("_score"))
-        .filter(F.col("_hits") == F.col("n_terms"))
-        .select("query_id", "id", F.round("_score", DIGITS).alias("score"))
+        .groupBy("query_id", "id", "n_terms").agg(F.array_sort(F.collect_list(F.struct("token", gain.alias("gain")))).alias("_gains"))
+        .filter(F.size("_gains") == F.col("n_terms"))
+        # Added up in order of words, so that equal documents have equal scores to the last digit.
+        .select("query_id", "id", F.aggregate("_gains", F.lit(0.0), lambda s, g: s + g["gain"]).alias("score"))
     )
     return top_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("id").asc()], k, "rank")
 
@@ -279,16 +296,19 @@ def rrf(vector_hits: DataFrame, keyword_hits: DataFrame, w_vec: float = VECTOR_W
 
 def hybrid_search(docs: DataFrame, columns: Sequence[str], vectors: DataFrame, queries: DataFrame, *,
                   allowed: DataFrame | None = None, limit: int = 5, w_vec: float = VECTOR_WEIGHT,
-                  w_kw: float = KEYWORD_WEIGHT) -> DataFrame:
+                  w_kw: float = KEYWORD_WEIGHT, index: DataFrame | None = None) -> DataFrame:
     """Vector and keyword search, three times ``limit`` from each, fused by rank.
 
     ``queries`` have query_id, query_text and query_vec; ``vectors`` id and vec;
-    ``allowed`` the ids that may be found.
+    ``allowed`` the ids that may be found.  With ``index``, made by ``write_index``
+    of the same texts, no text is read.
     """
-    limit = min(limit, MAX_RESULTS)
     found = vectors if allowed is None else vectors.join(allowed.select("id"), "id", "left_semi")
     near = knn(found, queries, OVERFETCH * limit)
-    words = bm25(docs, columns, queries, OVERFETCH * limit, allowed=allowed)
+    if index is None:
+        words = bm25(docs, columns, queries, OVERFETCH * limit, allowed=allowed)
+    else:
+        words = bm25_index(index, queries, OVERFETCH * limit, allowed=allowed)
     return rrf(near, words, w_vec, w_kw, limit=limit)
 
 
@@ -318,26 +338,43 @@ def page_range(pages: DataFrame, text: str, page: str = "page_number") -> DataFr
     return pages.filter(wanted)
 
 
-def greedy_fill(df: DataFrame, keys: Sequence[str], order: Sequence[Column], item: str, cost: str, budget: int,
-                k: int = MAX_RESULTS) -> DataFrame:
-    """Of the first ``k`` items of each key, in order, those that still fit; one that does not is passed over.
+def greedy_fill(df: DataFrame, keys: Sequence[str], order: Sequence[Column], item: str, cost: str, budget: int) -> DataFrame:
+    """Of the items of each key, in order, those that still fit; one that does not is passed over.
 
-    The search before it ends at ``k`` items, so a key has no more here either.
+    Items without a cost, or above the budget by themselves, can never fit and go
+    first.  The rest of a key passes through one task in sorted order, which holds
+    the sum and the items kept, no more than the budget has room for besides those
+    that cost nothing.
     """
-    if k > MAX_RESULTS:
-        raise ValueError(f"at most {MAX_RESULTS} items of a key are walked")
-    ranked = top_per_key(df, list(keys), order, k, "_r")
-    entry = F.struct(F.col("_r"), F.col(item).alias("item"), F.col(cost).cast("long").alias("cost"))
-    lists = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_items"))
-    kind = ranked.schema[item].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["cost"] <= budget
-        return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), F.array_append(acc["kept"], x["item"]).alias("kept"))).otherwise(acc)
-
-    filled = lists.withColumn("_f", F.aggregate("_items", start, step))
-    return filled.select(*keys, F.col("_f.used").alias("used"), F.posexplode("_f.kept").alias("position", item))
+    keys = list(keys)
+    walked = df.filter(F.col(cost) <= budget).repartition(*keys).sortWithinPartitions(*keys, *order).select(
+        *keys, F.col(item).alias("_item"), F.col(cost).cast("long").alias("_cost"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def walk(batches):
+        names = [*keys, "used", "position", item]
+        key, used, kept, types = None, 0, [], None
+
+        def filled():
+            columns = [pa.array([key[i]] * len(kept), types[i]) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array([used] * len(kept), pa.int64()), pa.array(range(len(kept)), pa.int32()), pa.array(kept, types[-1])], names)
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(keys) + 1)]
+            lists = [c.to_pylist() for c in batch.columns]
+            for *here, value, size in zip(*lists):
+                if here != key:
+                    if kept:
+                        yield filled()
+                    key, used, kept = here, 0, []
+                if used + size <= budget:
+                    used += size
+                    kept.append(value)
+        if kept:
+            yield filled()
+
+    return walked.mapInArrow(walk, f"{kinds}, used long, position int, `{item}` {df.schema[item].dataType.simpleString()}")
 
 
 def is_contents_page(text: Column, words: Sequence[str] = TOC_WORDS) -> Column:

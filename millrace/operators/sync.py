@@ -178,10 +178,21 @@ def outcomes(counts: DataFrame) -> DataFrame:
     return _totals(counts).select(F.inline(rows))
 
 
+# Columns that tell which of two rows is newer, in this order of preference.
+AGE_COLUMNS = ("updated_at", "hashed_at", "completed_at", "scraped_at", "created_at", "timestamp")
+
+
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], newest: str = "updated_at",
           keep: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
-    """Upsert ``source`` into ``target``: one row per key, newest source row, columns in ``keep`` stay as they were."""
-    order = [F.col(newest).desc_nulls_last(), *[F.col(c).desc() for c in tie]]
+    """Upsert ``source`` into ``target``: one row per key, newest source row, columns in ``keep`` stay as they were.
+
+    Without the column ``newest`` the first of ``AGE_COLUMNS`` that is there decides, or else the hash of the row, so
+    that the same rows always give the same result.
+    """
+    age = [c for c in (newest, *AGE_COLUMNS) if c in source.columns][:1]
+    order = [*[F.col(c).desc_nulls_last() for c in age], *[F.col(c).desc() for c in tie]]
+    if not age:
+        order.append(F.xxhash64(*source.columns).desc())
     fresh = first_per_key(source, list(keys), order)
     shared = [c for c in target.columns if c in fresh.columns and c not in keys]
     fresh = under_keys(

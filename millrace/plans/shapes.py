@@ -14,18 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_SIDE_ROWS = 50_000
+SMALL_SIDE_BYTES = 8 << 20
+#: Above this many rows of a key Spark no longer cuts input tasks down by rank.
+GROUP_LIMIT = 1000
 MIN_SALTS = 32
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS, max_bytes: int = SMALL_SIDE_BYTES) -> bool:
+    """Whether a frame has at most so many rows and bytes, both read off its rows; reading stops one row past the bound."""
+    size = F.coalesce(F.octet_length(F.to_json(F.struct(*df.columns))), F.lit(0))
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows <= max_rows and (held or 0) <= max_bytes
 
-    The rows are counted first, and counting stops one past the bound.  A larger
-    frame is returned without a hint, so that the join shuffles instead.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+
+def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only if ``is_small``; a larger frame has no hint, so that the join shuffles instead."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def top_per_key(
@@ -34,9 +38,18 @@ def top_per_key(
     """First ``n`` rows of each key.
 
     Spark turns the rank filter into a group limit on the map side, so at most
-    ``n`` rows per key and input task are shuffled, however large the key is.
+    ``n`` rows per key and input task are shuffled, however large the key is.  It
+    does so up to ``GROUP_LIMIT`` rows; for more, a key is first split over salts
+    and each part cut to ``n`` rows by itself, so that the last step sorts no more
+    than ``n`` rows of a key and salt.
     """
     rank = rank_col or "_rank"
+    if n > GROUP_LIMIT:
+        salts = max(MIN_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        spread = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts))).withColumn(
+            "_part", F.row_number().over(part)).filter(F.col("_part") <= n).drop("_salt", "_part")
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
     if rank_col is None:
@@ -74,7 +87,7 @@ def budget_prefix(
     """Rows of each key, in order, up to the first one that overflows the budget.
 
     ``order`` lists (column, descending) pairs that order a key fully; ``cost`` is
-    a column of whole numbers, not negative.  ``keep_first`` keeps the first
+    a column of whole numbers, not negative; null counts as 0.  ``keep_first`` keeps the first
     costly row of a key even if it is too large by itself.  ``positive`` says that
     every row costs something, which leaves out the last step below.
 
@@ -90,7 +103,7 @@ def budget_prefix(
     budget_col = F.lit(budget) if isinstance(budget, int) else budget
     exprs = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
     order_cols = [c for c, _ in order]
-    base = df.withColumn("_budget", budget_col.cast("long"))
+    base = df.withColumn("_budget", budget_col.cast("long")).withColumn(cost, F.coalesce(cost, F.lit(0)))
 
     costly = base.filter(F.col(cost) > 0)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(salts))

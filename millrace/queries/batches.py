@@ -221,7 +221,7 @@ def url_dedupe(v):
 
 
 COST = """
-e AS (SELECT *, char_count + CASE WHEN has_screenshot AND id < max(CASE WHEN has_screenshot THEN id END) OVER (PARTITION BY session_id) THEN 0 ELSE attachment_char_count END AS cost FROM messages_v),
+e AS (SELECT *, char_count + CASE WHEN has_screenshot AND id < max(CASE WHEN has_screenshot THEN id END) OVER (PARTITION BY session_id) THEN 0 ELSE coalesce(attachment_char_count, 0) END AS cost FROM messages_v),
 r AS (SELECT *, sum(cost) OVER (PARTITION BY session_id ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS cum FROM e),
 k AS (SELECT * FROM r WHERE cum <= 3000),
 sc AS (SELECT m.session_id, CAST(coalesce(sum(k.cost), 0) AS BIGINT) AS cost FROM (SELECT DISTINCT session_id FROM messages_v) m LEFT JOIN k ON m.session_id = k.session_id GROUP BY 1)"""
@@ -248,7 +248,7 @@ def ctx_exceeds(v):
 
 
 @query("ctx_evict", ["messages_v"], """
-WITH s AS (SELECT *, char_count + attachment_char_count AS size FROM messages_v),
+WITH s AS (SELECT *, char_count + coalesce(attachment_char_count, 0) AS size FROM messages_v),
 r AS (SELECT *, sum(size) OVER (PARTITION BY session_id ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS rn FROM s)
 SELECT session_id, id, content, char_count FROM r WHERE cum <= 1400
 UNION ALL SELECT session_id, id, substr(content, 1, 1000), length(substr(content, 1, 1000)) FROM r WHERE rn = 1 AND size > 1400""")

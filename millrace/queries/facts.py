@@ -147,7 +147,7 @@ def fact_upsert(v):
 SELECT ticker, concept, quarter, numeric_value, concept_order FROM stored_v WHERE ticker = 'BUILDING' AND statement_type = 'income'
   AND quarter >= '1996-Q1' AND quarter <= '1999-Q4' ORDER BY concept_order, quarter DESC, concept LIMIT 100""")
 def fact_query(v):
-    return A.query_facts(v("stored_v"), "building", "income", start="1996-Q1", end="1999-Q4").select(
+    return A.query_facts(v("stored_v"), "building", "income", start="1996-Q1", end="1999-Q4", limit=100).select(
         "ticker", "concept", "quarter", "numeric_value", "concept_order")
 
 

@@ -1,7 +1,10 @@
 """Queries over logs, jobs and items."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from millrace.functions.logs import since_bound
 from millrace.operators import jobs as J
 from millrace.operators import logs as L
 from millrace.queries.registry import query
@@ -15,7 +18,7 @@ def log_recent(v):
     return L.recent(v("logs_v"), 50, level="info")
 
 
-@query("log_errors", ["logs_v"], f"SELECT {LOG} FROM logs_v WHERE level IN ('ERROR', 'CRITICAL') AND log_ts >= TIMESTAMP '2024-01-03 00:00:00' {NEWEST} LIMIT 5000")
+@query("log_errors", ["logs_v"], f"SELECT {LOG} FROM logs_v WHERE level IN ('ERROR', 'CRITICAL') AND log_ts >= TIMESTAMP '2024-01-03 00:00:00' {NEWEST} LIMIT 9999")
 def log_errors(v):
     return L.errors(v("logs_v"), 9999, since="2024-01-03 00:00:00")
 
@@ -27,7 +30,7 @@ def log_by_tag(v):
 
 @query("log_by_job", ["logs_v"], f"SELECT {LOG} FROM logs_v WHERE job_id = 7 ORDER BY log_ts, id LIMIT 50")
 def log_by_job(v):
-    return L.by_job(v("logs_v"), 7)
+    return L.by_job(v("logs_v"), 7, 50)
 
 
 @query("log_search", ["logs_v"], f"SELECT {LOG} FROM logs_v WHERE contains(lower(message), 'by 4') OR contains(lower(payload_json), 'by 4') {NEWEST} LIMIT 200")
@@ -69,14 +72,30 @@ def log_stats_tag(v):
 
 @query("log_tags", ["logs_v"], "SELECT tag, CAST(count(*) AS BIGINT) AS entries, max(log_ts) AS latest FROM logs_v GROUP BY tag ORDER BY entries DESC, tag LIMIT 50")
 def log_tags(v):
-    return L.tags(v("logs_v"))
+    return L.tags(v("logs_v"), 50)
 
 
 @query("log_error_context", ["logs_v"], f"""
 SELECT {LOG} FROM logs_v WHERE log_ts <= (SELECT max(log_ts) FROM logs_v WHERE level = 'ERROR') {NEWEST} LIMIT 50""")
 def log_error_context(v):
     logs = v("logs_v")
-    return L.error_context(logs, logs.filter("level = 'ERROR'").agg(F.max("log_ts").alias("log_ts")))
+    newest = logs.filter("level = 'ERROR'").agg(F.lit("newest").alias("event_id"), F.max("log_ts").alias("log_ts"))
+    return L.error_context(logs, newest, 50).drop("event_id")
+
+
+@query("log_error_contexts", ["logs_v"], f"""
+WITH e AS (SELECT id AS event_id, log_ts AS moment FROM logs_v WHERE level = 'ERROR'),
+p AS (SELECT event_id, l.id, row_number() OVER (PARTITION BY event_id {NEWEST}) AS n FROM e JOIN logs_v l ON log_ts <= moment)
+SELECT event_id, id FROM p WHERE n <= 5""")
+def log_error_contexts(v):
+    logs = v("logs_v")
+    events = logs.filter("level = 'ERROR'").select(F.col("id").alias("event_id"), "log_ts")
+    return L.error_context(logs, events, 5).select("event_id", "id")
+
+
+@query("log_since", ["logs_v"], f"SELECT {LOG} FROM logs_v WHERE level IN ('ERROR', 'CRITICAL') AND log_ts >= TIMESTAMP '2024-01-02 12:00:00'")
+def log_since(v):
+    return L.errors(v("logs_v"), since=since_bound("36h", datetime(2024, 1, 4)))
 
 
 @query("log_job_export", ["logs_v"], "SELECT job_id, log_ts, level, tag, message FROM logs_v")
@@ -100,15 +119,18 @@ def job_report(v):
 
 @query("log_tail_budget", ["logs_v"], """
 WITH s AS (
-  SELECT id, job_id, concat(level, ' ', tag, ': ', message, ' | payload: ', payload_json) AS line, log_ts FROM logs_v),
+  SELECT id, CASE WHEN level = 'DEBUG' THEN NULL ELSE job_id END AS job_id,
+    concat(level, ' ', CASE WHEN level = 'WARNING' THEN '' ELSE tag END, ': ', message, ' | payload: ', payload_json) AS line, log_ts FROM logs_v),
 c AS (
   SELECT *, sum(length(line) + 1) OVER (PARTITION BY job_id ORDER BY log_ts DESC, id DESC ROWS UNBOUNDED PRECEDING) AS cum,
     sum(length(line) + 1) OVER (PARTITION BY job_id) AS total FROM s)
 SELECT id, job_id, CASE WHEN length(line) > 2000 THEN right(line, 2000) ELSE line END AS line FROM c
 WHERE cum <= 2000 OR (cum = total AND total - 1 <= 2000) OR cum = length(line) + 1""")
 def log_tail_budget(v):
-    line = F.concat("level", F.lit(" "), "tag", F.lit(": "), "message", F.lit(" | payload: "), "payload_json")
-    return L.tail_budget(v("logs_v"), 2000, line).select("id", "job_id", "line")
+    level = F.col("level")
+    logs = v("logs_v").withColumn("job_id", F.when(level != "DEBUG", F.col("job_id"))).withColumn("tag", F.when(level != "WARNING", F.col("tag")))
+    line = F.concat("level", F.lit(" "), F.coalesce("tag", F.lit("")), F.lit(": "), "message", F.lit(" | payload: "), "payload_json")
+    return L.tail_budget(logs, 2000, line).select("id", "job_id", "line")
 
 
 NOW = "(SELECT max(updated_at) FROM jobs_v)"

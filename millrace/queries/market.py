@@ -173,8 +173,9 @@ def _two_sources(v):
     stored = v("stored_v").withColumn("metric", F.col("concept")).withColumnRenamed("period_end", "period_end_date")
     ref = stored.select("ticker", "metric", "period_end_date", F.col("numeric_value").alias("value"))
     n = F.col("numeric_value")
-    calc = stored.filter("quarter NOT LIKE '1997%'").select(
-        "ticker", "metric", "period_end_date",
+    # The values of one year stand under another day, so that the first source misses them.
+    calc = stored.select(
+        "ticker", "metric", F.when(F.col("quarter").startswith("1997"), F.date_add("period_end_date", 1)).otherwise(F.col("period_end_date")).alias("period_end_date"),
         F.when(F.col("quarter").endswith("Q1"), n / 1000).when(F.col("quarter").endswith("Q2"), n * 1.2).otherwise(n.cast("double")).alias("value"))
     return ref, calc
 
@@ -194,6 +195,15 @@ def fin_score_table(v):
     return M.score_table(*_two_sources(v), 0.01)
 
 
+@query("fin_unreadable", [], """
+SELECT 'price' AS "column", 'money' AS kind, count(*)::BIGINT AS n_values, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS n_unreadable FROM orders
+UNION ALL SELECT 'day', 'date', count(*) FILTER (WHERE o_orderpriority <> '5-LOW'), count(*) FILTER (WHERE o_orderpriority = '1-URGENT') FROM orders""")
+def fin_unreadable(v):
+    price = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.concat(F.lit("($"), F.col("o_totalprice").cast("string"), F.lit(")")))
+    day = F.when(F.col("o_orderpriority") == "1-URGENT", "soon").when(F.col("o_orderpriority") != "5-LOW", F.date_format("o_orderdate", "MM/dd/yyyy"))
+    return M.unreadable(v("orders").select(price.alias("price"), day.alias("day")), ["price"], ["day"])
+
+
 @query("evt_outcomes", [], """
 SELECT concat(p_name, ' ', p_type) AS title, concat('p-', p_partkey) AS slug, p_retailprice AS volume,
   concat(p_brand, ': ', format('{:.1f}', p_size / 64.0 * 100), '% | none: ', format('{:.1f}', (1 - p_size / 64.0) * 100), '%') AS probability_context

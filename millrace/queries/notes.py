@@ -66,7 +66,7 @@ WITH g AS (SELECT ticker, accession_no, note_number, concept, dimension_member_l
 SELECT * EXCLUDE (s), s.l AS label, s.a AS dimension_axis, s.v AS sample_value FROM g
 QUALIFY row_number() OVER (PARTITION BY ticker, accession_no, note_number ORDER BY concept, dimension_member_label) <= 50""")
 def note_catalog(v):
-    return N.concept_catalog(v("tidy_v"))
+    return N.concept_catalog(v("tidy_v"), n=50)
 
 
 @query("note_sample", ["tidy_v"], f"""SELECT detail_id, {SAMPLE} AS sample FROM (
@@ -81,7 +81,7 @@ def note_sample(v):
 SELECT period_end_date, detail_id, value, label FROM tidy_v WHERE ticker = 'BUILDING' AND concept = 'R'
   AND period_end_date >= DATE '1996-02-01' AND period_end_date <= DATE '1998-06-30' ORDER BY period_end_date DESC, detail_id DESC LIMIT 500""")
 def note_series(v):
-    return N.series(v("tidy_v"), "BUILDING", "R", "1996-02", "1998-06").select("period_end_date", "detail_id", "value", "label")
+    return N.series(v("tidy_v"), "BUILDING", "R", "1996-02", "1998-06", 500).select("period_end_date", "detail_id", "value", "label")
 
 
 @query("note_valid_month", [], """
@@ -120,7 +120,7 @@ e AS (SELECT ticker, form, unnest(generate_series(x, least(y, x + 11))) AS q FRO
 SELECT ticker, form, CAST(q // 4 AS INT) AS fiscal_year, CAST(q % 4 + 1 AS INT) AS fiscal_quarter FROM e""")
 def note_quarter_range(v):
     spans = v("filings_v").groupBy("ticker", "form").agg(F.min("period_of_report").alias("a"), F.max("period_of_report").alias("b"))
-    return N.quarter_range(spans, "a", "b", F.lit(9)).select("ticker", "form", "fiscal_year", "fiscal_quarter")
+    return N.quarter_range(spans, "a", "b", F.lit(9), 12).select("ticker", "form", "fiscal_year", "fiscal_quarter")
 
 
 @query("note_fye_mode", ["filings_v"], """
@@ -173,12 +173,13 @@ def note_status(v):
 
 @query("note_upsert", ["tidy_v"], """
 WITH u AS (SELECT detail_id, any_value(value) AS value, any_value(concept) AS concept, any_value(note_number) AS note_number FROM tidy_v GROUP BY 1)
-SELECT detail_id, CASE WHEN concept <> 'N' THEN concat(value, '!') ELSE value END AS value, CASE WHEN note_number <= 4 THEN 'first' ELSE 'second' END AS created_at
-FROM u WHERE note_number <= 4 OR concept <> 'N'""")
+SELECT detail_id, CASE WHEN note_number <= 4 THEN concat(value, '!') ELSE value END AS value, 'first' AS created_at FROM u
+UNION ALL SELECT concat(detail_id, '+'), concat(value, '!'), 'second' FROM u WHERE note_number > 4""")
 def note_upsert(v):
     rows = v("tidy_v").dropDuplicates(["detail_id"]).select("detail_id", "value", "concept", "note_number", F.col("period_end_date").alias("updated_at"))
-    old = rows.filter("note_number <= 4").withColumn("created_at", F.lit("first"))
-    new = rows.filter("concept <> 'N'").withColumn("created_at", F.lit("second")).withColumn("value", F.concat("value", F.lit("!")))
+    old = rows.withColumn("created_at", F.lit("first"))
+    other = F.when(F.col("note_number") > 4, F.concat("detail_id", F.lit("+"))).otherwise(F.col("detail_id"))
+    new = rows.withColumn("created_at", F.lit("second")).withColumn("value", F.concat("value", F.lit("!"))).withColumn("detail_id", other)
     return N.upsert_notes(old, new).select("detail_id", "value", "created_at")
 
 

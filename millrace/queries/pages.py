@@ -94,11 +94,6 @@ def page_media(v):
     return v("pages").select("page_id", P.paragraph_chars(F.col("html")).alias("chars"), P.is_media_only(F.col("html")).alias("media_only"))
 
 
-@query("page_slim")
-def page_slim(v):
-    return P.slim(v("pages")).select("page_id", "slim")
-
-
 @query("text_json", [], """
 SELECT conv_id, turn, CASE WHEN role = 'system' THEN '{}' ELSE concat('{"n":', length(text), ',"role":"', role, '","turn":', turn, '}') END AS json FROM conversations""")
 def text_json(v):
@@ -182,12 +177,12 @@ def text_truncate(v):
 
 
 @query("art_parse", ["articles_v"], """
-SELECT id, CASE WHEN lang = 'de' THEN 'Empty parsed_json content' WHEN lang = 'fr' THEN 'Missing mandatory JSON fields (title or conclusion)' ELSE 'ok' END AS reason,
+SELECT id, CASE WHEN lang = 'de' THEN 'Empty parsed_json content' WHEN lang = 'fr' OR trim(title) = '' THEN 'Missing mandatory JSON fields (title or conclusion)' ELSE 'ok' END AS reason,
   CASE WHEN lang = 'de' THEN '' ELSE trim(title) END AS title, CASE WHEN lang IN ('de', 'fr') THEN '' ELSE source END AS conclusion,
   CASE WHEN lang = 'de' THEN '' WHEN lang = 'en' THEN concat('- ', source, chr(10), '- ', lang) ELSE source END AS summary
-FROM (SELECT id, lang, source, regexp_replace(title, '[^a-zA-Z ]', '', 'g') AS title FROM articles_v) WHERE trim(title) <> ''""")
+FROM (SELECT id, lang, source, regexp_replace(title, '[^a-zA-Z ]', '', 'g') AS title FROM articles_v)""")
 def art_parse(v):
-    rows = v("articles_v").select("id", "lang", "source", F.regexp_replace("title", "[^a-zA-Z ]", "").alias("t")).filter(F.btrim("t") != "")
+    rows = v("articles_v").select("id", "lang", "source", F.regexp_replace("title", "[^a-zA-Z ]", "").alias("t"))
     lang = F.col("lang")
     summary = F.when(lang == "en", F.concat(F.lit('["'), "source", F.lit('", "", "'), "lang", F.lit('"]'))).otherwise(F.concat(F.lit('"'), "source", F.lit('"')))
     conclusion = F.when(lang == "fr", "").otherwise(F.col("source"))

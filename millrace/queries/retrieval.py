@@ -1,5 +1,7 @@
 """Queries over vectors, texts and pages."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from millrace.functions.vectors import decode_vec, encode_vec
 from millrace.operators import retrieval as R
 from millrace.operators.batches import batch_ids
 from millrace.queries.registry import query
+from millrace.session import ensure_checkpoint_dir
 
 TEXT = ["title", "conclusion", "summary"]
 SEARCH = ["articles_v", "searches_v"]
@@ -16,10 +19,14 @@ def _docs(v) -> DataFrame:
     return v("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
+def _short(column: str):
+    return F.round(column, 5).alias(column)
+
+
 def knn_sql(k: int, where: str = "true") -> str:
     return f"""
-near AS (SELECT query_id, vec_id AS id, round(list_distance(CAST(query_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS distance
-  FROM searches_v, embeddings WHERE {where}),
+near AS (SELECT query_id, vec_id AS id, list_distance(CAST(query_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS distance
+  FROM searches_v, embeddings WHERE query_vec IS NOT NULL AND {where}),
 vec AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS BIGINT) AS rank FROM near QUALIFY rank <= {k})"""
 
 
@@ -31,9 +38,9 @@ st AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS m FROM words),
 terms AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query_text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS token FROM searches_v),
 need AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
 dfs AS (SELECT token, greatest(ln(((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5)), 0) AS raw FROM posts GROUP BY 1),
-sc AS (SELECT query_id, id, count(*) AS hits, sum((CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT m FROM st)))) AS s
+sc AS (SELECT query_id, id, count(*) AS hits, sum((CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT m FROM st))) ORDER BY token) AS s
   FROM posts JOIN terms USING (token) JOIN dfs USING (token) WHERE {allowed} GROUP BY 1, 2),
-kw AS (SELECT query_id, id, round(s, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 5) DESC, id) AS BIGINT) AS rank
+kw AS (SELECT query_id, id, round(s, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS BIGINT) AS rank
   FROM sc JOIN need USING (query_id) WHERE hits = n_terms QUALIFY rank <= {k})"""
 
 
@@ -51,24 +58,24 @@ def _ranks(df: DataFrame) -> DataFrame:
     return df.select("query_id", "id", F.coalesce("vec_rank", zero).alias("vec_rank"), F.coalesce("kw_rank", zero).alias("kw_rank"), "fusion_score")
 
 
-@query("vec_knn", ["searches_v"], f"WITH {knn_sql(10).strip()} SELECT query_id, id, distance, rank FROM vec")
+@query("vec_knn", ["searches_v"], f"WITH {knn_sql(10).strip()} SELECT query_id, id, round(distance, 5) AS distance, rank FROM vec")
 def vec_knn(v):
-    return R.knn(_docs(v), v("searches_v"), 10).select("query_id", "id", "distance", "rank")
+    return R.knn(_docs(v), v("searches_v"), 10).select("query_id", "id", _short("distance"), "rank")
 
 
-@query("vec_threshold", ["searches_v"], f"WITH {knn_sql(50).strip()} SELECT query_id, id, round(1 - distance, 5) AS similarity FROM vec WHERE round(1 - distance, 5) >= 0.1")
+@query("vec_threshold", ["searches_v"], f"WITH {knn_sql(50).strip()} SELECT query_id, id, round(1 - distance, 5) AS similarity FROM vec WHERE 1 - distance >= 0.1")
 def vec_threshold(v):
-    return R.above(R.knn(_docs(v), v("searches_v"), 50), 0.1).select("query_id", "id", "similarity")
+    return R.above(R.knn(_docs(v), v("searches_v"), 50), 0.1).select("query_id", "id", _short("similarity"))
 
 
-@query("vec_knn_filtered", ["searches_v"], f"WITH {knn_sql(5, 'label < 3').strip()} SELECT query_id, id, distance, rank FROM vec")
+@query("vec_knn_filtered", ["searches_v"], f"WITH {knn_sql(5, 'label < 3').strip()} SELECT query_id, id, round(distance, 5) AS distance, rank FROM vec")
 def vec_knn_filtered(v):
-    return R.knn(_docs(v), v("searches_v"), 5, where=F.col("label") < 3).select("query_id", "id", "distance", "rank")
+    return R.knn(_docs(v), v("searches_v"), 5, where=F.col("label") < 3).select("query_id", "id", _short("distance"), "rank")
 
 
-@query("vec_knn_postfiltered", ["searches_v"], f"WITH {knn_sql(25).strip()} SELECT query_id, id, distance FROM vec JOIN embeddings ON id = vec_id WHERE label < 3")
+@query("vec_knn_postfiltered", ["searches_v"], f"WITH {knn_sql(25).strip()} SELECT query_id, id, round(distance, 5) AS distance FROM vec JOIN embeddings ON id = vec_id WHERE label < 3")
 def vec_knn_postfiltered(v):
-    return R.knn(_docs(v), v("searches_v"), 25, where=F.col("label") < 3, prefilter=False).select("query_id", "id", "distance")
+    return R.knn(_docs(v), v("searches_v"), 25, where=F.col("label") < 3, prefilter=False).select("query_id", "id", _short("distance"))
 
 
 @query("kw_clean", [], """
@@ -86,7 +93,22 @@ def kw_postings(v):
 
 @query("kw_bm25", SEARCH, f"WITH {bm25_sql(10).strip()} SELECT query_id, id, score, rank FROM kw")
 def kw_bm25(v):
-    return R.bm25(v("articles_v"), TEXT, v("searches_v"), 10)
+    return R.bm25(v("articles_v"), TEXT, v("searches_v"), 10).withColumn("score", _short("score"))
+
+
+def _index(v) -> DataFrame:
+    """A stored index, brought up to date for the articles of one language after they changed."""
+    articles = v("articles_v")
+    spark = articles.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    german = F.col("lang") == "de"
+    R.write_index(articles.withColumn("summary", F.when(german, F.lit("old text")).otherwise(F.col("summary"))), TEXT, folder)
+    return R.update_index(spark.read.parquet(folder), articles.filter(german), TEXT)
+
+
+@query("kw_bm25_index", SEARCH, f"WITH {bm25_sql(10).strip()} SELECT query_id, id, score, rank FROM kw")
+def kw_bm25_index(v):
+    return R.bm25_index(_index(v), v("searches_v"), 10).withColumn("score", _short("score"))
 
 
 @query("rrf", SEARCH, f"WITH {knn_sql(15).strip()}, {bm25_sql(15).strip()}, {rrf_sql(None).strip()}")
@@ -106,6 +128,14 @@ def hybrid_search(v):
     return _ranks(R.hybrid_search(articles, TEXT, _docs(v), v("searches_v"), allowed=batch, limit=5))
 
 
+@query("hybrid_search_index", [*SEARCH, "details_v"],
+       f"WITH {knn_sql(180, IN_BATCH.replace('id IN', 'vec_id IN')).strip()}, {bm25_sql(180, IN_BATCH).strip()}, {rrf_sql(60).strip()}")
+def hybrid_search_index(v):
+    articles = v("articles_v")
+    batch = batch_ids(v("details_v").filter("publish_status <> 'FAILED'"), articles).select(F.col("article_id").alias("id"))
+    return _ranks(R.hybrid_search(articles, TEXT, _docs(v), v("searches_v"), allowed=batch, limit=60, index=_index(v)))
+
+
 @query("vec_validate", [], """
 SELECT vec_id, CASE WHEN label < 2 THEN 'Dimension mismatch: expected 64, got 63' WHEN label < 4 THEN 'Vector contains non-finite values' END AS error_message
 FROM embeddings WHERE label < 4 UNION ALL SELECT vec_id, 'ok' FROM embeddings WHERE label >= 4""")
@@ -134,7 +164,7 @@ def page_range(v):
 
 
 @query("greedy_fill", [], """
-WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY rn <= 50),
+WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE length(text) <= 1500),
 w AS (SELECT conv_id, turn, rn, CASE WHEN cost <= 1500 THEN cost ELSE 0 END AS used, cost <= 1500 AS kept FROM r WHERE rn = 1
   UNION ALL SELECT r.conv_id, r.turn, r.rn, w.used + CASE WHEN w.used + r.cost <= 1500 THEN r.cost ELSE 0 END, w.used + r.cost <= 1500
   FROM w JOIN r ON r.conv_id = w.conv_id AND r.rn = w.rn + 1)

@@ -54,6 +54,18 @@ def tab_blank(v):
     return A.blank_to_null(v("tidy_v").select("detail_id", "value")).filter("value IS NOT NULL")
 
 
+@query("tab_export", [], "SELECT part, c_custkey, c_name FROM customer, (SELECT unnest(['csv', 'json']) AS part)")
+def tab_export(v):
+    rows = v("customer").select("c_custkey", "c_name")
+    spark, back = rows.sparkSession, None
+    for kind in ("csv", "json"):
+        folder = A.export(rows, f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}", kind)
+        read = spark.read.schema("c_custkey long, c_name string").format(kind).option("header", True).load(folder)
+        part = read.select(F.lit(kind).alias("part"), "c_custkey", "c_name")
+        back = part if back is None else back.unionByName(part)
+    return back
+
+
 @query("art_embed", ["articles_v"], """
 SELECT id, 'EMBEDDED' AS embedding_status, CAST(length(t) AS DOUBLE) AS first, CAST(len(regexp_extract_all(t, 'e')) AS DOUBLE) AS second
 FROM (SELECT id, concat(title, ': ', conclusion, ': ', summary) AS t FROM articles_v WHERE embedding_status = 'PENDING')""")
@@ -164,7 +176,10 @@ def stream_pending(stream, folder, spark, sf_dir):
 SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def stream_upsert(stream, folder, spark, sf_dir):
     keys, order = ["user_id"], ["ts", "event_id"]
+    # All rows, then a fold, then all of them again from a checkpoint of its own: the table is the same.
     T.upsert_changes(stream, folder, keys, order, f"{folder}/state", seconds=None).awaitTermination()
+    T.compact(spark, folder, keys, order)
+    T.upsert_changes(stream, folder, keys, order, f"{folder}/second", seconds=None).awaitTermination()
     return T.current_rows(spark, folder, keys, order).select("user_id", "event_type", "event_id")
 
 

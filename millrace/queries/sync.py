@@ -214,19 +214,21 @@ def sync_delete(v):
 
 
 @query("schema_diff", [], """
-WITH a AS (SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'timestamp_ntz'), ('o_orderpriority', 'string')) t(c, ty)),
-d AS (SELECT * FROM (VALUES ('l_orderkey', 'bigint'), ('o_custkey', 'int'), ('o_orderstatus', 'string'), ('o_totalprice', 'decimal(12,2)'), ('o_orderpriority', 'string')) t(c, ty))
+WITH kinds AS (SELECT * FROM (VALUES ('BIGINT', 'bigint'), ('VARCHAR', 'string')) t(k, ty)),
+a AS (SELECT CASE column_name WHEN 'n_chars' THEN 'role' ELSE column_name END AS c, ty FROM (DESCRIBE documents) JOIN kinds ON k = column_type),
+d AS (SELECT column_name AS c, ty FROM (DESCRIBE conversations) JOIN kinds ON k = column_type),
+n AS (SELECT 'doc_id' AS c, count(doc_id) AS n FROM documents UNION ALL SELECT 'text', count(text) FROM documents UNION ALL SELECT 'lang', count(lang) FROM documents
+  UNION ALL SELECT 'source', count(source) FROM documents UNION ALL SELECT 'role', count(n_chars) FROM documents)
 SELECT coalesce(a.c, d.c) AS "column", a.ty AS actual_type, d.ty AS desired_type, CASE WHEN a.c IS NULL THEN 'missing' WHEN d.c IS NULL THEN 'extra' ELSE 'type' END AS issue,
-  (SELECT CAST(count(*) AS BIGINT) FROM orders) AS n_rows
-FROM a FULL JOIN d ON a.c = d.c WHERE a.c IS NULL OR d.c IS NULL OR a.ty <> d.ty""")
+  CAST(coalesce(n.n, 0) AS BIGINT) AS n_values
+FROM a FULL JOIN d ON a.c = d.c LEFT JOIN n ON n.c = a.c WHERE a.c IS NULL OR d.c IS NULL OR a.ty <> d.ty""")
 def schema_diff(v):
-    orders = v("orders")
-    desired = T.StructType([
-        T.StructField("l_orderkey", T.LongType()), T.StructField("o_custkey", T.IntegerType()), T.StructField("o_orderstatus", T.StringType()),
-        T.StructField("o_totalprice", T.DecimalType(12, 2)), T.StructField("o_orderpriority", T.StringType())])
-    n = orders.agg(F.count(F.lit(1))).scalar()
-    return S.schema_diff(orders.sparkSession, orders.schema, desired).select(
-        "column", "actual_type", "desired_type", "issue", n.alias("n_rows"))
+    actual = v("documents").withColumnRenamed("n_chars", "role")
+    counts = actual.agg(*[F.count(c).alias(c) for c in actual.columns])
+    held = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_values")) for c in actual.columns])))
+    issues = S.schema_diff(actual.sparkSession, actual.schema, v("conversations").schema)
+    return issues.join(held, "column", "left").select(
+        "column", "actual_type", "desired_type", "issue", F.coalesce("n_values", F.lit(0).cast("long")).alias("n_values"))
 
 
 @query("schema_evolve", [], """

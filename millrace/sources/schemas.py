@@ -14,13 +14,17 @@ VECTOR_DIM = 1024
 
 @dataclass(frozen=True)
 class Table:
-    """A declared table; ``durable`` tables are mirrored and restored."""
+    """A declared table; ``durable`` tables are mirrored and restored.
+
+    ``names`` holds columns that the operators know by another name than the stored table.
+    """
 
     ddl: str
     key: tuple[str, ...]
     parents: dict[str, tuple[str, str]] = field(default_factory=dict)
     allowed: dict[str, tuple[str, ...]] = field(default_factory=dict)
     durable: bool = True
+    names: dict[str, str] = field(default_factory=dict)
 
     @property
     def schema(self) -> T.StructType:
@@ -97,7 +101,8 @@ REGISTRY: dict[str, Table] = {
         ("item_id",), {"job_id": ("jobs", "job_id")}, {"status": ITEM_STATUSES}, durable=False),
     "logs": Table(
         "id string, job_id string, tag string, level string, status_state string, message string, payload_json string, "
-        "event_id string, error_json string, timestamp timestamp", ("id",), durable=False),
+        "event_id string, error_json string, timestamp timestamp", ("id",), durable=False,
+        names={"timestamp": "log_ts"}),
     "sync_ledger": Table(
         "operation_id string, table_name string, direction string, row_count bigint, state string, started_at timestamp, "
         "completed_at timestamp, error_message string, created_at timestamp",

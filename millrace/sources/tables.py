@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -13,13 +14,12 @@ from millrace.plans.shapes import same_key, under_keys
 from millrace.sources.schemas import DURABLE, REGISTRY
 
 READ_ONLY = ("SELECT", "WITH")
-EMBED_CHARS = 8000
 
 
 def scan(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Typed lazy scan of a declared table; empty text counts as missing."""
+    """Typed lazy scan of a declared table, with the names that the operators use; empty text counts as missing."""
     df = spark.read.schema(REGISTRY[name].schema).format(fmt).load(f"{folder}/{name}")
-    return blank_to_null(df)
+    return blank_to_null(df).withColumnsRenamed(REGISTRY[name].names)
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
@@ -29,13 +29,27 @@ def blank_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_sql(spark: SparkSession, sql: str, params: dict | Sequence | None = None, **tables: DataFrame) -> DataFrame:
-    """A read-only statement over the given frames, named in braces; anything but a query is refused."""
+    """A read-only statement over the given frames, named in braces; anything but a query is refused.
+
+    The statement is explained first, which parses and does nothing, and every
+    node of its plan must be part of a query: ``WITH ... INSERT`` begins like one.
+    """
     words = sql.strip().split(None, 1)
     if not words or words[0].upper() not in READ_ONLY:
         raise ValueError("only SELECT and WITH statements are read")
+    plan = spark.sql(f"EXPLAIN EXTENDED {sql}", args=params, **tables).first()[0]
+    parsed = plan.split("== Analyzed Logical Plan ==")[0]
+    for line in parsed.splitlines():
+        node = _NODE.match(line)
+        if node and _WRITES.match(node[1]):
+            raise ValueError(f"not a query: {node[1]}")
     return spark.sql(sql, args=params, **tables)
 
 
+_NODE = re.compile(r"[\s:+|\-]*'?(\w+)")
+_WRITES = re.compile(r"\w*(?:Insert|Overwrite|Append|Merge|Update|Delete|Create|Drop|Replace|Alter|Truncate|Set|Cache|Load|Write)\w*(?:Into|Statement|Command|Table|Data|Dir|Select|From|Expression)\w*$")
+
+
 def columns_of(name: str) -> list[tuple[str, str]]:
     """Column names and types of a declared table."""
     return [(f.name, f.dataType.simpleString()) for f in REGISTRY[name].schema.fields]
@@ -75,13 +89,13 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def embed_text(max_chars: int | None = EMBED_CHARS):
-    """The text an article is embedded by: title, conclusion and summary, up to what the model takes."""
+def embed_text(max_chars: int | None = None):
+    """The text an article is embedded by: title, conclusion and summary; its first characters only if a bound is given."""
     whole = F.concat_ws(": ", F.coalesce("title", F.lit("")), F.coalesce("conclusion", F.lit("")), F.coalesce("summary", F.lit("")))
     return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
-def embed_articles(df: DataFrame, embed: Callable[[list[str]], Sequence[Sequence[float]]], max_chars: int | None = EMBED_CHARS) -> DataFrame:
+def embed_articles(df: DataFrame, embed: Callable[[list[str]], Sequence[Sequence[float]]], max_chars: int | None = None) -> DataFrame:
     """Add ``embedding`` to pending articles by the caller's model and mark them as embedded.
 
     The model gets lists of texts, one Arrow batch at a time.

@@ -98,10 +98,10 @@ FROM {running_v}
 
 VIEWS["wide_v"] = """
 SELECT c_mktsegment AS ticker, o_orderpriority AS concept, o_orderstatus AS dimension_member_label,
-  CAST(SUM(CASE WHEN year(o_orderdate) = 1995 THEN 1 ELSE 0 END) AS STRING) AS `1995-12-31 (FY)`,
+  CAST(SUM(CASE WHEN year(o_orderdate) <= 1995 THEN 1 ELSE 0 END) AS STRING) AS `1995-12-31 (FY)`,
   CAST(SUM(CASE WHEN year(o_orderdate) = 1996 AND quarter(o_orderdate) = 1 THEN 1 ELSE 0 END) AS STRING) AS `1996-03-31 (Q1)`,
-  CAST(SUM(CASE WHEN year(o_orderdate) = 1996 AND month(o_orderdate) <= 6 THEN 1 ELSE 0 END) AS STRING) AS `1996-06-30 (YTD)`,
-  CAST(SUM(CASE WHEN year(o_orderdate) = 1997 AND month(o_orderdate) <= 6 THEN 1 ELSE 0 END) AS STRING) AS `to 1997-06-30`
+  CAST(SUM(CASE WHEN year(o_orderdate) = 1996 THEN 1 ELSE 0 END) AS STRING) AS `1996-06-30 (YTD)`,
+  CAST(SUM(CASE WHEN year(o_orderdate) >= 1997 THEN 1 ELSE 0 END) AS STRING) AS `to 1997-06-30`
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 GROUP BY 1, 2, 3
 """
@@ -146,18 +146,19 @@ LEFT JOIN (
   WHERE rk <= 10) t ON d.doc_id = t.doc_id
 """
 
-# Queries for retrieval: every benchmark passage, with a vector of the same number.
+# Queries for retrieval: every benchmark passage, with the vector of the same number if there is one.
 VIEWS["searches_v"] = """
 SELECT item_id AS query_id, text AS query_text, embedding AS query_vec
-FROM {benchmark} JOIN {embeddings} ON item_id = vec_id
+FROM {benchmark} LEFT JOIN {embeddings} ON item_id = vec_id
 """
 
-# Two sides of one table: orders as entered, and the same orders as their lines tell.
+# Two sides of one table: orders as entered, and the same orders as their lines tell.  Orders
+# in process have another key here than there, so that each side has rows of its own.
 VIEWS["local_v"] = """
-SELECT o_orderkey AS id, o_orderstatus AS status,
+SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS id, o_orderstatus AS status,
   sha256(concat(CAST(o_orderkey AS STRING), '||', o_orderstatus)) AS content_hash,
   CAST(make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS TIMESTAMP) AS updated_at
-FROM {orders} WHERE o_orderstatus <> 'P'
+FROM {orders}
 """
 
 VIEWS["cloud_v"] = """
@@ -184,7 +185,7 @@ GROUP BY 1, 2
 VIEWS["messages_v"] = """
 SELECT conv_id AS session_id, turn AS id, role, text AS content,
   CAST(length(text) AS BIGINT) AS char_count,
-  CAST(CASE WHEN role = 'user' THEN 500 ELSE 0 END AS BIGINT) AS attachment_char_count, role = 'user' AS has_screenshot
+  CAST(CASE WHEN role = 'user' THEN 500 WHEN role = 'assistant' THEN 0 END AS BIGINT) AS attachment_char_count, role = 'user' AS has_screenshot
 FROM {conversations}
 """
 

@@ -11,6 +11,7 @@ from millrace.functions import notes as nt
 from millrace.functions import text as tx
 from millrace.functions.html import _slim, _split_at_newlines
 from millrace.operators import batches, context, facts, logs, market, notes, pages, retrieval, sync
+from millrace.plans import shapes
 from millrace.sources import tables
 
 
@@ -63,8 +64,33 @@ def test_log_conditions(log_frame, rows):
 def test_stats_and_context(log_frame, spark):
     total = logs.stats_total(log_frame, F.lit("2024-05-01 12:00:00").cast("timestamp")).first()
     assert (total.total, total.errors_last_hour) == (4, 1)
-    event = log_frame.filter("id = 2").select("log_ts")
-    assert [r.id for r in logs.error_context(log_frame, event).collect()] == [2, 1]
+    events = log_frame.filter("id IN (2, 4)").select(F.col("id").alias("event_id"), "log_ts")
+    early = spark.createDataFrame([(9, datetime(2024, 5, 1)), (8, None)], "event_id long, log_ts timestamp")
+    got = logs.error_context(log_frame, events.unionByName(early), 3)
+    assert sorted((r.event_id, r.id) for r in got.collect()) == [(2, 1), (2, 2), (4, 2), (4, 3), (4, 4)]
+
+
+def test_limits_are_the_callers(spark):
+    many = spark.range(6001).select(
+        F.col("id"), F.lit("2024-01-01").cast("timestamp").alias("log_ts"), F.lit("ERROR").alias("level"), F.lit("A").alias("tag"),
+        F.lit("j").alias("job_id"), F.lit("m").alias("message"), F.lit(None).cast("string").alias("payload_json"))
+    assert logs.errors(many).count() == 6001 and logs.errors(many, 5500).count() == 5500
+    assert logs.by_job(many, "j").count() == 6001
+    assert shapes.top_per_key(many, ["job_id"], [F.col("id").asc()], 2500, "r").filter("r = id + 1").count() == 2500
+
+
+def test_missing_fields_lose_no_line(spark, rows):
+    at = datetime(2024, 1, 1)
+    lines = spark.createDataFrame(
+        [(1, at, "INFO", "T", "j", "a"), (2, at, None, None, "j", "b"), (3, at, "INFO", "T", None, None), (4, at, "INFO", None, None, "c")],
+        "id long, log_ts timestamp, level string, tag string, job_id string, message string")
+    assert [r[0] for r in rows(logs.tail_budget(lines, 1000), "id")] == [1, 2, 3, 4]
+    said = spark.createDataFrame(
+        [("s", 1, "x", 5, None, True), ("s", 2, "y", None, 3, None), (None, 3, "z", 4, None, False)],
+        "session_id string, id long, content string, char_count long, attachment_char_count long, has_screenshot boolean")
+    assert rows(context.context(said, 100), "id", "cost") == [(1, 5), (2, 3), (3, 4)]
+    assert rows(context.session_cost(said, 100), "session_id", "cost") == sorted([("s", 8), (None, 4)], key=repr)
+    assert rows(context.evict(said, 100), "id") == [(1,), (2,), (3,)]
 
 
 @pytest.mark.parametrize("limit", [1, 5, 9, 10, 11, 20, 31, 32, 100])
@@ -252,7 +278,7 @@ def test_bm25_against_plain_python(spark, tmp_path):
             idf = math.log((n - df + 0.5) / (df + 0.5))
             idf = idf if idf > 0 else 1e-6
             total += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[i]) / mean))
-        return round(total, 5)
+        return total
 
     got = {(r.query_id, r.id): r.score for r in retrieval.bm25(docs, ["t"], ask, 10).collect()}
     want = {(q, i): s for q, terms in ((7, ("hen", "red")), (8, ("fox", "absent")), (9, ("fox",))) for i in words if (s := score(i, terms)) is not None}
@@ -510,6 +536,82 @@ def test_events(spark):
 
 # --- tables -----------------------------------------------------------------
 
+def test_scans_fit_the_operators(spark, tmp_path):
+    from millrace.operators import jobs
+    from millrace.sources.schemas import REGISTRY
+
+    for name in ("logs", "broadcast_details", "scraped_articles", "stock_financials"):
+        if name in REGISTRY:
+            spark.createDataFrame([], REGISTRY[name].schema).write.parquet(f"{tmp_path}/{name}")
+    seen = tables.scan(spark, str(tmp_path), "logs")
+    assert "log_ts" in seen.columns and "timestamp" not in seen.columns
+    assert logs.recent(seen, level="INFO").count() == logs.tail_budget(seen, 10).count() == logs.job_issues(seen).count() == 0
+    assert retrieval.backlog(tables.scan(spark, str(tmp_path), "scraped_articles")).count() == 0
+    details = tables.scan(spark, str(tmp_path), "broadcast_details")
+    assert batches.batch_progress(details).count() == 0 if hasattr(batches, "batch_progress") else details.count() == 0
+    assert jobs is not None
+
+
+def test_nearest_by_full_distances_of_equal_length(spark, rows):
+    docs = spark.createDataFrame([(1, [0.100002, 0.0]), (2, [0.100001, 0.0]), (3, [0.1]), (4, [0.0, float("nan")]), (5, None), (6, [0.0, 0.0, 0.0])],
+                                 "id long, vec array<double>")
+    asked = spark.createDataFrame([(7, [0.0, 0.0]), (8, [0.1]), (9, None)], "query_id long, query_vec array<double>")
+    assert rows(retrieval.knn(docs, asked, 1), "query_id", "id") == [(7, 2), (8, 3)]
+    plan = retrieval.knn(docs.repartition(3), asked, 1, max_queries=1)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan
+    assert rows(retrieval.knn(docs, asked, 1, max_queries=1), "query_id", "id") == [(7, 2), (8, 3)]
+
+
+def test_greedy_fill_walks_all_items(spark, rows):
+    items = spark.createDataFrame([("k", i, 1 if i > 80 else 100) for i in range(90)] + [("k", 90, None), (None, 1, 3)], "k string, i long, c long")
+    got = rows(retrieval.greedy_fill(items, ["k"], [F.col("i").asc()], "i", "c", 9), "k", "position", "i", "used")
+    assert got == sorted([("k", n, 81 + n, 9) for n in range(9)] + [(None, 0, 1, 3)], key=repr)
+
+
+def test_index_follows_changes(spark, tmp_path, rows):
+    texts = spark.createDataFrame([(1, "red fox"), (2, "red hen"), (3, "old words")], "id long, t string")
+    retrieval.write_index(texts, ["t"], f"{tmp_path}/i")
+    changed = spark.createDataFrame([(3, "red red fox"), (4, "fox")], "id long, t string")
+    index = retrieval.update_index(spark.read.parquet(f"{tmp_path}/i"), changed, ["t"], spark.createDataFrame([(2,)], "id long"))
+    now = spark.createDataFrame([(1, "red fox"), (3, "red red fox"), (4, "fox")], "id long, t string")
+    ask = spark.createDataFrame([(1, "red"), (2, "fox")], "query_id long, query_text string")
+    assert rows(retrieval.bm25_index(index, ask, 5)) == rows(retrieval.bm25(now, ["t"], ask, 5))
+
+
+def test_locked_batches_do_not_change(spark, rows):
+    d = spark.createDataFrame([(i, b, f"a{i}", True, i % 2) for i, b in enumerate("ppccff")], "detail_id long, batch_id string, article_id string, is_top10 boolean, top10_rank long")
+    s = spark.createDataFrame([(b, 1, 0, 1, None) for b in "pcf"], "batch_id string, seq int, index_top10 int, target_index int, target_article string")
+    states = spark.createDataFrame([("p", "PENDING"), ("c", "COMPLETED"), ("f", "FAILED")], "batch_id string, status string")
+    got = rows(batches.apply_swaps(d, s, states), "batch_id", "detail_id", "top10_rank")
+    assert got == [("c", 2, 0), ("c", 3, 1), ("f", 4, 1), ("f", 5, 0), ("p", 0, 1), ("p", 1, 0)]
+
+
+def test_merge_without_update_time(spark, rows):
+    old = spark.createDataFrame([(1, "a", 1)], "id long, v string, created_at int")
+    new = spark.createDataFrame([(1, "b", 2), (1, "c", 3), (2, "d", 1)], "id long, v string, created_at int")
+    assert rows(sync.merge(old, new, ["id"]), "id", "v") == [(1, "c"), (2, "d")]
+    bare = sync.merge(old.drop("created_at"), new.drop("created_at"), ["id"])
+    assert rows(bare, "id", "v") == rows(sync.merge(old.drop("created_at"), new.drop("created_at").orderBy(F.desc("v")), ["id"]), "id", "v")
+
+
+def test_concepts_as_rows(spark, rows):
+    tidy = spark.createDataFrame([("t", "d", "a", 1, c) for c in ("x", "x", "y", None, "")], "ticker string, detail_table_name string, accession_no string, note_number int, concept string")
+    assert rows(notes.registry_concepts(tidy), "concept", "row_count") == [("x", 2), ("y", 1)]
+    assert notes.registry_concepts(tidy).first().registry_id == notes.registry(tidy).first().registry_id
+
+
+@pytest.mark.parametrize("sql", [
+    "WITH t AS (SELECT 1 AS x) INSERT INTO y SELECT x FROM t", "with t as (select 1 as x) insert overwrite y select x from t",
+])
+def test_reads_that_write_are_refused(spark, sql):
+    with pytest.raises(ValueError):
+        tables.read_sql(spark, sql)
+
+
+def test_reads_may_name_writes(spark):
+    assert tables.read_sql(spark, "SELECT 'InsertIntoStatement' AS s, 'DROP TABLE x' AS d").count() == 1
+
+
 def test_read_sql_is_read_only(spark):
     df = spark.createDataFrame([(1,)], "x long")
     assert tables.read_sql(spark, "with t as (select x from {d}) select * from t where x = :v", {"v": 1}, d=df).count() == 1

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.streaming import jobs as T
@@ -34,6 +35,26 @@ def test_upsert_over_batches_with_delete_and_compaction(spark, tmp_path, rows):
     assert now() == [(1, "z"), (2, "again"), (3, "d")]
     run()  # nothing new
     assert now() == [(1, "z"), (2, "again"), (3, "d")]
+    # A new checkpoint counts its batches from 0 again and reads all files anew.
+    feed(spark, src, [(3, "e", 9, "upsert"), (4, "f", 1, "upsert")])
+    state = str(tmp_path / "other")
+    run()
+    assert (3, "e") in now() and (4, "f") in now()
+    assert T.compact(spark, root, ["id"], ["at"]) == T.compact(spark, root, ["id"], ["at"])
+    feed(spark, src, [(4, "g", 2, "upsert"), (5, "h", 1, "upsert")])
+    run()
+    assert (4, "g") in now() and (5, "h") in now() and (3, "e") in now()
+    # A base that isn't published is not read.
+    spark.createDataFrame([(99, "x", 1, "upsert")], KIND).write.parquet(f"{root}/base/half")
+    assert all(r[0] != 99 for r in now())
+
+
+def test_what_cannot_be_read_is_not_taken_for_empty(spark, tmp_path):
+    root = tmp_path / "root"
+    (root / "changes").mkdir(parents=True)
+    (root / "changes" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|schema|footer"):
+        T.current_rows(spark, str(root), ["id"], ["at"]).count()
 
 
 def test_tail_keeps_rows_that_share_a_time(spark, tmp_path):
@@ -77,3 +98,8 @@ def test_dead_letters_in_the_same_batch(spark, tmp_path):
     T.with_dead_letters(stream, F.when(F.col("v").isNull(), "no value"), "t", ["id"], good, bad, state, seconds=None).awaitTermination()
     assert [r.id for r in spark.read.parquet(good).collect()] == [1]
     assert [(r.row_id, r.error_message) for r in spark.read.parquet(bad).collect()] == [("2", "no value")]
+    feed(spark, src, [(3, "ok", 1, "upsert")])
+    stream = T.read_files(spark, src, spark.createDataFrame([], KIND).schema)
+    again = str(tmp_path / "again")
+    T.with_dead_letters(stream, F.when(F.col("v").isNull(), "no value"), "t", ["id"], good, bad, again, seconds=None).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(good).collect()) == [1, 1, 3]
