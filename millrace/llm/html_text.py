@@ -27,13 +27,19 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags of text proper, which may be a link as a whole.
+_PROSE = _HEADINGS | frozenset("p blockquote pre td figcaption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark other than the article.
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|"
+    r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|"
     r"subscri\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|foot|masthead|site-header|page-header|header|comments?|"
     r"disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|widget|login|search|pagination|pager|toolbar|"
     r"copyright|legal|disclaimer|skip|navigation|complementary|contentinfo|alertdialog)(?=$|[\s_-])", re.I)
+#: Those that an article of its own may have and not be the page's article.
+_OTHER = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|response|related|recommend\w*|promo\w*|sponsor\w*|ads?|advert\w*|teaser)(?=$|[\s_-])", re.I)
+#: Those of a container that holds the article where no tag says so.
+_CONTENT = re.compile(r"(?:^|[\s_-])(?:content|main|article|post|entry|story|body)(?=$|[\s_-])", re.I)
 #: Stop words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he in is it its not of on or that the this to was were will with you "
@@ -48,6 +54,8 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
+_OPENERS = (*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?", "")
+
 #: Below this many characters the first pass leaves a block open.
 SHORT = 70
 MOST_LINKS = 0.33
@@ -57,9 +65,9 @@ LEAST_STOP_WORDS = 0.10
 class Block(NamedTuple):
     text: str
     linked: int
-    article: bool
+    level: int  # 2 within an article or main element, 1 within what is named as content, else 0
     rejected: bool
-    heading: bool
+    tag: str
 
 
 def _end_of(tag: str, page: str, at: int) -> int:
@@ -70,8 +78,11 @@ def _end_of(tag: str, page: str, at: int) -> int:
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with their text, linked characters, and what the tags around them say."""
+    last = page.rfind("<")
+    if last >= 0 and ">" not in page[last:] and page[last + 1:last + 2] in _OPENERS:
+        page = page[:last]  # a tag that the page breaks off in
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in an article, rejected
+    stack: list[tuple[str, int, bool]] = []  # tag, level, rejected
     parts: list[str] = []
     linked = links = at = 0
 
@@ -79,8 +90,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            tag, article, rejected = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, linked, article, rejected, tag in _HEADINGS))
+            tag, level, rejected = stack[-1] if stack else ("", 0, False)
+            out.append(Block(text, linked, level, rejected, tag))
         parts.clear()
         linked = 0
 
@@ -122,24 +133,33 @@ def blocks(page: str) -> list[Block]:
             stack.pop()  # an open paragraph ends here
         if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
             stack.pop()
-        _, article, rejected = stack[-1] if stack else ("", False, False)
+        _, level, rejected = stack[-1] if stack else ("", 0, False)
         hints = " ".join(a or b or c for a, b, c in _ATTR.findall(attrs))
-        header = tag == "header" and article  # the heading of an article is part of it
-        rejected = rejected or (tag in _BOILERPLATE and not header) or (
-            tag not in ("html", "body", "article", "main") and bool(hints) and bool(_HINT.search(hints)) and not header
-        ) or bool(attrs and _HIDDEN.search(attrs)) or tag == "title"
-        stack.append((tag, article or tag in ("article", "main"), rejected))
+        if tag in ("article", "main"):
+            named = bool(_OTHER.search(hints))
+            level = 2
+        elif tag in ("html", "body"):
+            named = False
+        else:
+            # The heading of an article is part of it, whatever it is called.
+            said = re.sub(r"\b(?:\w+[_-])?header\b", " ", hints, flags=re.I) if level == 2 else hints
+            named = (tag in _BOILERPLATE and not (tag == "header" and level == 2)) or bool(_HINT.search(said))
+            if not level and _CONTENT.search(hints):
+                level = 1
+        rejected = rejected or named or tag == "title" or bool(attrs and _HIDDEN.search(attrs))
+        stack.append((tag, level, rejected))
     close()
     return out
 
 
-def _first_pass(block: Block, in_article: bool) -> bool | None:
+def _first_pass(block: Block, level: int) -> bool | None:
     """True or False if the block decides itself, None if it is too short to tell."""
-    if block.rejected or in_article and not block.article:
+    if block.rejected or block.level < level:
         return False
-    if block.linked > MOST_LINKS * len(block.text):
-        return False if len(block.text) < SHORT or not block.article else None
-    if block.article:
+    prose = block.tag in _PROSE
+    if block.linked > MOST_LINKS * len(block.text) and not (level and prose):
+        return False if len(block.text) < SHORT or not level else None
+    if level:
         return True if len(block.text) >= SHORT else None
     if len(block.text) < SHORT:
         return None
@@ -150,8 +170,9 @@ def _first_pass(block: Block, in_article: bool) -> bool | None:
 def main_text(page: str) -> str:
     """The article's blocks in page order, two line feeds between them; empty if there are none."""
     found = blocks(page)
-    in_article = any(b.article and not b.rejected for b in found)
-    first = [_first_pass(b, in_article) for b in found]
+    level = max((b.level for b in found if not b.rejected), default=0)
+    in_article = level > 0
+    first = [_first_pass(b, level) for b in found]
     before: list[bool | None] = []
     last: bool | None = None
     for b, decided in zip(found, first):
@@ -167,10 +188,10 @@ def main_text(page: str) -> str:
         label = first[i]
         if label is None:
             sides = {before[i], after} - {None}
-            label = sides.pop() if len(sides) == 1 else default if not sides else found[i].article
-            if found[i].heading and after is not None:
+            label = sides.pop() if len(sides) == 1 else default if not sides else in_article
+            if found[i].tag in _HEADINGS and after is not None:
                 label = after  # a heading goes with what it stands above
-            if in_article and found[i].article and found[i].linked <= MOST_LINKS * len(found[i].text):
+            if in_article and (found[i].tag in _PROSE or found[i].linked <= MOST_LINKS * len(found[i].text)):
                 label = True  # the tags decide what length can't
         if label:
             kept.append(found[i].text)
