@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.finance import format_value, is_non_additive, quarter_label, short_concept
@@ -70,19 +70,21 @@ def derive_q4(facts: DataFrame, existing: DataFrame) -> DataFrame:
     rest = [c for c in facts.columns if c not in key]
     pairs = longest.groupBy(*key).agg(
         F.max(F.when(is_year, F.struct(*rest))).alias("_year"), F.max(F.when(~is_year, F.col("numeric_value"))).alias("_nine"))
-    known = existing.filter("fiscal_period = 'Q4'").select("ticker", "concept", "period_end").distinct()
     derived = (
         pairs.filter("_year.numeric_value IS NOT NULL AND _nine IS NOT NULL").select(*key, "_year.*", "_nine")
-        .join(known, ["ticker", "concept", "period_end"], "left_anti")
         .withColumn("numeric_value", F.col("numeric_value") - F.col("_nine"))
         .withColumn("fiscal_period", F.lit("Q4"))
         .withColumn("quarter", quarter_label(F.col("period_end"), F.lit("Q4")))
         .withColumn("period_start", F.lit(None).cast("date"))
         .select(*existing.columns)
     )
-    both = existing.unionByName(derived).filter("numeric_value IS NOT NULL")
+    # A year that has its fourth quarter needs none: where both are there, the existing one comes first.
+    both = existing.withColumn("_derived", F.lit(0)).unionByName(derived.withColumn("_derived", F.lit(1)))
+    same_end = Window.partitionBy("ticker", "concept", "period_end")
+    has_q4 = F.max(F.when((F.col("_derived") == 0) & (F.col("fiscal_period") == "Q4"), 1)).over(same_end)
+    wanted = both.withColumn("_has_q4", has_q4).filter("numeric_value IS NOT NULL AND (_derived = 0 OR _has_q4 IS NULL)")
     return first_per_key(
-        both, ["ticker", "concept", "quarter"], [F.col("fiscal_year").desc(), F.col("period_end").desc()])
+        wanted.drop("_derived", "_has_q4"), ["ticker", "concept", "quarter"], [F.col("fiscal_year").desc(), F.col("period_end").desc()])
 
 
 def enrich(facts: DataFrame, blueprint: DataFrame) -> DataFrame:
@@ -109,6 +111,20 @@ def newest_quarters(facts: DataFrame, n: int, by: Sequence[str] = ("ticker",)) -
     return facts.join(kept.select(*by, "quarter"), [*by, "quarter"], "left_semi")
 
 
+def _newest_of_statement(facts: DataFrame, n: int) -> DataFrame:
+    """As ``newest_quarters``, for statements, which have one row for each ticker, concept and quarter.
+
+    A ticker then has no more rows than its blueprint has concepts and the calendar
+    has quarters, so the windows run over tickers and nothing is computed twice.
+    """
+    if n <= 0:
+        return facts
+    middle = F.expr("percentile(unix_date(period_end), 0.5)").over(Window.partitionBy("ticker", "quarter"))
+    newest = Window.partitionBy("ticker").orderBy(F.col("_mid").desc_nulls_last(), F.col("quarter").desc())
+    ranked = facts.repartition("ticker").withColumn("_mid", middle).withColumn("_rank", F.dense_rank().over(newest))
+    return ranked.filter(F.col("_rank") <= n).drop("_mid", "_rank")
+
+
 def income(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFrame:
     """Income statement: single quarters, with fourth quarters derived."""
     blueprint = small_side(blueprint)
@@ -119,7 +135,7 @@ def income(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFrame
         [F.col("fiscal_year").desc(), F.col("period_start").desc()])
     single = single.withColumn("quarter", quarter_label(F.col("period_end"), F.col("fiscal_period")))
     whole = enrich(derive_q4(listed, single), blueprint).withColumn("statement_type", F.lit("income"))
-    return newest_quarters(whole, n_quarters)
+    return _newest_of_statement(whole, n_quarters)
 
 
 def balance(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFrame:
@@ -130,7 +146,7 @@ def balance(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFram
     one = first_per_key(listed, ["ticker", "concept", "period_end"], [F.col("fiscal_period").asc(), F.col("fiscal_year").desc()])
     one = one.withColumn("fiscal_period", F.when(F.col("fiscal_period") == "FY", "Q4").otherwise(F.col("fiscal_period")))
     one = one.withColumn("quarter", quarter_label(F.col("period_end"), F.col("fiscal_period")))
-    return newest_quarters(enrich(one, blueprint).withColumn("statement_type", F.lit("balance")), n_quarters)
+    return _newest_of_statement(enrich(one, blueprint).withColumn("statement_type", F.lit("balance")), n_quarters)
 
 
 def cashflow(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFrame:
@@ -164,7 +180,7 @@ def cashflow(facts: DataFrame, blueprint: DataFrame, n_quarters: int) -> DataFra
         .withColumn("period_type", F.lit("duration"))
     )
     single = first_per_key(single, ["ticker", "concept", "quarter"], [F.col("fiscal_year").desc(), F.col("period_end").desc()])
-    return newest_quarters(enrich(single, blueprint).withColumn("statement_type", F.lit("cashflow")), n_quarters)
+    return _newest_of_statement(enrich(single, blueprint).withColumn("statement_type", F.lit("cashflow")), n_quarters)
 
 
 def fact_hash() -> Column:

@@ -107,10 +107,16 @@ def moving(df: DataFrame, value: str = "close", n: int = MOVING_ROWS, by: str =
 
 def metrics(prices: DataFrame, earnings: DataFrame, shares: DataFrame, n: int = MOVING_ROWS) -> DataFrame:
     """P/E, moving mean and deviation of each day; days without any of them are left out."""
-    year = ttm(earnings, "earnings").select("ticker", "period_end_date", "ttm")
-    held = first_per_key(shares, ["ticker", "period_end_date"], [F.col("shares").desc()])
-    priced = asof_join(prices, year, "ticker", "price_date", "period_end_date", ["ttm"])
-    priced = asof_join(priced, held, "ticker", "price_date", "period_end_date", ["shares"])
+    # Both sides come once for each ticker and period, so a ticker has as many rows as the calendar has quarters: they are
+    # filled forward there, and each day is looked up once.
+    year = ttm(earnings, "earnings").select("ticker", "period_end_date", F.struct("ttm").alias("_ttm"))
+    held = first_per_key(shares, ["ticker", "period_end_date"], [F.col("shares").desc()]).select(
+        "ticker", "period_end_date", F.struct("shares").alias("_held"))
+    so_far = Window.partitionBy("ticker").orderBy("period_end_date").rowsBetween(Window.unboundedPreceding, 0)
+    known_then = year.join(held, ["ticker", "period_end_date"], "full").select(
+        "ticker", "period_end_date", F.last("_ttm", ignorenulls=True).over(so_far)["ttm"].alias("ttm"),
+        F.last("_held", ignorenulls=True).over(so_far)["shares"].alias("shares"))
+    priced = asof_join(prices, known_then, "ticker", "price_date", "period_end_date", ["ttm", "shares"])
     out = moving(priced, n=n).withColumn("pe_ratio", pe(F.col("close"), F.col("shares"), F.col("ttm")))
     known = F.col("pe_ratio").isNotNull() | F.col("moving_avg").isNotNull() | F.col("std_dev").isNotNull()
     return out.filter(known).select("ticker", "price_date", "moving_avg", "std_dev", "pe_ratio")
