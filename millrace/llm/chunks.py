@@ -46,22 +46,24 @@ def by_volume(texts: pa.Array, volume: int = 1 << 22) -> Iterator[tuple[int, int
         yield first, len(texts)
 
 
-def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct chunks, the chunk at every place, and where each text begins and ends."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     found = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
 def chunked(texts: pa.Array) -> Iterator[Chunked]:
     """A batch of texts in parts of bounded size.  A very long text comes in several parts, with the same row."""
     for first, last in by_volume(texts):
         if last - first > 1:
-            yield Chunked(np.arange(first, last), *split(texts.slice(first, last - first)))
+            chunks, index, cuts = split(texts.slice(first, last - first))
+            yield Chunked(np.arange(first, last), chunks.to_pylist(), index, cuts)
         else:
             for part in segments((texts[first].as_py() or "").encode()):
-                yield Chunked(np.array([first]), *split(pa.array([part.decode()], pa.string())))
+                chunks, index, cuts = split(pa.array([part.decode()], pa.string()))
+                yield Chunked(np.array([first]), chunks.to_pylist(), index, cuts)
 
 
 def sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:

@@ -12,10 +12,11 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +24,14 @@ from millrace.llm.chunks import by_volume, segments, split
 from millrace.llm.common import cut, named, worker_state
 
 TOKENIZER_FILE = "word_bpe_49k.json"
-#: Distinct chunks of text whose ids a Python worker keeps; the rest are encoded again.
-KEPT_CHUNKS = 500_000
+#: Distinct parts of texts whose ids a Python worker keeps; others are encoded again.
+KEPT_CHUNKS = 400_000
 #: Pieces that one task packs in the first round.
 LOCAL_ITEMS = 100_000
 #: Groups that meet in one group of the next round.
 FAN_IN = 32
+#: Bytes of text that are encoded at once.
+_VOLUME = 1 << 23
 PIECE_SCHEMA = "piece int, start long, length long, ids binary"
 
 
@@ -45,9 +48,9 @@ _TAIL = ".,;:!?*&%$#"
 class ChunkEncoder:
     """Ids of texts by a tokenizer whose pieces never cross ASCII white space.
 
-    Chunks between white space repeat a lot, so each distinct chunk of a batch is looked up once and the ids of the texts
-    are gathered from them; a bounded number of chunks is kept from batch to batch.  The tokenizer folds case and parts
-    ASCII letters from punctuation, so that a chunk such as `Word.` is put together from known parts.  Chunks with an
+    Chunks between white space repeat a lot.  The tokenizer folds case and parts ASCII letters from punctuation, so the
+    distinct chunks of a batch are folded and parted from their tails first; each distinct part is looked up once and the
+    ids of the texts are gathered from the parts.  A bounded number of parts is kept from batch to batch.  Chunks with an
     apostrophe (contractions are pieces of their own) or the opening of a special token are encoded as they stand.
     """
 
@@ -56,35 +59,39 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
 
-    def _resolve(self, chunks: list[str]) -> list[bytes]:
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        if len(self.known) > self.keep:  # the oldest half goes
+            self.known = dict(islice(self.known.items(), len(self.known) - self.keep // 2, None))
         known = self.known
-        lows = [c if "'" in c or "<|" in c else c.lower() if c.isascii() else c for c in chunks]
-        bases = [low.rstrip(_TAIL) for low in lows]
-        bases = [b if b and b[-1].isascii() and b[-1].isalpha() and "'" not in b and "<|" not in b else low
-                 for b, low in zip(bases, lows)]
-        tails = [low[len(b):] for b, low in zip(bases, lows)]
-        if len(known) > self.keep:
-            self.known = known = dict(islice(known.items(), self.keep // 2, None)) | {"": b""}
-        new = list({p for p in chain(bases, tails) if p not in known})
+        new = [p for p in parts if p not in known]
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             known[p] = _little_endian(e.ids)
-        return [known[b] + known[t] for b, t in zip(bases, tails)]
+        return [known[p] for p in parts]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is the empty text."""
         chunks, index, bounds = split(texts)
-        ids = self._resolve(chunks)
+        whole = pc.or_(pc.match_substring(chunks, "'"), pc.match_substring(chunks, "<|"))
+        low = pc.if_else(pc.and_(pc.string_is_ascii(chunks), pc.invert(whole)), pc.ascii_lower(chunks), chunks)
+        base = pc.ascii_rtrim(low, characters=_TAIL)
+        base = pc.if_else(pc.and_(pc.match_substring_regex(base, "[A-Za-z]$"), pc.invert(whole)), base, low)
+        cut = pc.not_equal(pc.binary_length(base), pc.binary_length(low))
+        tail = pc.if_else(cut, pc.replace_substring_regex(low, f"^.*[^{_TAIL}]", ""), "")
+        bases, tails = base.dictionary_encode(), tail.dictionary_encode()
+        ids = self._ids(bases.dictionary.to_pylist()) + self._ids(tails.dictionary.to_pylist())
         sizes = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
         pool = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
+        # Each chunk is its base and its tail, one after the other.
+        pair = np.stack([bases.indices.to_numpy(), tails.indices.to_numpy() + len(bases.dictionary)], axis=1)
+        index = pair[index].ravel()
         ends = np.concatenate([[0], np.cumsum(sizes[index])])
-        total = int(ends[-1])
-        gather = np.repeat(starts[index] - ends[:-1], sizes[index])
-        gather += np.arange(total)
+        gather = np.repeat((starts[index] - ends[:-1]).astype(np.int32), sizes[index])
+        gather += np.arange(len(gather), dtype=np.int32)
         out = pool[gather]
-        cuts = ends[bounds]
+        cuts = ends[2 * bounds]
         return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
@@ -110,7 +117,7 @@ def token_pieces(
     width = 4 * capacity
 
     def ids_of(encoder: ChunkEncoder, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
-        for first, last in by_volume(texts):
+        for first, last in by_volume(texts, _VOLUME):
             if last - first > 1:
                 for i, ids in enumerate(encoder.encode(texts.slice(first, last - first))):
                     yield first + i, ids.tobytes() + end
