@@ -85,10 +85,12 @@ class ChunkEncoder:
         pool = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
         # Each chunk is its base and its tail, one after the other.
-        pair = np.stack([bases.indices.to_numpy(), tails.indices.to_numpy() + len(bases.dictionary)], axis=1)
+        pair = np.stack([bases.indices.to_numpy(), tails.indices.to_numpy() + len(bases.dictionary)], axis=1).astype(np.int32)
         index = pair[index].ravel()
-        ends = np.concatenate([[0], np.cumsum(sizes[index])])
-        gather = np.repeat((starts[index] - ends[:-1]).astype(np.int32), sizes[index])
+        lengths = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        gather = np.repeat((starts[index] - ends[:-1]).astype(np.int32), lengths)
+        del index, lengths
         gather += np.arange(len(gather), dtype=np.int32)
         out = pool[gather]
         cuts = ends[2 * bounds]

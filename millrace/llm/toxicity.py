@@ -58,25 +58,31 @@ def _text_features(part: Chunked) -> Iterator[np.ndarray]:
         yield found[found >= 0].astype("<u4")
 
 
+def _texts_with(names: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """How many texts hold each feature, from the features of all texts, each once for a text."""
+    found, counts = np.unique(pool, return_counts=True)
+    out = np.zeros(len(names), np.int64)
+    out[np.searchsorted(names, found)] = counts
+    return out
+
+
 def _train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 300, rate: float = 0.05) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss, over the features that tell the two kinds apart."""
     n_pos, n_unl = max(1, len(pos)), max(1, len(unl))
     l2 = 0.2 / max(100, n_pos)  # the fewer positives, the less a feature is trusted
-    names, where = np.unique(np.concatenate([*pos, *unl, np.zeros(0, np.uint32)]), return_inverse=True)
-    sizes = np.fromiter(map(len, [*pos, *unl]), np.int64, len(pos) + len(unl))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    of_pos = row < len(pos)
-    a = np.bincount(where[of_pos], minlength=len(names))
-    b = np.bincount(where[~of_pos], minlength=len(names))
+    pools = [np.concatenate([*texts, np.zeros(0, np.uint32)]) for texts in (pos, unl)]
+    names = np.union1d(*pools)
+    a, b = (_texts_with(names, pool) for pool in pools)
     share = (a + b) / (n_pos + n_unl)
     gap = (a / n_pos - b / n_unl) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_pos + 1 / n_unl))
     gap[a + b < LEAST_TEXTS] = 0
-    kept = np.sort(np.argsort(-np.abs(gap), kind="stable")[:KEPT_FEATURES])
-    kept = kept[np.abs(gap[kept]) > LEAST_GAP]
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    col = place[where]
-    row, col = row[col >= 0], col[col >= 0]
+    best = np.argsort(-np.abs(gap), kind="stable")[:KEPT_FEATURES]
+    kept = np.sort(names[best[np.abs(gap[best]) > LEAST_GAP]])
+    sizes = np.fromiter(map(len, [*pos, *unl]), np.int64, len(pos) + len(unl))
+    pool = np.concatenate(pools)
+    col = np.searchsorted(kept, pool)
+    held = np.flatnonzero(kept[np.minimum(col, len(kept) - 1)] == pool) if len(kept) else np.zeros(0, np.int64)
+    row, col = np.searchsorted(np.cumsum(sizes), held, side="right"), col[held]
     w, bias = np.zeros(len(kept)), 0.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     is_pos = np.arange(len(sizes)) < len(pos)
@@ -94,7 +100,7 @@ def _train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: i
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]
         bias -= move[-1]
-    return Model(names[kept].astype(np.int64), w, float(bias))
+    return Model(kept.astype(np.int64), w, float(bias))
 
 
 def fit(
