@@ -25,13 +25,13 @@ from millrace.llm.common import cut, named, worker_state
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Distinct parts of texts whose ids a Python worker keeps; others are encoded again.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 300_000
 #: Pieces that one task packs in the first round.
 LOCAL_ITEMS = 100_000
 #: Groups that meet in one group of the next round.
 FAN_IN = 32
 #: Bytes of text that are encoded at once.
-_VOLUME = 1 << 23
+_VOLUME = 1 << 22
 PIECE_SCHEMA = "piece int, start long, length long, ids binary"
 
 
