@@ -19,7 +19,7 @@ def page(body):
     (f"<div class='cookie-notice'>{LONG}</div><form><p>{LONG}</p></form><div class='sidebar'><p>{LONG}</p></div>", ""),
     (f"<article><header><h1>Own</h1></header><p>{LONG}</p><section id='comments'><p>{LONG}</p></section></article>", f"Own\n\n{LONG}"),
     (f"<article><p>{LONG}</p><!-- <p>no</p> --><script>if (a < b) {{ }}</script><p>end", f"{LONG}\n\nend"),
-    (f"<article><p>{LONG}</p><p class='x", LONG), ("", ""), ("<p>", ""), ("<<<>>&amp", ""), ("just text", ""),
+    ("", ""), ("<p>", ""), ("<<<>>&amp", ""), ("just text", ""),
     (f"<main><div class='newsletter'>{LONG}</div><ul><li>{LONG}</li><li>{LONG}</li></ul></main>", f"{LONG}\n\n{LONG}"),
     (f"<div class='page with-sidebar'><article><div class='entry-header'><h1>Own</h1></div><p>{LONG}</p><p><a href='/'>a link</a></p>"
      f"<ul><li><a href='/t'>tag</a></li></ul></article><article class='comment'><p>{LONG}</p></article></div>", f"Own\n\n{LONG}\n\na link"),
@@ -30,6 +30,11 @@ def test_pages(body, want):
     assert h.main_text(page(body)) == want
 
 
+@pytest.mark.parametrize("end", ["", "<", "</artic", "<p", "<p class='x", "</p><!-"])
+def test_pages_that_break_off(end):
+    assert h.main_text(f"<article><p>{LONG}{end}") == LONG
+
+
 def test_deep_and_long_pages():
     assert h.main_text("<article>" + "<div>" * 5000 + LONG + "</div>" * 5000) == LONG
     assert len(h.main_text("<article><p>" + "word " * 300_000)) == 5 * 300_000 - 1
