@@ -1,8 +1,7 @@
-"""Line deduplication by pairwise alignment.
+"""Line deduplication by pairwise alignment of blocks.
 
-Every line of a document that an earlier document holds too pairs the two: the later document with the earliest holder.
-The shared lines of a pair are aligned as in patience diff, on lines that both sides have once, and aligned blocks go from
-the later document.
+Texts are compared by their smallest blocks: lines that follow each other and together have enough words.  Such a block
+aligns a later document with the earliest one that holds the same lines next to each other, and goes from the later one.
 """
 
 from __future__ import annotations
@@ -24,11 +23,39 @@ from millrace.llm.common import cut, free_name, named
 BLOCK_WORDS = 20
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """`doc_id, text_hash, line, place, words, h1, h2` of every line with a word.
+def smallest_blocks(words: list[int], block_words: int) -> list[tuple[int, int]]:
+    """Ranges of lines (end exclusive) with `block_words` words that have fewer without their first or without their last line.
 
-    `line` counts such lines, `place` all lines; the hashes name the line and how often it came before in the text, so that the k-th
-    occurrence on one side meets the k-th on the other and each side has a name once.
+    Every longer block is made of such ranges, and which ranges it has follows from its own lines alone.  So a line belongs
+    to a block that two documents share only if it belongs to a smallest one that they share.
+    """
+    least = max(1, block_words)
+    found: set[tuple[int, int]] = set()
+    first = total = 0
+    for last, n in enumerate(words):
+        total += n
+        while total - words[first] >= least:
+            total -= words[first]
+            first += 1
+        if total >= least:
+            found.add((first, last + 1))
+    last = total = 0
+    for first, n in enumerate(words):
+        while last < len(words) and total < least:
+            total += words[last]
+            last += 1
+        if total < least:
+            break
+        found.add((first, last))
+        total -= n
+    return sorted(found)
+
+
+def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
+    """`doc_id, text_hash, first, last, start, end, h1, h2` of every smallest block.
+
+    `first` and `last` count lines with a word, `start` and `end` all lines, ends exclusive; the hashes name the block's lines and
+    how often it came before in the text, so that the k-th occurrence on one side meets the k-th on the other.
     """
     source = named(docs, doc_id="doc_id", text="text").where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -38,31 +65,35 @@ def _lines(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = batch.column("text")
-            for first, last in by_volume(texts):
-                row, line, place, words, names = [], [], [], [], []
-                for i, text in enumerate(texts.slice(first, last - first).to_pylist(), first):
-                    seen: dict[bytes, int] = defaultdict(int)
-                    n = 0
+            for from_row, to_row in by_volume(texts):
+                row, first, last, start, end, names = [], [], [], [], [], []
+                for i, text in enumerate(texts.slice(from_row, to_row - from_row).to_pylist(), from_row):
+                    place, words, lines = [], [], []
                     for at, raw in enumerate(text.encode().split(b"\n")):
                         said = raw.strip()
                         if said:
-                            name = xxh3_128_digest(said)
-                            k = seen[name]
-                            seen[name] += 1
-                            names.append(name if not k else xxh3_128_digest(name + k.to_bytes(8, "little")))
-                            row.append(i)
-                            line.append(n)
                             place.append(at)
                             words.append(said.count(b" ") + 1)
-                            n += 1
+                            lines.append(xxh3_128_digest(said))
+                    seen: dict[bytes, int] = defaultdict(int)
+                    for a, b in smallest_blocks(words, block_words):
+                        name = xxh3_128_digest(b"".join(lines[a:b])) if b - a > 1 else lines[a]
+                        k = seen[name]
+                        seen[name] += 1
+                        names.append(name if not k else xxh3_128_digest(name + k.to_bytes(8, "little")))
+                        row.append(i)
+                        first.append(a)
+                        last.append(b)
+                        start.append(place[a])
+                        end.append(place[b - 1] + 1)
                 pair = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
                 of_row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(of_row), batch.column("text_hash").take(of_row), pa.array(line, pa.int32()),
-                    pa.array(place, pa.int32()), pa.array(words, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]),
-                ], ["doc_id", "text_hash", "line", "place", "words", "h1", "h2"])
+                    batch.column("doc_id").take(of_row), batch.column("text_hash").take(of_row),
+                    *[pa.array(x, pa.int32()) for x in (first, last, start, end)], pa.array(pair[:, 0]), pa.array(pair[:, 1]),
+                ], ["doc_id", "text_hash", "first", "last", "start", "end", "h1", "h2"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, text_hash long, line int, place int, words int, h1 long, h2 long")
+    return source.mapInArrow(run, f"doc_id {id_type}, text_hash long, first int, last int, start int, end int, h1 long, h2 long")
 
 
 def _increasing(positions: list[int]) -> list[int]:
@@ -101,61 +132,50 @@ def aligned_lines(shared: list[tuple[int, int, int]], block_words: int) -> set[i
     return found
 
 
-def deleted_ranges(shared: dict[object, list[tuple[int, int, int]]], block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Ranges of lines (end exclusive) that go from a document, from the lines it shares with each earlier one.
-
-    A block is made of aligned lines that follow each other, whichever document they align with.
-    """
-    words: dict[int, int] = {}
-    for lines in shared.values():
-        lines = sorted(set(lines))
-        size = {s[0]: s[2] for s in lines}
-        words.update((n, size[n]) for n in aligned_lines(lines, block_words))
+def deleted_ranges(blocks: Iterable[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int]], int]:
+    """Ranges of all lines (end exclusive) that go from a document, and how many lines with a word are in them, from the
+    `first, last, start, end` of its blocks that earlier documents hold.  Blocks that overlap or touch are one range."""
     out: list[tuple[int, int]] = []
-    order = sorted(words)
-    for _, run in groupby(enumerate(order), key=lambda x: x[1] - x[0]):
-        block = [n for _, n in run]
-        if sum(words[n] for n in block) >= block_words:
-            out.append((block[0], block[-1] + 1))
-    return out
+    removed = reached = 0
+    for first, last, start, end in sorted(set(blocks)):
+        if out and first <= reached:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+            removed += max(0, last - reached)
+        else:
+            out.append((start, end))
+            removed += last - first
+        reached = max(reached, last)
+    return out, removed
 
 
 def common_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`doc_id, text_hash, ranges, removed` of documents that lose lines: ranges of lines, end exclusive, and how many lines
     with a word are in them.
 
-    Documents are in order of `doc_id`, null last, then of a hash of the text.  All lines count, however many documents
-    share one: a line costs each later document one row, and never a row for each pair of its holders.
+    Documents are in order of `doc_id`, null last, then of a hash of the text.  All blocks count, however many documents
+    share one: a block costs each later document one row, and never a row for each pair of its holders.
     """
-    lines = cut(_lines(docs))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
-    firsts = cut(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(
+    blocks = cut(_blocks(docs, block_words))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    firsts = cut(blocks.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(
         (F.col("first.none") != F.col("last.none")) | ~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))
         | (F.col("first.text_hash") != F.col("last.text_hash"))).select(
-        F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"))
-    # Both sides are plain frames, so that adaptive execution can split a line of very many documents.
-    shared = lines.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(
-        ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")))).select(
-        "doc_id", "text_hash", "line", "place", "words", F.xxhash64("first.doc_id", "first.text_hash").alias("earlier"),
-        F.col("first.line").alias("at"))
-    id_type = lines.schema["doc_id"].dataType.simpleString()
+        F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("first.doc_id").alias("holder"), F.col("first.text_hash").alias("holder_hash")))
+    # Both sides are plain frames, so that adaptive execution can split a block of very many documents.
+    shared = blocks.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(
+        ~(F.col("holder").eqNullSafe(F.col("doc_id")) & (F.col("holder_hash") == F.col("text_hash")))).select(
+        "doc_id", "text_hash", "first", "last", "start", "end")
+    id_type = blocks.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*[b.column(c).to_pylist() for c in ("doc_id", "text_hash", "line", "place", "words", "earlier", "at")])
+                yield from zip(*[b.column(c).to_pylist() for c in ("doc_id", "text_hash", "first", "last", "start", "end")])
 
         out: list[tuple] = []
         for (doc_id, text_hash), of_doc in groupby(rows(), key=lambda r: r[:2]):
-            shared: dict[object, list[tuple[int, int, int]]] = defaultdict(list)
-            places: dict[int, int] = {}
-            for _, _, line, place, words, earlier, at in of_doc:
-                shared[earlier].append((line, at, words))
-                places[line] = place
-            ranges = deleted_ranges(shared, block_words)
-            if ranges:
-                held = [{"start": places[a], "end": places[b - 1] + 1} for a, b in ranges]
-                out.append((doc_id, text_hash, held, sum(b - a for a, b in ranges)))
+            ranges, removed = deleted_ranges(r[2:] for r in of_doc)
+            out.append((doc_id, text_hash, [{"start": a, "end": b} for a, b in ranges], removed))
             if len(out) >= 10_000:
                 yield _batch(out)
                 out = []
@@ -180,8 +200,9 @@ def without_repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> D
     Every document stays; one that loses all its lines gets the empty text.  A line is what stands between line feeds,
     compared without white space around it; lines without a word are never compared and stay where they are, unless
     nothing else does.  Null and empty texts stay as they are.  Rows that repeat both id and text are one document and
-    change alike; another text under the same or a null id is another document.  A block of fewer than `block_words`
-    words stays, however often it comes.
+    change alike; another text under the same or a null id is another document.  A line goes only with a block of
+    `block_words` words that one earlier document holds as it stands, its lines next to each other but for lines without
+    a word; all else stays, however often it comes.
     """
     docs = docs.drop("removed_lines")
     own = [free_name(docs, c) for c in ("block_id", "block_hash", "block_ranges", "block_removed")]

@@ -103,3 +103,55 @@ def test_hot_line_and_empty_frame(spark):
 def test_increasing_run():
     assert ld._increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
     assert ld._increasing([]) == []
+
+
+def common_lines(text, earlier, block_words):
+    """Lines of a text in a block of enough words that one earlier text has too, by comparing all runs of lines."""
+    mine, gone = [x.strip() for x in text.split("\n") if x.strip()], set()
+    for other in earlier:
+        theirs = [x.strip() for x in other.split("\n") if x.strip()]
+        for a in range(len(mine)):
+            for at in range(len(theirs)):
+                n = 0
+                while a + n < len(mine) and at + n < len(theirs) and mine[a + n] == theirs[at + n]:
+                    n += 1
+                if sum(len(x.split()) for x in mine[a:a + n]) >= block_words:
+                    gone.update(range(a, a + n))
+    return [x for i, x in enumerate(mine) if i not in gone]
+
+
+def test_blocks_are_those_of_one_earlier_document(spark):
+    rng = random.Random(4)
+    shared = [prose(rng, rng.choice([1, 4, 8, 12, 25])) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        # No document repeats a line of its own.
+        left, lines = shared[:], []
+        while len(lines) < 12:
+            at = rng.randrange(len(left))
+            lines += left[at:at + rng.randrange(1, 5)]
+            del left[at:at + 4]
+            lines.append(prose(rng, 9) if rng.random() < 0.3 else "")
+        rows.append(doc(i, "\n".join(lines)))
+    _, got = run(spark, rows)
+    lost = 0
+    for r in got.collect():
+        want = common_lines(r["old"], [x[1] for x in rows[:r["doc_id"]]], 20)
+        assert [x for x in r["text"].split("\n") if x] == want
+        assert r["removed_lines"] == len([x for x in r["old"].split("\n") if x]) - len(want)
+        lost += r["removed_lines"]
+    assert lost
+
+
+def test_neighbours_of_the_later_document_alone_stay(spark):
+    rng = random.Random(6)
+    a, b, c = prose(rng, 8), prose(rng, 1), prose(rng, 12)
+    held = prose(rng, 8) + "\n" + prose(rng, 12)
+    x, y = held.split("\n")
+    rows = [doc(1, f"{a}\nmine"), doc(2, f"{b}\nmy own"), doc(3, f"{c}\nour own"), doc(4, f"{a}\n{b}\n{c}"),
+            doc(5, f"{a}\nits own\n{c}"), doc(6, f"{a}\n{c}"), doc(7, f"{x}\nso"), doc(8, held), doc(9, f"no\n{held}\n{a}")]
+    _, got = run(spark, rows)
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert texts[4] == f"{a}\n{b}\n{c}" and texts[6] == f"{a}\n{c}" and texts[8] == held
+    # The block is taken as a whole though its lines were first in different documents, and nothing beside it.
+    assert texts[9] == f"no\n{a}"
