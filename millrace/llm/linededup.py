@@ -6,6 +6,7 @@ aligns a later document with the earliest one that holds the same lines next to
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,20 @@ from millrace.llm.common import cut, free_name, named
 
 #: Words that an aligned block must have to go: shorter ones are headings, licenses and the like, common by nature.
 BLOCK_WORDS = 20
+#: Code points that count as a word in scripts that don't part words by spaces.
+WORD_POINTS = 3
+#: Letters of such scripts: Thai, Lao, Tibetan, Burmese, Khmer, Tai, Javanese, Japanese and Chinese.
+_UNPARTED = re.compile(
+    "[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u1950-\u19FF\u1A20-\u1AAF\u3005-\u3007\u3040-\u312F\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF"
+    "\u4E00-\u9FFF\uA980-\uA9FF\uAA60-\uAADF\uF900-\uFAFF\uFF66-\uFF9F\U0001B000-\U0001B16F\U00020000-\U0003FFFF]")
+
+
+def line_words(said: bytes) -> int:
+    """Words of a line, one at least: runs of other than white space.  Where scripts don't part words, a run is as many
+    words as its letters fill at `WORD_POINTS` each."""
+    if said.isascii():
+        return len(said.split())
+    return max(1, sum(max(1, len(_UNPARTED.findall(w)) // WORD_POINTS) for w in said.decode().split()))
 
 
 def smallest_blocks(words: list[int], block_words: int) -> list[tuple[int, int]]:
@@ -73,7 +88,7 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
                         said = raw.strip()
                         if said:
                             place.append(at)
-                            words.append(said.count(b" ") + 1)
+                            words.append(line_words(said))
                             lines.append(xxh3_128_digest(said))
                     seen: dict[bytes, int] = defaultdict(int)
                     for a, b in smallest_blocks(words, block_words):

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from fixtures import DOC_SCHEMA, doc, odd_rows, prose
 from pyspark.sql import functions as F
 
@@ -155,3 +156,13 @@ def test_neighbours_of_the_later_document_alone_stay(spark):
     assert texts[4] == f"{a}\n{b}\n{c}" and texts[6] == f"{a}\n{c}" and texts[8] == held
     # The block is taken as a whole though its lines were first in different documents, and nothing beside it.
     assert texts[9] == f"no\n{a}"
+
+
+@pytest.mark.parametrize("line,goes", [
+    ("天地玄黄宇宙洪荒" * 20, True), ("ภาษาไทยไม่เว้นวรรค" * 10, True), ("天地玄黄宇宙洪荒", False), ("日月盈昃\u3000辰宿列张", False),
+    ("\t".join(f"w{i}" for i in range(25)), True), ("\u00A0".join(f"é{i}" for i in range(25)), True),
+    ("short" + " " * 40 + "words", False), ("kurz" + " " * 40 + "wörter", False), ("x" * 300, False),
+])
+def test_words_are_runs_or_letters_of_unparted_scripts(spark, line, goes):
+    _, got = run(spark, [doc(1, f"{line}\nmine"), doc(2, f"own\n{line}")])
+    assert {r["doc_id"]: r["text"] for r in got.collect()}[2] == ("own" if goes else f"own\n{line}")
