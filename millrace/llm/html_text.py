@@ -19,7 +19,12 @@ from millrace.llm.common import named
 
 # Fixed values.
 #: Tags whose content is never text of the page.
-_SKIPPED = frozenset("script style noscript template head iframe object svg math canvas audio video select textarea button".split())
+_SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button".split())
+#: Those whose content no end tag of another element ends, and those that may hold their own kind.
+_RAW = frozenset("script style".split())
+_NESTED = frozenset("object svg math template audio video canvas".split())
+#: Tags that don't end an open head.
+_OF_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Tags around what is not the article.
 _BOILERPLATE = frozenset("nav footer aside form header menu dialog".split())
 #: Tags that begin and end a block.
@@ -40,6 +45,11 @@ _HINT = re.compile(
 _OTHER = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|response|related|recommend\w*|promo\w*|sponsor\w*|ads?|advert\w*|teaser)(?=$|[\s_-])", re.I)
 #: Those of a container that holds the article where no tag says so.
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:content|main|article|post|entry|story|body)(?=$|[\s_-])", re.I)
+#: Parts of a name that say nothing by themselves.
+_NEUTRAL = re.compile(
+    r"\d+|div|box|bars?|blocks?|buttons?|list|links?|items?|cards?|posts?|articles?|entry|story|body|container|wrapper|wrap|inner|section|slot|area|form|signup|icons?|unit", re.I)
+#: Whole ids within an article that are other than the article; all other ids may be made from what a heading says.
+_OTHER_ID = re.compile(r"(?:^|[\s_-])(?:comments?|replies|related|recommend(?:ed|ations?)|promo|sponsored|ads?|adverts?|teaser)(?=$|[\s_-])", re.I)
 #: Stop words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he in is it its not of on or that the this to was were will with you "
@@ -49,8 +59,7 @@ STOP_WORDS = frozenset(
     "si sin su sus también todo y ya".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
@@ -70,10 +79,52 @@ class Block(NamedTuple):
     tag: str
 
 
-def _end_of(tag: str, page: str, at: int) -> int:
-    """Where the content of a skipped element ends."""
-    found = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-    return found.end() if found else len(page)
+def _ends(tag: str, page: str) -> dict[int, int]:
+    """Where the content of skipped elements ends, by where it starts; elements that are never closed are not listed.
+
+    One that can't hold its own kind and meets it before an end tag was not closed.
+    """
+    found: dict[int, int] = {}
+    opened: list[int] = []
+    parts = rf"<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>])[^>]*>.*?(?:</(?:script|style)|\Z)|<(/?){tag}(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    for m in re.finditer(parts, page, re.S | re.I):
+        if m.group(1) is None:
+            continue
+        if m.group(1):
+            if opened:
+                found[opened.pop()] = m.end()
+        elif not m.group(2).endswith("/"):
+            if tag not in _NESTED:
+                opened.clear()
+            opened.append(m.end())
+    return found
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Attributes of a tag by name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(attrs):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _is_hidden(said: dict[str, str]) -> bool:
+    if "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    for rule in said.get("style", "").lower().split(";"):
+        name, _, value = rule.partition(":")
+        if name.strip() == "display" and value.split("!")[0].strip() == "none":
+            return True
+    return False
+
+
+def _whole(hint: re.Pattern, names: str) -> bool:
+    """Whether a name as a whole says what the hint says: all of its parts do, but for those that say nothing."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[_-]+", name) if x and not _NEUTRAL.fullmatch(x)]
+        if parts and all(hint.fullmatch(x) for x in parts):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
@@ -85,6 +136,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, bool]] = []  # tag, level, rejected
     parts: list[str] = []
     linked = links = at = 0
+    in_head = False
+    ends: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         nonlocal linked
@@ -98,7 +151,9 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         found = _TAG.search(page, at)
         raw = page[at:found.start() if found else len(page)]
-        if raw:
+        if raw and in_head and not raw.isspace():
+            in_head = False
+        if raw and not in_head:
             parts.append(raw)
             if links:
                 linked += len(raw.strip())
@@ -108,11 +163,30 @@ def blocks(page: str) -> list[Block]:
         closing, tag, attrs = found.group(1), (found.group(2) or "").lower(), found.group(3) or ""
         if not tag:
             continue
+        if tag == "head":
+            close()
+            in_head = not closing
+            continue
+        if in_head and not closing and tag not in _OF_HEAD:
+            in_head = False  # a tag of the body ends a head that is not closed
+        if tag == "title":
+            close()
+            if not closing:
+                done = re.compile(r"</title(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = done.end() if done else max(page.find("<", at), at)
+            continue
+        if tag in _RAW and not closing and not attrs.endswith("/"):
+            parts.append(" ")
+            done = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = done.end() if done else len(page)
+            continue
         if tag in _SKIPPED and not closing and not attrs.endswith("/"):
-            if tag in ("head", "svg", "select", "button", "noscript", "template"):
+            if tag in ("svg", "select", "button", "noscript", "template"):
                 close()
             parts.append(" ")
-            at = _end_of(tag, page, at)
+            if tag not in ends:
+                ends[tag] = _ends(tag, page)
+            at = ends[tag].get(at, at)
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -134,19 +208,23 @@ def blocks(page: str) -> list[Block]:
         if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
             stack.pop()
         _, level, rejected = stack[-1] if stack else ("", 0, False)
-        hints = " ".join(a or b or c for a, b, c in _ATTR.findall(attrs))
+        said = _attributes(attrs) if attrs else {}
+        roles, classes, ids = said.get("role", ""), said.get("class", ""), said.get("id", "")
+        hints = f"{classes} {ids} {roles}"
         if tag in ("article", "main"):
-            named = bool(_OTHER.search(hints))
+            named = _whole(_OTHER, f"{classes} {roles}") or _whole(_OTHER_ID, ids)
             level = 2
         elif tag in ("html", "body"):
             named = False
+        elif level == 2:
+            # The header and the headings of an article are part of it, whatever they are called.
+            own = " ".join(c for c in f"{classes} {roles}".split() if not re.fullmatch(r"(?:.*[_-])?header", c, re.I))
+            named = (tag in _BOILERPLATE and tag != "header") or _whole(_HINT, own) or (tag not in _HEADINGS and _whole(_OTHER_ID, ids))
         else:
-            # The heading of an article is part of it, whatever it is called.
-            said = re.sub(r"\b(?:\w+[_-])?header\b", " ", hints, flags=re.I) if level == 2 else hints
-            named = (tag in _BOILERPLATE and not (tag == "header" and level == 2)) or bool(_HINT.search(said))
+            named = tag in _BOILERPLATE or bool(_HINT.search(hints))
             if not level and _CONTENT.search(hints):
                 level = 1
-        rejected = rejected or named or tag == "title" or bool(attrs and _HIDDEN.search(attrs))
+        rejected = rejected or named or _is_hidden(said)
         stack.append((tag, level, rejected))
     close()
     return out
@@ -202,7 +280,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", conten
     """`page_id, url, text` of every row: the main text of the whole page.
 
     Null or empty pages, and pages without an article, give the empty text.  Broken markup is read as far as it goes: an
-    element that is never closed ends with the page.  Repeated rows are read each; other columns are not looked at.
+    element that is never closed ends with the page, but a head ends where the body begins, and elements whose content is
+    not read, scripts and styles apart, lose their tag only.  Repeated rows are read each; other columns are not looked at.
     """
     source = named(pages, page_id=page_id, url=url, content=content)
     types = [source.schema[c].dataType.simpleString() for c in ("page_id", "url")]

@@ -55,3 +55,31 @@ def test_query(spark, data_dir):
     rows = QUERIES["op9_html_text"](spark, data_dir).collect()
     assert len(rows) == spark.read.parquet(f"{data_dir}/pages.parquet").count()
     assert all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
+
+
+BOTH = f"<article><p>{LONG}</p><header>Own</header><p>{LONG}</p></article>"
+BOTH_TEXT = f"{LONG}\n\nOwn\n\n{LONG}"
+
+
+@pytest.mark.parametrize("content,want", [
+    (f"<html><head><title>T</title><script>'<p></head>'</script><body>{BOTH}", BOTH_TEXT),
+    (f"<html><head><meta charset=x><title>T</title>{BOTH}<script>'</head>'</script>", BOTH_TEXT),
+    (f"<head><title>T</head><body>{BOTH}", BOTH_TEXT),
+    *[(f"<body><{t} class='x'><article><p>{LONG}</p></article>", LONG) for t in "button select object canvas template noscript iframe svg".split()],
+    (f"<body><button>go<article><p>{LONG}</p></article><button>x</button>", LONG),
+    (f"<article><p>{LONG}</p><object><object>a</object>b</object><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><style>p {{}}", LONG),
+    (f"<article data-title='The hidden cost of rain'><p>{LONG}</p></article>", LONG),
+    (f"<article><div class='block hidden md:block'>{LONG}</div><p title='aria-hidden=true display:none'>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><p hidden>{LONG}</p><p aria-hidden='true'>{LONG}</p><p style='color:red; display : none !important'>{LONG}</p></article>", LONG),
+    (f"<article><section id='legal-status'><h2 id='search'>Search</h2><p class='notice-of-intent'>{LONG}</p></section></article>", f"Search\n\n{LONG}"),
+    (f"<article id='response-to-critics' class='post tag-related-work'><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><div class='related-posts'>{LONG}</div><div role='navigation'>{LONG}</div><div id='comments'>{LONG}</div></article>", LONG),
+])
+def test_text_is_not_dropped_without_need(content, want):
+    got = h.main_text(content)
+    assert got.replace("go\n\n", "") == want
+
+
+def test_many_elements_that_are_not_closed():
+    assert h.main_text("<article>" + "<svg><button>" * 20_000 + f"<p>{LONG}") == LONG
