@@ -1,7 +1,7 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags.  The first pass decides a block by its link density, its length and its
-share of stop words, within what its tags say of it; blocks too short to decide are left open.  The second pass gives
+share of stop words (in other languages, by ends of sentences), within what its tags say of it; blocks too short to decide are left open.  The second pass gives
 these the label of the nearest decided neighbours.
 """
 
@@ -60,6 +60,12 @@ STOP_WORDS = frozenset(
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Tags of what need not be sentences: code, tables and lists.
+_LISTED = frozenset("pre td th li dd".split())
+#: The end of a sentence, or a run of a script that marks none.
+_SENTENCE = re.compile(r"[.!?\u2026][\"'\u00BB\u201D\u2019)\]]*(?:\s|$)|[\u3002\uFF01\uFF1F\uFF0E\uFF61\u0964\u0965\u061F\u06D4\u0589\u1362\u104B\u17D4\u0F0D]|[\u0E00-\u0EFF]{20}")
+#: Letters that say as much as two of others.
+_DENSE = re.compile("[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
@@ -230,8 +236,24 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _first_pass(block: Block, level: int) -> bool | None:
-    """True or False if the block decides itself, None if it is too short to tell."""
+def _size(text: str) -> int:
+    return len(text) if len(text) >= SHORT or text.isascii() else len(text) + len(_DENSE.findall(text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _known_language(found: list[Block]) -> bool:
+    """Whether the long blocks of a page, links and rejected ones apart, are in a language of the stop words."""
+    held = [_stop_words(b.text) for b in found if not b.rejected and len(b.text) >= SHORT and b.linked <= MOST_LINKS * len(b.text)]
+    return sum(n for n, _ in held) >= max(1, LEAST_STOP_WORDS * sum(n for _, n in held))
+
+
+def _first_pass(block: Block, level: int, known: bool) -> bool | None:
+    """True or False if the block decides itself, None if it is too short to tell; `known` if stop words can tell."""
     if block.rejected or block.level < level:
         return False
     prose = block.tag in _PROSE
@@ -239,10 +261,16 @@ def _first_pass(block: Block, level: int) -> bool | None:
         return False if len(block.text) < SHORT or not level else None
     if level:
         return True if len(block.text) >= SHORT else None
-    if len(block.text) < SHORT:
+    if _size(block.text) < SHORT:
         return None
-    words = _WORD.findall(block.text.lower())
-    return len(words) > 0 and sum(w in STOP_WORDS for w in words) >= LEAST_STOP_WORDS * len(words)
+    if block.tag == "pre" or (not known and block.tag in _LISTED):
+        return True
+    if not known:
+        return _SENTENCE.search(block.text) is not None
+    stop, words = _stop_words(block.text)
+    if words and stop >= LEAST_STOP_WORDS * words:
+        return True
+    return None if block.tag in _LISTED else False
 
 
 def main_text(page: str) -> str:
@@ -250,7 +278,8 @@ def main_text(page: str) -> str:
     found = blocks(page)
     level = max((b.level for b in found if not b.rejected), default=0)
     in_article = level > 0
-    first = [_first_pass(b, level) for b in found]
+    known = not in_article and _known_language(found)
+    first = [_first_pass(b, level, known) for b in found]
     before: list[bool | None] = []
     last: bool | None = None
     for b, decided in zip(found, first):

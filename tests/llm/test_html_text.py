@@ -83,3 +83,21 @@ def test_text_is_not_dropped_without_need(content, want):
 
 def test_many_elements_that_are_not_closed():
     assert h.main_text("<article>" + "<svg><button>" * 20_000 + f"<p>{LONG}") == LONG
+
+
+POLISH = "Rada miasta przyjęła wczoraj nowy budżet. Mieszkańcy czekali na tę decyzję przez wiele miesięcy, lecz nie bez obaw."
+CHINESE = "市议会昨天通过了新的预算。居民们为这个决定等待了好几个月，但并非没有担忧，许多人仍然怀疑。"
+THAI = "สภาเมืองอนุมัติงบประมาณใหม่เมื่อวานนี้หลังจากประชาชนรอคอยการตัดสินใจมาหลายเดือนแต่ยังคงมีความกังวลอยู่มาก"
+CODE = "int x = 0; while (x < 10) { x += step(x); log(x); } return finish(x, LIMIT, FLAGS_DEFAULT, handler);".replace("<", "&lt;")
+
+
+@pytest.mark.parametrize("body,want", [
+    *[(f"<div><h2>{t[:9]}</h2><p>{t}</p><p>{t}</p></div><div class='menu'>{t}</div>", f"{t[:9]}\n\n{t}\n\n{t}") for t in (POLISH, CHINESE, THAI)],
+    (f"<pre>{CODE}</pre>", CODE.replace("&lt;", "<")),
+    (f"<p>{LONG}</p><pre>{CODE}</pre><p>{LONG}</p>", f"{LONG}\n\n{CODE.replace('&lt;', '<')}\n\n{LONG}"),
+    ("<ul><li>" + "Kraków, Łódź, Wrocław, " * 5 + "</li></ul>", ("Kraków, Łódź, Wrocław, " * 5).strip()),
+    ("<div>" + "Kraków Łódź Wrocław " * 5 + "</div>", ""),
+    (f"<p>{LONG}</p><div>" + "Xylo brint quop. " * 8 + "</div>", LONG),
+])
+def test_pages_without_containers_in_any_language(body, want):
+    assert h.main_text(page(body)) == want
