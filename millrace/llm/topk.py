@@ -23,16 +23,20 @@ BLOCK = 2048
 #: Numbers of a tile of scores, which bounds what a task holds.
 _TILE = 1 << 21
 _EXACT = float(1 << 53)
+#: Range of a long.
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """`vec_id, v`: components as floor(scale * x), x as double.  Vectors that are null or hold a null or non-finite
-    component are left out, and so are those with a component beyond 2^31, for which inner products are no longs."""
+    """`vec_id, v`: components as floor(scale * x), x as double; whole numbers as double, since they may pass a long.  Only
+    vectors that are null or hold a null or non-finite component are left out."""
     rows = named(vectors, vec_id=vec_id, embedding=embedding)
     x = F.transform("embedding", lambda e: e.cast("double"))
-    fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e * scale) < float(1 << 31)))
+    fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    # From 2^52 on a double has no fraction.
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
     return rows.select("vec_id", x.alias("x")).where(F.col("x").isNotNull() & F.coalesce(fine, F.lit(False))).select(
-        "vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
+        "vec_id", F.transform("x", lambda e: whole(e * scale)).alias("v"))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -40,11 +44,16 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), dims)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exact: as floats where no sum can pass 2^53, else as Python's integers."""
-    if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < _EXACT:
-        return a @ b.T
-    return a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T
+def _integers(a: np.ndarray) -> np.ndarray:
+    """Whole numbers as Python's integers."""
+    return np.array([int(x) for x in a.ravel()], object).reshape(a.shape)
+
+
+def _products(a: np.ndarray, b: np.ndarray, parts: list[slice]) -> list[np.ndarray]:
+    """Inner products of whole numbers by parts, exact: as floats where no sum can pass 2^53, else as Python's integers."""
+    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= _EXACT:
+        a, b = _integers(a), _integers(b)
+    return [a[:, s] @ b[:, s].T for s in parts]
 
 
 def _parts(dims: int) -> list[slice]:
@@ -69,19 +78,20 @@ def _tiles(batches: Iterable[pa.RecordBatch], queries: dict[int, np.ndarray]) ->
 
 
 def _out(q: list, cls: list, score: list) -> pa.RecordBatch:
-    limit = (1 << 63) - 1
-    scores = [max(-limit, min(limit, int(s))) for part in score for s in part]
+    scores = [int(s) for part in score for s in part]
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(cls), pa.int64()), pa.array(scores, pa.int64()),
-    ], ["q", "cls", "score"])
+        pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(cls), pa.int64()),
+        pa.array([max(_LEAST, min(_MOST, s)) for s in scores], pa.int64()), pa.array([not _LEAST <= s <= _MOST for s in scores], pa.bool_()),
+    ], ["q", "cls", "score", "beyond"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK) -> DataFrame:
     """`query_id, rank, vec_id, score`: the `k` highest inner products of each query with all rows but itself.
 
-    `vectors` has `vec_id, v` (array of long); rows where `is_query` holds are the queries.  Ties go to the smaller
+    `vectors` has `vec_id, v` (array of whole numbers, as long or double); rows where `is_query` holds are the queries.  Ties go to the smaller
     vec_id; a null vec_id comes first and is no query.  A query meets vectors of its own length only.  Fewer other rows
     give fewer results, no rows none.  Rows that repeat an id are rows of their own, but none is a result for the id.
+    A result with a score beyond a long is an error.
 
     Equal vectors score alike, so they are one class; of its ids only the `k + 1` smallest can be in any answer.  The
     search runs over classes.  Query classes travel in blocks of at most `block`, one after the other, each written to
@@ -102,15 +112,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK)
         rows = query_classes.where(F.pmod(F.xxhash64(F.lit("block"), "v"), F.lit(blocks)) == b).toPandas() if blocks > 1 else query_classes.toPandas()
         part = cut(_search(classes, rows, k))
         found = part if found is None else found.unionByName(part)
-    listed = found.join(members.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("id")).select("q", "score", "id.vec_id")
+    listed = found.join(members.select("cls", "ids"), "cls").select(
+        "q", "score", "beyond", F.explode("ids").alias("id")).select("q", "score", "beyond", "id.vec_id")
     pairs = asked.join(query_classes, "v").select("q", "query_id").join(listed, "q").where(~F.col("vec_id").eqNullSafe(F.col("query_id")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("vec_id"))
+    score = F.when(F.col("beyond"), F.raise_error(F.lit("a score is beyond a long")).cast("long")).otherwise(F.col("score"))
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        "query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _search(classes: DataFrame, rows, k: int) -> DataFrame:
-    """Rows (q, cls, score) that hold the `k + 1` best classes of each query of a block."""
+    """Rows (q, cls, score, beyond) that hold the `k + 1` best classes of each query of a block; scores
+    `beyond` a long are cut to it, which keeps their order towards all others."""
     spark = classes.sparkSession
     queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     sizes = rows["v"].map(len).to_numpy(dtype=np.int64) if len(rows) else np.zeros(0, np.int64)
@@ -120,13 +133,13 @@ def _search(classes: DataFrame, rows, k: int) -> DataFrame:
         queries[int(dims)] = (rows["q"].to_numpy()[at], stacked)
     sent = spark.sparkContext.broadcast(queries)
     keep = k + 1  # the query's own class may hold the query alone
-    schema = "q long, cls long, score long"
+    schema = "q long, cls long, score long, beyond boolean"
 
     def local_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for cls, matrix, dims in _tiles(batches, sent.value):
             names, asked = sent.value[dims]
-            partial = [_products(matrix[:, s], asked[:, s]) for s in _parts(dims)]
+            partial = _products(matrix, asked, _parts(dims))
             total = sum(partial)
             rows_of = [np.argpartition(-p.astype(np.float64), keep - 1, axis=0)[:keep] if len(cls) > keep else
                        np.repeat(np.arange(len(cls))[:, None], len(names), 1) for p in partial]
@@ -148,8 +161,9 @@ def _search(classes: DataFrame, rows, k: int) -> DataFrame:
     first = classes.mapInArrow(local_lists, schema).distinct()
     ranked = Window.partitionBy("q").orderBy(F.desc("score"))
     floor = first.withColumn("n", F.row_number().over(ranked)).where(F.col("n") == keep).select("q", "score").toPandas()
-    cutoff = dict(zip(floor["q"], floor["score"]))
-    cuts = {dims: np.array([cutoff.get(q, -_EXACT * _EXACT) for q in names], np.float64) for dims, (names, _) in queries.items()}
+    # A score cut to the least long says nothing of how low it is.
+    cutoff = {q: s for q, s in zip(floor["q"], floor["score"]) if s > _LEAST}
+    cuts = {dims: np.array([cutoff.get(q, -np.inf) for q in names], np.float64) for dims, (names, _) in queries.items()}
     sent_cuts = spark.sparkContext.broadcast(cuts)
 
     def sufficient(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +171,7 @@ def _search(classes: DataFrame, rows, k: int) -> DataFrame:
             names, asked = sent.value[dims]
             least = sent_cuts.value[dims]
             parts = _parts(dims)
-            partial = [_products(matrix[:, s], asked[:, s]) for s in parts]
+            partial = _products(matrix, asked, parts)
             # A float cutoff may round up by its last bit; the share is taken a little lower.
             share = (least - np.abs(least) * 1e-12) / len(parts)
             held = np.zeros(partial[0].shape, bool)

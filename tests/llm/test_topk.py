@@ -65,3 +65,23 @@ def test_wide_components_are_exact(spark):
 def test_all_scores_negative(spark):
     rows = [(0, [1.0, 1.0])] + [(i, [-1.0 - i / 7, -i / 5]) for i in range(1, 40)]
     assert run(spark, rows) == brute([(i, [single(x) for x in e]) for i, e in rows], 5)
+
+
+def test_finite_components_of_any_size_stay(spark):
+    rng = random.Random(8)
+    rows = [(i, [single(rng.uniform(-1, 1)) for _ in range(4)]) for i in range(40)]
+    # Small numbers in one list of dimensions, large ones in the other.
+    rows += [(i, [single(rng.uniform(-1, 1)) for _ in range(3)] + [2.0 ** 33 + 2.0 ** 11 * i]) for i in range(40, 60)]
+    rows += [(60, [2.0 ** 24, 0.0, 0.0, 0.0]), (61, [0.0, -(2.0 ** 22), 0.0, 0.0]), (62, [0.0, 0.0, 2.0 ** 100, 0.0]), (70, [0.0, 1.0, 0.0, 0.0])]
+    few = [r for r in rows if r[0] < 40 or r[0] in (60, 61, 70)]
+    assert run(spark, few, every=10) == brute(few, 5, every=10)
+    apart = [(i, e[:2] + [0.0] + e[3:] if i != 62 else e) for i, e in rows if i not in (40, 50)]
+    small = [(i, e) for i, e in apart if i in (0, 10, 60, 61, 62, 70) or 40 <= i < 60]
+    assert run(spark, small, every=10) == brute(small, 5, every=10)
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_scores_beyond_a_long_are_an_error(spark, sign):
+    with pytest.raises(Exception, match="beyond a long"):
+        run(spark, [(50, [2.0 ** 40]), (1, [sign * 2.0 ** 40])])
+    assert run(spark, [(50, [2.0 ** 40]), (1, [sign * 2.0 ** -8])]) == [(50, 1, 1, sign * 2 ** 48)]
