@@ -38,11 +38,11 @@ def _fingerprints(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Rows (keys, hash, pos) of the winnowed fingerprints of column `text`, for spans of `n` words.
 
     A fingerprint packs 34 bits of the hash above 30 bits of its position, so that the smallest value of a window is
-    its smallest hash, the leftmost of equals.  Case folding is coarser here than in the comparison, never finer.
+    its smallest hash, the leftmost of equals.  Case folds as in the comparison; `lower` by itself would look at what stands around a letter.
     """
     k = _gram_size(n)
     window = n - k + 1
-    cut_words = df.select(*keys, words(F.lower("text")).alias("w")).where(F.size("w") >= n)
+    cut_words = df.select(*keys, words(_exact_lower(F.col("text"))).alias("w")).where(F.size("w") >= n)
     grams = F.transform(
         F.sequence(F.lit(0), F.size("w") - k),
         lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]).bitwiseAND(F.lit(~_POS_MASK)).bitwiseOR(i.cast("long")),

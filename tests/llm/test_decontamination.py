@@ -93,3 +93,12 @@ def test_query_digest(spark, data_dir):
 
     row = QUERIES["op1_decontamination"](spark, data_dir).where("not contaminated").first()
     assert row["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_case_does_not_depend_on_what_stands_between_words(spark):
+    w = [f"{c}ΟΣ" for c in "ΑΒΓΔΕΖΗΘΙΚ"]
+    docs = [(1, " ".join(w)), (2, ".".join(w)), (3, ".ΤΙ ".join(w)), (4, " ".join(w).lower())]
+    items = [(1, ".".join(w))]
+    got = rows_of(d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(docs, items, 10)
+    assert [r[2] for r in got] == [10, 10, 0, 0]
