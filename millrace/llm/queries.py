@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontamination, html_text, language, linededup, packing, quality, simhash, topk, toxicity
+from millrace.llm import chat, decontamination, html_text, language, linededup, packing, quality, simhash, topk, toxicity, urlfilter
 from millrace.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the blocks of lines that earlier ones hold."""
     found = linededup.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "removed_lines", F.length("text").cast("long").alias("n_chars"))
+
+
+#: Rules of the url filter: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@_query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url under the rules."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+CHECKS["op11_url_filter"] = f"""
+WITH rules(h, p, v) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+u AS (SELECT row_number() OVER () AS n, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+fit AS (SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS r
+  FROM u JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM fit WHERE r = 1) USING (n)"""
