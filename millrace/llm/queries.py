@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontamination, html_text, language, linededup, packing, quality, simhash, topk, toxicity, urlfilter
-from millrace.llm.common import fold_of
+from millrace.llm import chat, codes, decontamination, html_text, language, linededup, packing, quality, simhash, topk, toxicity, urlfilter
+from millrace.llm.common import cut, fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -156,3 +156,13 @@ u AS (SELECT row_number() OVER () AS n, page_id, coalesce(translate(regexp_extra
 fit AS (SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC) AS r
   FROM u JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM fit WHERE r = 1) USING (n)"""
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors, and those of their label."""
+    found = cut(codes.compress(_table(spark, sf_dir, "embeddings")))
+    of_label = found.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return found.join(of_label, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.col("books_sha256").alias("codebooks_sha256"))
