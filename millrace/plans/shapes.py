@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import ensure_checkpoint_dir
+
 SMALL_SIDE_ROWS = 50_000
 SMALL_SIDE_BYTES = 8 << 20
 #: Above this many rows of a key Spark no longer cuts input tasks down by rank.
@@ -57,6 +59,32 @@ def top_per_key(
     return ranked.withColumn(rank, F.col(rank).cast("long"))
 
 
+def ordered_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:
+    """All rows with their exact number (from 1, long) within their key, in the given order.
+
+    Rows are dealt by sampled splitters over (keys, order, hash of the row) into ranges of about equal *count*, sorted
+    there and written to the checkpoint folder.  A row's number is its place in its range and the rows of its key in the
+    ranges before; only one row per key and range is counted.  So one key, and one value of its order, may own all rows
+    without meeting in one task (rows that are equal in every column do meet).  Pass keys, order and id columns only, and
+    join the rest to the few rows wanted.
+    """
+    keys = list(keys)
+    ensure_checkpoint_dir(df.sparkSession)
+    hashed = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    by = [*[F.col(k).asc() for k in keys], *order, F.xxhash64(*hashed).asc()]
+    # The number of a range and the place in it: given after the sort, where the rows are.
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # As many rows as a key has ranges.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    meets = part == F.col("_part")
+    for k in keys:
+        meets = meets & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(starts, meets).withColumn(into, F.col("_before") + F.col("_at") - F.col("_first") + 1).select(*df.columns, into)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the given order."""
     return top_per_key(df, keys, order, 1)
