@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, codes, decontamination, html_text, language, linededup, packing, quality, simhash, topk, toxicity, urlfilter
+from millrace.llm import chat, codes, decontamination, html_text, language, linededup, packing, phrases, quality, simhash, topk, toxicity, urlfilter
 from millrace.llm.common import cut, fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,30 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
     return found.join(of_label, F.col("label").eqNullSafe(F.col("of"))).select(
         "vec_id", code.alias("code"), "error", "label_error", F.col("books_sha256").alias("codebooks_sha256"))
+
+
+@_query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language over all documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+CHECKS["op12_phrases"] = r"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, unnest(w) AS x, unnest(w[2:]) AS y, unnest(w[3:]) AS z FROM w WHERE len(w) > 0),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS a FROM g GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS a FROM g WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS a FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING a >= 10),
+cuts AS (
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, c.a, l.a AS l, r.a AS r, 1 AS k FROM f2 c JOIN f1 l USING (lang, x)
+    JOIN f1 r ON r.lang = c.lang AND r.x = c.y WHERE c.a >= 10 AND NOT EXISTS (SELECT 1 FROM f3 h WHERE h.lang = c.lang AND h.x = c.x AND h.y = c.y AND 100 * h.a >= 50 * c.a)
+    AND NOT EXISTS (SELECT 1 FROM f3 h WHERE h.lang = c.lang AND h.y = c.x AND h.z = c.y AND 100 * h.a >= 50 * c.a)
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.a, l.a, r.a, 1 FROM f3 c JOIN f1 l USING (lang, x) JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+  UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.a, l.a, r.a, 2 FROM f3 c JOIN f2 l USING (lang, x, y) JOIN f1 r ON r.lang = c.lang AND r.x = c.z),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ns AS (SELECT lang, sum(a)::BIGINT AS n FROM f1 GROUP BY 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN ns USING (lang) QUALIFY rank <= 2000"""

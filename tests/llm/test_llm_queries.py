@@ -28,7 +28,7 @@ def test_registered():
     import __spark_entry__
 
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name,label,parts,held", [("op4_toxicity", "toxic", 5, 0), ("op7_language", "lang", 3, 1), ("op8_quality", "quality", 3, 1)])
