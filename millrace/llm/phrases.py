@@ -25,7 +25,7 @@ LEAST = 10
 COVER = 50
 MOST = 2000
 #: Bytes of texts that a task counts at once.
-VOLUME = 1 << 24
+VOLUME = 6 << 20
 #: Kinds of bytes: part of a word, gap, end of a piece.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -57,12 +57,10 @@ def walks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(last - first)])
     said = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(_LOWER[data[inside]])])
     found = said.dictionary_encode()
-    # Ends of pieces and of texts up to each byte; a word is the last of its piece if there is one before the next word.
-    stops = (kind == 2).astype(np.int64)
-    breaks = np.concatenate([[0], np.cumsum(stops)])
-    done = np.ones(len(first), bool)
+    # A word is the last of its piece if an end of a piece, or of a text, stands before the next word.
+    stops, done = np.flatnonzero(kind == 2), np.ones(len(first), bool)
     text_of = np.searchsorted(cuts - cuts[0], first, side="right")
-    done[:-1] = (breaks[first[1:]] > breaks[last[:-1]]) | (text_of[1:] != text_of[:-1])
+    done[:-1] = (np.searchsorted(stops, first[1:]) > np.searchsorted(stops, last[:-1])) | (text_of[1:] != text_of[:-1])
     return found.dictionary.cast(pa.binary()), found.indices.to_numpy(zero_copy_only=False).astype(np.int64), done
 
 
