@@ -26,6 +26,8 @@ COVER = 50
 MOST = 2000
 #: Bytes of texts that a task counts at once.
 VOLUME = 6 << 20
+#: Buckets of edges a shuffle partition; a task unpacks one after the other.
+SHARES = 4
 #: Kinds of bytes: part of a word, gap, end of a piece.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -202,6 +204,7 @@ def _graph(source: DataFrame, seed: int, buckets: int, heavy_words: np.ndarray,
             c.append(p[2 * size:])
             n.append(np.frombuffer(counts, "<u2" if len(counts) == 2 * size else "<i8").astype(np.int64))
         a, b, c, n = counted(*map(np.concatenate, (a, b, c, n)), len(ids))
+        blocks.clear()
         edge = (c > 0) & (n >= least)
         new_word = np.concatenate([[True], a[1:] != a[:-1]])
         new_pair = new_word | np.concatenate([[True], b[1:] != b[:-1]])
@@ -226,12 +229,12 @@ def _graph(source: DataFrame, seed: int, buckets: int, heavy_words: np.ndarray,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, []
         for batch in batches:
-            for k, *block in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for i, k in enumerate(batch.column("bucket").to_pylist()):
                 if k != now and blocks:
                     yield flows(blocks)
                     blocks = []
                 now = k
-                blocks.append(block)
+                blocks.append([batch.column(c)[i].as_py() for c in ("ids", "places", "counts", "n")])
         if blocks:
             yield flows(blocks)
 
@@ -286,11 +289,11 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, most:
     Words are 64 bits of hash with their language; two that share one are found when the words are listed, and then all is
     done anew with another seed, so counts are those of words.  The texts are read twice, and only packed counts of each
     part's distinct edges are shuffled.  The driver holds words and pairs of more than an eighth of a bucket's share of some
-    part, at most 16 times the shuffle partitions, and one number a language.
+    part, at most 16 times the buckets, and one number a language.
     """
     source = _source(docs, text, lang)
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = SHARES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while True:
         lexicon = _lexicon(source, seed, buckets, volume)
         if not lexicon.where("kind = 0").groupBy("id").count().where("count > 1").limit(1).count():
