@@ -1,14 +1,14 @@
-"""Line deduplication by pairwise alignment of blocks.
+"""Line deduplication by pairwise alignment.
 
-Texts are compared by their smallest blocks: lines that follow each other and together have enough words.  Such a block
-aligns a later document with the earliest one that holds the same lines next to each other, and goes from the later one.
+Lines that are rare by their length, or together with their neighbours, name a document: the smallest runs of lines with
+enough words.  A document is paired with the earliest holder of each of its runs, the two are aligned by patience diff, and
+the blocks that align go from the later one.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -66,12 +66,9 @@ def smallest_blocks(words: list[int], block_words: int) -> list[tuple[int, int]]
     return sorted(found)
 
 
-def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
-    """`doc_id, text_hash, first, last, start, end, h1, h2` of every smallest block.
-
-    `first` and `last` count lines with a word, `start` and `end` all lines, ends exclusive; the hashes name the block's lines and
-    how often it came before in the text, so that the k-th occurrence on one side meets the k-th on the other.
-    """
+def _lines(docs: DataFrame) -> DataFrame:
+    """`doc_id, text_hash, names, words, places` of every text: digests of its lines with a word, how many words they have,
+    and which lines of all they are, packed."""
     source = named(docs, doc_id="doc_id", text="text").where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
@@ -81,8 +78,8 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for from_row, to_row in by_volume(texts):
-                row, first, last, start, end, names = [], [], [], [], [], []
-                for i, text in enumerate(texts.slice(from_row, to_row - from_row).to_pylist(), from_row):
+                out = []
+                for text in texts.slice(from_row, to_row - from_row).to_pylist():
                     place, words, lines = [], [], []
                     for at, raw in enumerate(text.encode().split(b"\n")):
                         said = raw.strip()
@@ -90,25 +87,45 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
                             place.append(at)
                             words.append(line_words(said))
                             lines.append(xxh3_128_digest(said))
-                    seen: dict[bytes, int] = defaultdict(int)
-                    for a, b in smallest_blocks(words, block_words):
-                        name = xxh3_128_digest(b"".join(lines[a:b])) if b - a > 1 else lines[a]
-                        k = seen[name]
-                        seen[name] += 1
-                        names.append(name if not k else xxh3_128_digest(name + k.to_bytes(8, "little")))
-                        row.append(i)
-                        first.append(a)
-                        last.append(b)
-                        start.append(place[a])
-                        end.append(place[b - 1] + 1)
-                pair = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-                of_row = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(of_row), batch.column("text_hash").take(of_row),
-                    *[pa.array(x, pa.int32()) for x in (first, last, start, end)], pa.array(pair[:, 0]), pa.array(pair[:, 1]),
-                ], ["doc_id", "text_hash", "first", "last", "start", "end", "h1", "h2"])
-
-    return source.mapInArrow(run, f"doc_id {id_type}, text_hash long, first int, last int, start int, end int, h1 long, h2 long")
+                    out.append((b"".join(lines), np.array(words, "<u4").tobytes(), np.array(place, "<u4").tobytes()))
+                part = batch.slice(from_row, to_row - from_row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), *[pa.array(x, pa.binary()) for x in zip(*out)]],
+                    ["doc_id", "text_hash", "names", "words", "places"])
+
+    return source.mapInArrow(run, f"doc_id {id_type}, text_hash long, names binary, words binary, places binary")
+
+
+def _unpacked(names: bytes, words: bytes) -> tuple[list[bytes], list[int]]:
+    return [names[i:i + 16] for i in range(0, len(names), 16)], np.frombuffer(words, "<u4").tolist()
+
+
+def _marks(names: list[bytes], words: list[int], block_words: int) -> Iterator[tuple[bytes, int, int]]:
+    """The digest of each smallest block, its first line and its end."""
+    from xxhash import xxh3_128_digest
+
+    for a, b in smallest_blocks(words, block_words):
+        yield names[a] if b - a == 1 else xxh3_128_digest(b"".join(names[a:b])), a, b
+
+
+def _marked(lines: DataFrame, block_words: int) -> DataFrame:
+    """`doc_id, text_hash, h1, h2`: the distinct marks of every text."""
+    id_type = lines.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for i, (names, words) in enumerate(zip(batch.column("names").to_pylist(), batch.column("words").to_pylist())):
+                own = {m for m, _, _ in _marks(*_unpacked(names, words), block_words)}
+                row += [i] * len(own)
+                found += own
+            pair = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
+                ["doc_id", "text_hash", "h1", "h2"])
+
+    return lines.mapInArrow(run, f"doc_id {id_type}, text_hash long, h1 long, h2 long")
 
 
 def _increasing(positions: list[int]) -> list[int]:
@@ -132,24 +149,36 @@ def _increasing(positions: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned_lines(shared: list[tuple[int, int, int]], block_words: int) -> set[int]:
-    """Lines of the later document that align, from (line, line of the earlier document, words), in order of lines.
+def aligned_blocks(mine: list[bytes], marks: list[tuple[bytes, int, int]], theirs: list[bytes], held: dict[bytes, int]) -> list[tuple[int, int]]:
+    """Runs of lines (end exclusive) of the later document that align with the earlier one, `theirs`.
 
-    What the alignment leaves over may have been moved: runs that follow each other on both sides align on their own.
+    Patience diff: the marks that both have, the later one's in order with where the earlier one has them first (`held`),
+    are thinned to a longest run that is in order on both sides, and each that is left grows as far as lines are equal.
+    Marks that no aligned block took along were moved or repeated, and grow from where they are.
     """
-    kept = set(_increasing([s[1] for s in shared]))
-    found = {shared[i][0] for i in kept}
-    rest = [s for i, s in enumerate(shared) if i not in kept]
-    for _, run in groupby(enumerate(rest), key=lambda x: (x[1][0] - x[0], x[1][1] - x[0])):
-        lines = [s for _, s in run]
-        if sum(s[2] for s in lines) >= block_words:
-            found.update(s[0] for s in lines)
-    return found
+    shared = [(a, b, held[m]) for m, a, b in marks if m in held]
+    chain = _increasing([at for _, _, at in shared])
+    taken = set(chain)
+    out: list[tuple[int, int]] = []
+    for group in (chain, [i for i in range(len(shared)) if i not in taken]):
+        reached = -1, 0  # the diagonal of the last block and its end
+        for i in group:
+            a, b, at = shared[i]
+            if reached[0] == a - at and b <= reached[1]:
+                continue
+            first, last, shift = a, b, at - a
+            while first > 0 and first + shift > 0 and mine[first - 1] == theirs[first - 1 + shift]:
+                first -= 1
+            while last < len(mine) and last + shift < len(theirs) and mine[last] == theirs[last + shift]:
+                last += 1
+            out.append((first, last))
+            reached = a - at, last
+    return out
 
 
 def deleted_ranges(blocks: Iterable[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int]], int]:
     """Ranges of all lines (end exclusive) that go from a document, and how many lines with a word are in them, from the
-    `first, last, start, end` of its blocks that earlier documents hold.  Blocks that overlap or touch are one range."""
+    `first, last, start, end` of its aligned blocks.  Blocks that overlap or touch are one range."""
     out: list[tuple[int, int]] = []
     removed = reached = 0
     for first, last, start, end in sorted(set(blocks)):
@@ -163,24 +192,70 @@ def deleted_ranges(blocks: Iterable[tuple[int, int, int, int]]) -> tuple[list[tu
     return out, removed
 
 
-def common_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`doc_id, text_hash, ranges, removed` of documents that lose lines: ranges of lines, end exclusive, and how many lines
-    with a word are in them.
+def pairs(lines: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """`doc_id, text_hash, holder, holder_hash`: documents that share a mark, each with the earliest holder of that mark.
 
-    Documents are in order of `doc_id`, null last, then of a hash of the text.  All blocks count, however many documents
-    share one: a block costs each later document one row, and never a row for each pair of its holders.
+    A mark costs each later holder one row, however many there are, and never a row for each pair of holders; all marks
+    count, so frequent ones need no other way.
     """
-    blocks = cut(_blocks(docs, block_words))
+    marks = cut(_marked(lines, block_words))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    firsts = cut(blocks.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(
+    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(
         (F.col("first.none") != F.col("last.none")) | ~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))
         | (F.col("first.text_hash") != F.col("last.text_hash"))).select(
         F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("first.doc_id").alias("holder"), F.col("first.text_hash").alias("holder_hash")))
-    # Both sides are plain frames, so that adaptive execution can split a block of very many documents.
-    shared = blocks.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(
+    # Both sides are plain frames, so that adaptive execution can split a mark of very many documents.
+    return marks.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(
         ~(F.col("holder").eqNullSafe(F.col("doc_id")) & (F.col("holder_hash") == F.col("text_hash")))).select(
-        "doc_id", "text_hash", "first", "last", "start", "end")
-    id_type = blocks.schema["doc_id"].dataType.simpleString()
+        "doc_id", "text_hash", "holder", "holder_hash").distinct()
+
+
+def common_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """`doc_id, text_hash, ranges, removed` of documents that lose lines: ranges of lines, end exclusive, and how many lines
+    with a word are in them.
+
+    Documents are in order of `doc_id`, null last, then of a hash of the text.  A pair costs the digests of both documents'
+    lines, 16 bytes a line, where it is aligned.
+    """
+    lines = cut(_lines(docs))
+    found = cut(pairs(lines, block_words))
+    asked = found.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).unionByName(
+        found.select(F.col("holder").alias("i"), F.col("holder_hash").alias("t"))).distinct()
+    # Rows that repeat id and text are one document.
+    few = cut(lines.join(asked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")), "left_semi").dropDuplicates(
+        ["doc_id", "text_hash"]))
+    id_type = lines.schema["doc_id"].dataType.simpleString()
+    mine = few.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "names", "words", "places")
+    theirs = few.select(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash"), F.col("names").alias("their_names"),
+                        F.col("words").alias("their_words"))
+    met = found.join(mine, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).drop("own_id", "own_hash")
+    # Pairs of one holder come one after the other, but for where adaptive execution parts them.
+    met = met.join(theirs, F.col("holder").eqNullSafe(F.col("their_id")) & (F.col("holder_hash") == F.col("their_hash"))).select(
+        "doc_id", "text_hash", "names", "words", "places", "their_names", "their_words")
+
+    def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, theirs, held = None, [], {}
+        for batch in batches:
+            row, found = [], []
+            for i in range(len(batch)):
+                names, words, places, their_names, their_words = (batch.column(c)[i].as_py() for c in range(2, 7))
+                if their_names != last:
+                    last, held = their_names, {}
+                    theirs, their_sizes = _unpacked(their_names, their_words)
+                    for m, a, _ in _marks(theirs, their_sizes, block_words):
+                        held.setdefault(m, a)
+                own, sizes = _unpacked(names, words)
+                place = np.frombuffer(places, "<u4")
+                for a, b in aligned_blocks(own, list(_marks(own, sizes, block_words)), theirs, held):
+                    row.append(i)
+                    found.append((a, b, int(place[a]), int(place[b - 1]) + 1))
+            at = pa.array(row, pa.int64())
+            cols = list(zip(*found)) if found else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *[pa.array(x, pa.int32()) for x in cols]],
+                ["doc_id", "text_hash", "first", "last", "start", "end"])
+
+    shared = met.mapInArrow(align, f"doc_id {id_type}, text_hash long, first int, last int, start int, end int")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -217,7 +292,7 @@ def without_repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> D
     nothing else does.  Null and empty texts stay as they are.  Rows that repeat both id and text are one document and
     change alike; another text under the same or a null id is another document.  A line goes only with a block of
     `block_words` words that one earlier document holds as it stands, its lines next to each other but for lines without
-    a word; all else stays, however often it comes.
+    a word, and with every such block, however often it repeats it; all else stays, however often it comes.
     """
     docs = docs.drop("removed_lines")
     own = [free_name(docs, c) for c in ("block_id", "block_hash", "block_ranges", "block_removed")]

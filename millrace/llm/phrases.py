@@ -25,7 +25,7 @@ LEAST = 10
 COVER = 50
 MOST = 2000
 #: Bytes of texts that a task counts at once.
-VOLUME = 6 << 20
+VOLUME = 2 << 20
 #: Buckets of edges a shuffle partition; a task unpacks one after the other.
 SHARES = 4
 #: Kinds of bytes: part of a word, gap, end of a piece.

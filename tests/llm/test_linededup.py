@@ -7,45 +7,25 @@ from pyspark.sql import functions as F
 from millrace.llm import linededup as ld
 
 
-def plain(rows, block_words):
-    """The same by nested loops: for each document, all its lines against the earliest document that holds them."""
-    order = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None})
-    first, out = {}, {}
-    for key in order:
-        seen, shared, size = {}, {}, {}
-        n = 0
-        for raw in key[2].split("\n"):
-            said = raw.strip()
-            if not said:
-                continue
-            seen[said] = seen.get(said, 0) + 1
-            name = (said, seen[said])
-            owner, at = first.setdefault(name, (key, n))
-            if owner != key:
-                shared.setdefault(owner, []).append((n, at, said.count(" ") + 1))
-            size[n] = said.count(" ") + 1
-            n += 1
-        gone = set()
-        for lines in shared.values():
-            gone |= ld.aligned_lines(lines, block_words)
-        drop = set()
-        run = []
-        for i in [*sorted(gone), None]:
-            if run and i != run[-1] + 1:
-                if sum(size[j] for j in run) >= block_words:
-                    drop.update(run)
-                run = []
-            run.append(i)
-        out[key] = [x for x in range(n) if x not in drop]
-    return out
+def common_lines(text, earlier, block_words):
+    """Lines of a text in a block of enough words that one earlier text has too, by comparing all runs of lines."""
+    mine, gone = [x.strip() for x in text.split("\n") if x.strip()], set()
+    for other in earlier:
+        theirs = [x.strip() for x in other.split("\n") if x.strip()]
+        for a in range(len(mine)):
+            for at in range(len(theirs)):
+                n = 0
+                while a + n < len(mine) and at + n < len(theirs) and mine[a + n] == theirs[at + n]:
+                    n += 1
+                if sum(len(x.split()) for x in mine[a:a + n]) >= block_words:
+                    gone.update(range(a, a + n))
+    return [x for i, x in enumerate(mine) if i not in gone]
 
 
 def kept_texts(rows, block_words):
-    found = {}
-    for key, keep in plain(rows, block_words).items():
-        lines = [x.strip() for x in key[2].split("\n") if x.strip()]
-        found[(None if key[0] else key[1], key[2])] = [lines[i] for i in keep]
-    return found
+    """The lines that stay of each document, by all runs of lines of all earlier documents."""
+    order = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda k: (*k[:2], k[2]))
+    return {(None if none else i, t): common_lines(t, [x[2] for x in order[:k]], block_words) for k, (none, i, t) in enumerate(order)}
 
 
 def run(spark, rows, block_words=20):
@@ -101,26 +81,28 @@ def test_hot_line_and_empty_frame(spark):
     assert run(spark, [])[1].count() == 0
 
 
+def test_alignment():
+    names = {c: c.encode().rjust(16, b"0") for c in "abcdefgx"}
+
+    def align(mine, theirs, size=20):
+        own, other = [names[c] for c in mine], [names[c] for c in theirs]
+        held = {}
+        for m, a, _ in ld._marks(other, [size] * len(other), 20):
+            held.setdefault(m, a)
+        return sorted(ld.aligned_blocks(own, list(ld._marks(own, [size] * len(own), 20)), other, held))
+
+    assert align("abxcd", "abcd") == [(0, 2), (3, 5)]
+    assert align("cdab", "abcd") == [(0, 2), (2, 4)]  # one of the two was moved
+    assert align("aab", "ab") == [(0, 1), (1, 3)]  # the second one leads on
+    assert align("xfg", "abc") == [] and align("", "a") == []
+    assert align("abxcd", "abcd", 7) == [] and align("abcxd", "gabcd", 7) == [(0, 3)]
+
+
 def test_increasing_run():
     assert ld._increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
     assert ld._increasing([]) == []
 
 
-def common_lines(text, earlier, block_words):
-    """Lines of a text in a block of enough words that one earlier text has too, by comparing all runs of lines."""
-    mine, gone = [x.strip() for x in text.split("\n") if x.strip()], set()
-    for other in earlier:
-        theirs = [x.strip() for x in other.split("\n") if x.strip()]
-        for a in range(len(mine)):
-            for at in range(len(theirs)):
-                n = 0
-                while a + n < len(mine) and at + n < len(theirs) and mine[a + n] == theirs[at + n]:
-                    n += 1
-                if sum(len(x.split()) for x in mine[a:a + n]) >= block_words:
-                    gone.update(range(a, a + n))
-    return [x for i, x in enumerate(mine) if i not in gone]
-
-
 def test_blocks_are_those_of_one_earlier_document(spark):
     rng = random.Random(4)
     shared = [prose(rng, rng.choice([1, 4, 8, 12, 25])) for _ in range(60)]
