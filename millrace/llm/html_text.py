@@ -1,20 +1,24 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides a block by its link density, its length and its
-share of stop words (in other languages, by ends of sentences), within what its tags say of it; blocks too short to decide are left open.  The second pass gives
-these the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags.  Tags and class names reject what is menu, advert and the like; they never
+accept.  The first pass decides every other block by its length, its link density and its share of stop words (in other
+languages, by ends of sentences) and leaves open what these can't tell.  The second pass gives open blocks the label of the
+nearest decided neighbour; where a page has an article element, within that.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm.chunks import by_volume
 from millrace.llm.common import named
 
 # Fixed values.
@@ -32,8 +36,6 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Tags of text proper, which may be a link as a whole.
-_PROSE = _HEADINGS | frozenset("p blockquote pre td figcaption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark other than the article.
 _HINT = re.compile(
@@ -43,6 +45,11 @@ _HINT = re.compile(
     r"copyright|legal|disclaimer|skip|navigation|complementary|contentinfo|alertdialog)(?=$|[\s_-])", re.I)
 #: Those that an article of its own may have and not be the page's article.
 _OTHER = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|response|related|recommend\w*|promo\w*|sponsor\w*|ads?|advert\w*|teaser)(?=$|[\s_-])", re.I)
+#: Whole classes and roles within an article that are other than the article.
+_WITHIN = re.compile(
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscri\w*|nav\w*|"
+    r"menu\w*|breadcrumbs?|sidebar\w*|footer|comments?|disqus|replies|reply|respond|related|recommend\w*|share|sharing|widget|"
+    r"pagination|pager|toolbar|complementary|contentinfo|alertdialog)", re.I)
 #: Those of a container that holds the article where no tag says so.
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:content|main|article|post|entry|story|body)(?=$|[\s_-])", re.I)
 #: Parts of a name that say nothing by themselves.
@@ -58,7 +65,9 @@ STOP_WORDS = frozenset(
     "sind so über um und von war wie wird zu al como con del el era está la las lo los más mi muy no o para pero por quien ser "
     "si sin su sus también todo y ya".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: What ends a tag or begins a value within one.
+_END = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Tags of what need not be sentences: code, tables and lists.
 _LISTED = frozenset("pre td th li dd".split())
@@ -69,6 +78,8 @@ _DENSE = re.compile("[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_TITLE_END = re.compile(r"</title(?=[\s/>])[^>]*>", re.I)
 _OPENERS = (*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?", "")
 
 #: Below this many characters the first pass leaves a block open.
@@ -77,33 +88,104 @@ MOST_LINKS = 0.33
 LEAST_STOP_WORDS = 0.10
 
 
+#: Links from which a block may be a menu.
+MENU_LINKS = 3
+
+
 class Block(NamedTuple):
     text: str
     linked: int
+    links: int
     level: int  # 2 within an article or main element, 1 within what is named as content, else 0
     rejected: bool
     tag: str
 
 
-def _ends(tag: str, page: str) -> dict[int, int]:
+class Token(NamedTuple):
+    start: int
+    end: int
+    closing: bool
+    tag: str  # empty for comments and declarations
+    attrs: str
+
+
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Where each sign stands that ends a tag or begins a quoted value, and where a tag ends that reaches it (-1: nowhere).
+
+    A value without a closing quote is no quoted value.  Worked out from the back, so that broken markup is never read twice.
+    """
+    signs = [(m.start(), m.end(), m.group(1)) for m in _END.finditer(page)]
+    starts = [x[0] for x in signs]
+    quotes = {q: [m.start() for m in re.finditer(q, page)] for q in "\"'"}
+    ends = [-1] * (len(signs) + 1)
+    for i in range(len(signs) - 1, -1, -1):
+        _, after, quote = signs[i]
+        if quote is None:
+            ends[i] = after
+            continue
+        places = quotes[quote]
+        at = bisect_left(places, after)
+        ends[i] = ends[bisect_left(starts, places[at] + 1)] if at < len(places) else ends[i + 1]
+    return starts, ends
+
+
+def tokens(page: str) -> list[Token]:
+    """Tags, comments and declarations of a page in order, those within scripts and styles left out; in linear time."""
+    out: list[Token] = []
+    starts, ends = _tag_ends(page)
+    unclosed: set[str] = set()
+    at = 0
+    while (m := _OPEN.search(page, at)):
+        at = m.end()
+        if m.group(1):
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+            out.append(Token(m.start(), at, False, "", ""))
+            continue
+        if m.group(2):
+            end = page.find(">", m.end())
+            if end >= 0:
+                at = end + 1
+                out.append(Token(m.start(), at, False, "", ""))
+                continue
+            break  # nothing ends any more
+        end = ends[bisect_left(starts, m.end())]
+        if end < 0:
+            # All signs from here on stand in quoted values: the first one ends the tag all the same.
+            end = page.find(">", m.end()) + 1
+            if not end:
+                break
+        at = end
+        tag, attrs = m.group(4).lower(), page[m.end():end - 1]
+        out.append(Token(m.start(), end, bool(m.group(3)), tag, attrs))
+        if tag in _RAW and not m.group(3) and not attrs.endswith("/") and tag not in unclosed:
+            done = _RAW_END[tag].search(page, at)
+            if done:
+                at = done.start()
+            else:
+                unclosed.add(tag)
+                at = len(page)
+    return out
+
+
+def _ends(tag: str, found: list[Token]) -> dict[int, int]:
     """Where the content of skipped elements ends, by where it starts; elements that are never closed are not listed.
 
     One that can't hold its own kind and meets it before an end tag was not closed.
     """
-    found: dict[int, int] = {}
+    out: dict[int, int] = {}
     opened: list[int] = []
-    parts = rf"<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>])[^>]*>.*?(?:</(?:script|style)|\Z)|<(/?){tag}(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    for m in re.finditer(parts, page, re.S | re.I):
-        if m.group(1) is None:
+    for t in found:
+        if t.tag != tag:
             continue
-        if m.group(1):
+        if t.closing:
             if opened:
-                found[opened.pop()] = m.end()
-        elif not m.group(2).endswith("/"):
+                out[opened.pop()] = t.end
+        elif not t.attrs.endswith("/"):
             if tag not in _NESTED:
                 opened.clear()
-            opened.append(m.end())
-    return found
+            opened.append(t.end)
+    return out
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -140,33 +222,34 @@ def blocks(page: str) -> list[Block]:
         page = page[:last]  # a tag that the page breaks off in
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # tag, level, rejected
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = at = 0
-    in_head = False
+    linked = links = seen = at = 0
+    in_head, untitled = False, False
     ends: dict[str, dict[int, int]] = {}
+    found = tokens(page)
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, seen
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             tag, level, rejected = stack[-1] if stack else ("", 0, False)
-            out.append(Block(text, linked, level, rejected, tag))
+            out.append(Block(text, linked, seen, level, rejected, tag))
         parts.clear()
-        linked = 0
+        linked = seen = 0
 
-    while at < len(page):
-        found = _TAG.search(page, at)
-        raw = page[at:found.start() if found else len(page)]
+    for token in [*found, Token(len(page), len(page), False, "", "")]:
+        if token.start < at:
+            continue  # within what was skipped
+        raw = page[at:token.start]
         if raw and in_head and not raw.isspace():
             in_head = False
         if raw and not in_head:
             parts.append(raw)
             if links:
                 linked += len(raw.strip())
-        if not found:
-            break
-        at = found.end()
-        closing, tag, attrs = found.group(1), (found.group(2) or "").lower(), found.group(3) or ""
+        at = token.end
+        closing, tag, attrs = token.closing, token.tag, token.attrs
         if not tag:
             continue
         if tag == "head":
@@ -177,25 +260,30 @@ def blocks(page: str) -> list[Block]:
             in_head = False  # a tag of the body ends a head that is not closed
         if tag == "title":
             close()
-            if not closing:
-                done = re.compile(r"</title(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = done.end() if done else max(page.find("<", at), at)
+            if not closing and not untitled:
+                done = _TITLE_END.search(page, at)
+                untitled = done is None
+                at = done.end() if done else at
+            if not closing and untitled:
+                at = max(page.find("<", at), at)
             continue
         if tag in _RAW and not closing and not attrs.endswith("/"):
             parts.append(" ")
-            done = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = done.end() if done else len(page)
+            if tag not in ends:
+                ends[tag] = _ends(tag, found)
+            at = ends[tag].get(at, len(page))
             continue
         if tag in _SKIPPED and not closing and not attrs.endswith("/"):
             if tag in ("svg", "select", "button", "noscript", "template"):
                 close()
             parts.append(" ")
             if tag not in ends:
-                ends[tag] = _ends(tag, page)
+                ends[tag] = _ends(tag, found)
             at = ends[tag].get(at, at)
             continue
         if tag == "a":
             links = 0 if closing else 1
+            seen += links
         if tag == "br":
             parts.append(" ")
         if tag not in _BLOCK:
@@ -204,15 +292,18 @@ def blocks(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if open_tags[tag]:
+                while True:
+                    gone = stack.pop()[0]
+                    open_tags[gone] -= 1
+                    if gone == tag:
+                        break
             links = 0
             continue
         if (tag == "p" or tag in _HEADINGS) and stack and stack[-1][0] == "p":
-            stack.pop()  # an open paragraph ends here
+            open_tags[stack.pop()[0]] -= 1  # an open paragraph ends here
         if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
-            stack.pop()
+            open_tags[stack.pop()[0]] -= 1
         _, level, rejected = stack[-1] if stack else ("", 0, False)
         said = _attributes(attrs) if attrs else {}
         roles, classes, ids = said.get("role", ""), said.get("class", ""), said.get("id", "")
@@ -225,13 +316,14 @@ def blocks(page: str) -> list[Block]:
         elif level == 2:
             # The header and the headings of an article are part of it, whatever they are called.
             own = " ".join(c for c in f"{classes} {roles}".split() if not re.fullmatch(r"(?:.*[_-])?header", c, re.I))
-            named = (tag in _BOILERPLATE and tag != "header") or _whole(_HINT, own) or (tag not in _HEADINGS and _whole(_OTHER_ID, ids))
+            named = (tag in _BOILERPLATE and tag != "header") or _whole(_WITHIN, own) or (tag not in _HEADINGS and _whole(_OTHER_ID, ids))
         else:
             named = tag in _BOILERPLATE or bool(_HINT.search(hints))
             if not level and _CONTENT.search(hints):
                 level = 1
         rejected = rejected or named or _is_hidden(said)
         stack.append((tag, level, rejected))
+        open_tags[tag] += 1
     close()
     return out
 
@@ -253,56 +345,69 @@ def _known_language(found: list[Block]) -> bool:
 
 
 def _first_pass(block: Block, level: int, known: bool) -> bool | None:
-    """True or False if the block decides itself, None if it is too short to tell; `known` if stop words can tell."""
+    """True or False if the block decides itself, None if it can't tell; `known` if stop words can.
+
+    Links: a block that is links for the most part is a menu, but within an article only one of several links that says
+    nothing in sentences.  Length: short blocks can't tell.  Density: long ones need stop words, or where these are of
+    another language an end of a sentence; those without are none of the text, but within an article they can't tell.
+    """
     if block.rejected or block.level < level:
         return False
-    prose = block.tag in _PROSE
-    if block.linked > MOST_LINKS * len(block.text) and not (level and prose):
-        return False if len(block.text) < SHORT or not level else None
-    if level:
-        return True if len(block.text) >= SHORT else None
-    if _size(block.text) < SHORT:
+    long = _size(block.text) >= SHORT
+    stop, words = _stop_words(block.text) if long and known else (0, 0)
+    dense = bool(words) and stop >= LEAST_STOP_WORDS * words if known else _SENTENCE.search(block.text) is not None
+    if block.linked > MOST_LINKS * len(block.text):
+        if not level:
+            return False
+        return False if long and block.links >= MENU_LINKS and not dense else None
+    if not long:
         return None
-    if block.tag == "pre" or (not known and block.tag in _LISTED):
-        return True
-    if not known:
-        return _SENTENCE.search(block.text) is not None
-    stop, words = _stop_words(block.text)
-    if words and stop >= LEAST_STOP_WORDS * words:
+    if dense or (not level and (block.tag == "pre" or (not known and block.tag in _LISTED))):
         return True
-    return None if block.tag in _LISTED else False
+    return None if level or (known and block.tag in _LISTED) else False
+
+
+def _inherited(found: list[Block], first: list[bool | None], told: list[bool], inside: bool) -> list[bool]:
+    """The second pass: labels of all blocks, open ones from the nearest block that is decided and may tell (`told`).
+
+    A heading goes with what it stands above.  Between two that differ and are equally near, and with nobody to ask, a
+    block is text within an article and none elsewhere.
+    """
+    n = len(found)
+    before, after = [-1] * n, [-1] * n
+    for places, order, step in ((before, range(n), -1), (after, range(n - 1, -1, -1), 1)):
+        for i in order:
+            j = i + step
+            if 0 <= j < n:
+                places[i] = j if first[j] is not None and told[j] else places[j]
+    out = []
+    for i, label in enumerate(first):
+        if label is None:
+            x, y = before[i], after[i]
+            if y >= 0 and found[i].tag in _HEADINGS:
+                label = first[y]
+            elif x < 0 and y < 0:
+                label = inside
+            elif x < 0 or y < 0:
+                label = first[max(x, y)]
+            elif first[x] == first[y]:
+                label = first[x]
+            else:
+                label = inside if i - x == y - i else first[x if i - x < y - i else y]
+        out.append(bool(label))
+    return out
 
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, two line feeds between them; empty if there are none."""
     found = blocks(page)
     level = max((b.level for b in found if not b.rejected), default=0)
-    in_article = level > 0
-    known = not in_article and _known_language(found)
+    known = _known_language([b for b in found if b.level >= level])
     first = [_first_pass(b, level, known) for b in found]
-    before: list[bool | None] = []
-    last: bool | None = None
-    for b, decided in zip(found, first):
-        # Rejected blocks say nothing of the text of an article around them.
-        last = decided if decided is not None and not (in_article and b.rejected) else last
-        before.append(last)
-    kept: list[str] = []
-    after: bool | None = None
-    default = in_article  # nothing decided on either side
-    for i in range(len(found) - 1, -1, -1):
-        if first[i] is not None and not (in_article and found[i].rejected):
-            after = first[i]
-        label = first[i]
-        if label is None:
-            sides = {before[i], after} - {None}
-            label = sides.pop() if len(sides) == 1 else default if not sides else in_article
-            if found[i].tag in _HEADINGS and after is not None:
-                label = after  # a heading goes with what it stands above
-            if in_article and (found[i].tag in _PROSE or found[i].linked <= MOST_LINKS * len(found[i].text)):
-                label = True  # the tags decide what length can't
-        if label:
-            kept.append(found[i].text)
-    return "\n\n".join(reversed(kept))
+    # What is rejected, or outside, says nothing of the text of an article around or beside it.
+    told = [not level or not (b.rejected or b.level < level) for b in found]
+    kept = _inherited(found, first, told, level > 0)
+    return "\n\n".join(b.text for b, label in zip(found, kept) if label)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
@@ -317,7 +422,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", conten
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p) if p else "" for p in batch.column("content").to_pylist()]
+            content, texts = batch.column("content"), []
+            for a, b in by_volume(content):
+                texts += [main_text(p) if p else "" for p in content.slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

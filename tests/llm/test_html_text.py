@@ -22,7 +22,7 @@ def page(body):
     ("", ""), ("<p>", ""), ("<<<>>&amp", ""), ("just text", ""),
     (f"<main><div class='newsletter'>{LONG}</div><ul><li>{LONG}</li><li>{LONG}</li></ul></main>", f"{LONG}\n\n{LONG}"),
     (f"<div class='page with-sidebar'><article><div class='entry-header'><h1>Own</h1></div><p>{LONG}</p><p><a href='/'>a link</a></p>"
-     f"<ul><li><a href='/t'>tag</a></li></ul></article><article class='comment'><p>{LONG}</p></article></div>", f"Own\n\n{LONG}\n\na link"),
+     f"<ul><li><a href='/t'>tag</a></li></ul></article><article class='comment'><p>{LONG}</p></article></div>", f"Own\n\n{LONG}\n\na link\n\ntag"),
     ("<div class='menu'>x</div><div id='content'><p>Rhubarb zorgle blent.</p><p>Quux.</p></div><p>All rights kept.</p>", "Rhubarb zorgle blent.\n\nQuux."),
     (f"<div hidden>{LONG}</div><article><p>{LONG}</p></article>", LONG),
 ])
@@ -101,3 +101,54 @@ CODE = "int x = 0; while (x < 10) { x += step(x); log(x); } return finish(x, LIM
 ])
 def test_pages_without_containers_in_any_language(body, want):
     assert h.main_text(page(body)) == want
+
+
+@pytest.mark.parametrize("inside", [
+    "<ul><li><a href='/s'>Smith 2019</a></li><li><a href='/t'>Tuor 2020</a></li></ul>", "<dl><dt>Word</dt><dd><a href='/m'>Meaning</a></dd></dl>",
+    "<div><a href='/d'>Full data set</a></div>", "<section class='social'>Of social matters</section>", "<p class='legal'>The law</p>",
+])
+def test_links_and_names_of_an_article_stay(inside):
+    import re
+
+    said = [x for x in re.split(r"<[^>]*>", inside) if x]
+    assert h.main_text(page(f"<article><p>{LONG}</p>{inside}<p>{LONG}</p></article>")) == "\n\n".join([LONG, *said, LONG])
+
+
+MENU = "<div>" + " ".join(f"<a href='/{i}'>Topik {i} zarn</a>" for i in range(9)) + "</div>"
+PLAIN = "Xylo brint quop marn " * 6
+
+
+@pytest.mark.parametrize("rule,off,content", [
+    ("STOP_WORDS", frozenset(), f"<p>{LONG[:-1]}</p><div>{PLAIN}</div>"),
+    ("LEAST_STOP_WORDS", 0.0, f"<p>{LONG}</p><div>{PLAIN}</div>"),
+    ("MOST_LINKS", 1.0, f"<p>{LONG}</p><p>{LONG}</p>{MENU.replace('Topik', 'The topic of the')}"),
+    ("MOST_LINKS", 1.0, f"<article><p>{LONG}</p>{MENU.replace('Topik', 'This is.')}<h2>Menu</h2>{MENU}</article>"),
+    ("MENU_LINKS", 99, f"<article><p>{LONG}</p><h2>Menu</h2>{MENU}</article>"),
+    ("SHORT", 10, f"<p>{LONG}</p><p>Xylo brint quop.</p><p>{LONG}</p>"),
+])
+def test_each_rule_decides(monkeypatch, rule, off, content):
+    before = h.main_text(page(content))
+    monkeypatch.setattr(h, rule, off)
+    assert h.main_text(page(content)) != before
+
+
+def test_open_blocks_take_the_nearest_label():
+    bad, gap = f"<div>{PLAIN}</div>", "<p>x</p>"
+    assert h.main_text(page(f"<p>{LONG}</p>{gap}{gap.replace('x', 'y')}{gap.replace('x', 'z')}{bad}")) == f"{LONG}\n\nx"
+    assert h.main_text(page(f"<article><p>{LONG}</p><h2>More</h2>{MENU}{gap}</article>")) == LONG
+
+
+@pytest.mark.parametrize("broken", [
+    "<a \"x " * 170_000, "<a t=\"x " * 130_000 + "> \"", "<div>" * 100_000 + "x</p>" * 100_000, "<title>x" * 100_000, "<svg><button>" * 50_000,
+    "<!-- <a> " * 100_000, "<script>" * 100_000, "<p '=\"<b ='" * 80_000, "<select \"" * 100_000,
+])
+def test_broken_pages_take_linear_time(broken):
+    import time
+
+    start = time.perf_counter()
+    h.main_text(f"<article><p>{LONG}</p>" + broken)
+    assert time.perf_counter() - start < 20
+
+
+def test_values_may_hold_signs_of_tags():
+    assert h.main_text(f"<article><p title=\"a > b <i>\" data-x='</p>'>{LONG}</p><p x=\"y>{LONG}</article>") == f"{LONG}\n\n{LONG}"
