@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.logs import contains_text, level_at_least, under_tag
-from millrace.plans.shapes import budget_prefix, same_key, top_per_key, under_keys
+from millrace.plans.shapes import budget_prefix, ordered_sums, same_key, top_per_key, under_keys
 
 ERROR_LEVELS = ("ERROR", "CRITICAL")
 ISSUE_LEVELS = ("ERROR", "WARNING", "CRITICAL")
@@ -109,28 +109,22 @@ def tags(df: DataFrame, limit: int | None = None) -> DataFrame:
     return _first(counted, [F.desc("entries"), F.col("tag").asc()], limit)
 
 
-def error_context(df: DataFrame, events: DataFrame, n: int = 50, bucket: str = "hour") -> DataFrame:
+def error_context(df: DataFrame, events: DataFrame, n: int = 50) -> DataFrame:
     """The newest ``n`` rows at or before the time of each event (event_id, log_ts), as rows with its ``event_id``.
 
-    Rows are numbered in order of time, in calendar buckets that are put one after the other by their sizes, and an
-    event asks for the ``n`` numbers up to its own.  So each event costs ``n`` rows, and no rows are paired by a range.
-    Rows and events without a time have no place and no context.
+    Times and ids alone are put in order, rows and events together, in ranges of equal count, so an hour of any size is
+    spread over tasks; each row then has its exact number and each event the number of the last row before it.  An event
+    asks for the ``n`` numbers up to its own, and whole rows join these by id and time, which name one row.  No rows are
+    paired by a range.  Rows and events without a time have no place and no context.
     """
-    rows = df.filter(F.col("log_ts").isNotNull()).select(
-        F.date_trunc(bucket, F.col("log_ts")).alias("_b"), F.col("log_ts").alias("_at"), F.lit(1).alias("_row"),
-        F.col("id").alias("_id"), F.struct(*df.columns).alias("_r"))
-    asked = events.filter(F.col("log_ts").isNotNull()).select(
-        F.date_trunc(bucket, F.col("log_ts")).alias("_b"), F.col("log_ts").alias("_at"), F.lit(0).alias("_row"), "event_id")
+    rows = df.filter(F.col("log_ts").isNotNull()).select(F.col("log_ts").alias("_at"), F.lit(1).alias("_row"), F.col("id").alias("_id"))
+    asked = events.filter(F.col("log_ts").isNotNull()).select(F.col("log_ts").alias("_at"), F.lit(0).alias("_row"), "event_id")
     both = rows.unionByName(asked, allowMissingColumns=True)
-    # One row for each bucket: the calendar bounds them.
-    sizes = both.groupBy("_b").agg(F.sum("_row").alias("_size"))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_b").orderBy("_at", F.col("_row").desc(), "_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("_n", F.sum("_row").over(inside)).join(offsets, "_b").withColumn("_n", F.col("_n") + F.col("_before"))
+    placed = ordered_sums(both, [], [F.col("_at").asc(), F.col("_row").desc(), F.col("_id").asc()], "_row", "_n")
     wanted = placed.filter("_row = 0 AND _n > 0").select(
         "event_id", F.explode(F.sequence(F.greatest(F.col("_n") - (n - 1), F.lit(1)), F.col("_n"))).alias("_n"))
-    return wanted.join(placed.filter("_row = 1").select("_n", "_r"), "_n").select("event_id", "_r.*")
+    found = wanted.join(placed.filter("_row = 1").select("_n", "_at", "_id"), "_n")
+    return found.join(df, F.col("_id").eqNullSafe(df["id"]) & (F.col("_at") == df["log_ts"])).select("event_id", *[df[c] for c in df.columns])
 
 
 def job_log(df: DataFrame, job_id=None) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,34 @@ def ordered_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], i
     return placed.join(starts, meets).withColumn(into, F.col("_before") + F.col("_at") - F.col("_first") + 1).select(*df.columns, into)
 
 
+def ordered_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str, into: str) -> DataFrame:
+    """All rows with the exact sum (long) of ``weight`` (0 or more, null is 0) up to and with each, within its key, in the
+    given order.  Dealt, written and offset as ``ordered_ranks`` does; the sum within a range runs through Arrow batches."""
+    keys = list(keys)
+    ensure_checkpoint_dir(df.sparkSession)
+    hashed = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    by = [*[F.col(k).asc() for k in keys], *order, F.xxhash64(*hashed).asc()]
+    dealt = df.withColumn("_weight", F.coalesce(F.col(weight).cast("long"), F.lit(0))).repartitionByRange(*by).sortWithinPartitions(*by)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            sums = np.cumsum(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)) + total
+            total = int(sums[-1]) if len(sums) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], [*batch.schema.names, "_run"])
+
+    placed = dealt.mapInArrow(run, f"{kinds}, _run long").withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = placed.groupBy(*keys, F.col("_range").alias("_part")).agg(
+        F.sum("_weight").alias("_n"), F.min(F.col("_run") - F.col("_weight")).alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    meets = F.col("_range") == F.col("_part")
+    for k in keys:
+        meets = meets & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(starts, meets).withColumn(into, F.col("_before") + F.col("_run") - F.col("_first")).select(*df.columns, into)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the given order."""
     return top_per_key(df, keys, order, 1)
@@ -162,8 +192,13 @@ def budget_prefix(
     tied = F.lit(True)
     for c, desc in order:
         here, there = F.col(c), F.col(f"_cut_{c}")
-        before = before | (tied & ((here > there) if desc else (here < there)))
-        tied = tied & (here == there)
+        # As the sort has it: nulls come first going up and last going down.
+        if desc:
+            earlier = here.isNotNull() & (there.isNull() | (here > there))
+        else:
+            earlier = there.isNotNull() & (here.isNull() | (here < there))
+        before = before | (tied & F.coalesce(earlier, F.lit(False)))
+        tied = tied & here.eqNullSafe(there)
     free_kept = (
         free.join(cut, same_key(keys), "left")
         .filter(F.col("_has_cut").isNull() | before)

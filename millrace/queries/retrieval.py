@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vectors import decode_vec, encode_vec
 from millrace.operators import retrieval as R
+from millrace.operators import textindex as X
 from millrace.operators.batches import batch_ids
 from millrace.queries.registry import query
 from millrace.session import ensure_checkpoint_dir
@@ -111,6 +112,31 @@ def kw_bm25_index(v):
     return R.bm25_index(_index(v), v("searches_v"), 10).withColumn("score", _short("score"))
 
 
+def _segments(v) -> str:
+    """An index in segments: the texts of one language were replaced, and others came, went and came again."""
+    articles = v("articles_v")
+    spark = articles.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
+    german, french = F.col("lang") == "de", F.col("lang") == "fr"
+    X.update(spark, root, articles.filter(~french).withColumn("summary", F.when(german, F.lit("old text")).otherwise(F.col("summary"))), TEXT)
+    X.update(spark, root, articles.filter(german | french), TEXT, articles.filter(F.col("lang") == "es").select("id"))
+    X.update(spark, root, articles.filter(F.col("lang") == "es"), TEXT)
+    return root
+
+
+@query("kw_bm25_pruned", SEARCH, f"WITH {bm25_sql(10).strip()} SELECT query_id, id, score, rank FROM kw")
+def kw_bm25_pruned(v):
+    queries = v("searches_v")
+    return X.search(queries.sparkSession, _segments(v), queries, 10).withColumn("score", _short("score"))
+
+
+@query("kw_bm25_merged", SEARCH, f"WITH {bm25_sql(10).strip()} SELECT query_id, id, score, rank FROM kw")
+def kw_bm25_merged(v):
+    queries, root = v("searches_v"), _segments(v)
+    X.merge(queries.sparkSession, root, 2)
+    return X.search(queries.sparkSession, root, queries, 10).withColumn("score", _short("score"))
+
+
 @query("rrf", SEARCH, f"WITH {knn_sql(15).strip()}, {bm25_sql(15).strip()}, {rrf_sql(None).strip()}")
 def rrf(v):
     near = R.knn(_docs(v), v("searches_v"), 15)

@@ -70,6 +70,19 @@ def test_stats_and_context(log_frame, spark):
     assert sorted((r.event_id, r.id) for r in got.collect()) == [(2, 1), (2, 2), (4, 2), (4, 3), (4, 4)]
 
 
+def test_context_in_one_hot_hour(spark):
+    from random import Random
+
+    rnd = Random(2)
+    moments = [datetime(2024, 5, 1, 12, 0, rnd.randrange(30)) for _ in range(3000)]
+    log = spark.createDataFrame([(i, t, f"said {i}") for i, t in enumerate(moments)], "id long, log_ts timestamp, message string").repartition(6)
+    asked = [(i, moments[i]) for i in range(0, 3000, 97)] + [(5000, datetime(2024, 5, 1, 12, 0, 40)), (5001, datetime(2024, 1, 1))]
+    got = logs.error_context(log, spark.createDataFrame(asked, "event_id long, log_ts timestamp"), 4)
+    assert got.columns == ["event_id", "id", "log_ts", "message"]
+    want = [(e, i) for e, at in asked for _, i in sorted((t, i) for i, t in enumerate(moments) if t <= at)[-4:]]
+    assert sorted((r.event_id, r.id) for r in got.collect()) == sorted(want)
+
+
 def test_limits_are_the_callers(spark):
     many = spark.range(6001).select(
         F.col("id"), F.lit("2024-01-01").cast("timestamp").alias("log_ts"), F.lit("ERROR").alias("level"), F.lit("A").alias("tag"),

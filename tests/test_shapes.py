@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.shapes import (
-    asof_join, budget_prefix, first_per_key, islands, sliding_count, small_side, top_per_key,
+    asof_join, budget_prefix, first_per_key, islands, ordered_ranks, ordered_sums, sliding_count, small_side, top_per_key,
 )
 
 
@@ -117,3 +117,31 @@ def test_small_side_hints_only_small_frames(spark):
 
     assert hinted(small_side(spark.range(5), 10))
     assert not hinted(small_side(spark.range(11), 10))
+
+
+def test_budget_prefix_keeps_rows_without_an_order(spark, rows):
+    df = spark.createDataFrame([(1, 1, 5), (1, 2, 0), (1, None, 0), (1, 3, 50), (1, 4, 0)], "k long, pos long, cost long")
+    assert rows(budget_prefix(df, ["k"], [("pos", False)], "cost", 20), "pos") == [(1,), (2,), (None,)]
+    assert rows(budget_prefix(df.filter("pos IS NULL OR pos <> 1"), ["k"], [("pos", True)], "cost", 20), "pos") == [(4,)]
+    late = spark.createDataFrame([(1, 4, 5), (1, None, 0), (1, None, 0), (1, 3, 1)], "k long, pos long, cost long")
+    assert rows(budget_prefix(late, ["k"], [("pos", True)], "cost", 20), "pos") == [(3,), (4,), (None,), (None,)]
+    # The cut itself has no order.
+    cut = spark.createDataFrame([(1, None, "b", 50), (1, None, "a", 0), (1, None, "c", 0), (1, 2, "a", 0)], "k long, pos long, t string, cost long")
+    assert rows(budget_prefix(cut, ["k"], [("pos", False), ("t", False)], "cost", 20), "pos", "t") == [(None, "a")]
+
+
+def test_ordered_ranks_and_sums(spark, rows):
+    rnd = random.Random(3)
+    data = [(None if k == "k3" else k, rnd.choice([None, 1, 2, 3]), i, rnd.choice([None, 0, 2, 5])) for k, i, _ in hot_rows(2000)]
+    df = spark.createDataFrame(data, "k string, pos long, id long, w long").repartition(7)
+    order = [F.col("pos").desc(), F.col("id").asc()]
+    ranks, sums = {}, {}
+    for key in {r[0] for r in data}:
+        total = 0
+        for n, r in enumerate(sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is None, -(r[1] or 0), r[2])), 1):
+            total += r[3] or 0
+            ranks[r[2]], sums[r[2]] = n, total
+    assert dict(rows(ordered_ranks(df, ["k"], order), "id", "rank")) == ranks
+    assert dict(rows(ordered_sums(df, ["k"], order, "w", "s"), "id", "s")) == sums
+    assert sorted(r[0] for r in rows(ordered_ranks(df, [], order, "n"), "n")) == list(range(1, 2001))
+    assert ordered_ranks(df.limit(0), ["k"], order).count() == 0 == ordered_sums(df.limit(0), [], order, "w", "s").count()
