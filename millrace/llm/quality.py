@@ -120,7 +120,7 @@ def grade(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     A null or empty text has no n-gram and gets the score of the bias alone.  Repeated rows are scored each.
     """
     source = named(docs, doc_id=doc_id, text=text)
-    shared = source.sparkSession.sparkContext.broadcast(model)
+    shared = source.sparkSession.sparkContext.broadcast(tuple(model))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     A null or empty text has no feature and gets the score of the bias alone.  Repeated rows are scored each.
     """
     docs = docs.drop(into)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text)
     names = [*docs.columns, into]

@@ -175,8 +175,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     repeated rows and empty frames are no special case.
 
     Every verdict has a cascade over the keys that the urls have for it.  Which keys a url has follows from the shapes of
-    rules (how many labels, how long a path), of which lists have few, however long they are.  Filters of a list take about
-    1.5 to 4 bytes a rule and grow with the logarithm of the corpus; more than `max_bytes` of them are sent one part after
+    rules (how many labels, how long a path), of which lists have few, however long they are.  Filters of a list take at
+    most about 8 bytes a rule and grow with the logarithm of the corpus; more than `max_bytes` of them are sent one part after
     the other, parts being dealt by a hash of the key, with the urls written in between.
     """
     spark = urls.sparkSession
