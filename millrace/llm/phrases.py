@@ -238,7 +238,8 @@ def _graph(source: DataFrame, seed: int, buckets: int, heavy_words: np.ndarray,
         if blocks:
             yield flows(blocks)
 
-    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, a long, b long, c long, n long")
+    # A task a bucket: what it unpacks at once is one bucket, however the shuffle sizes its tasks.
+    found = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "kind int, a long, b long, c long, n long")
     # Parts of heavy pairs and words are a few rows a bucket.
     return cut(found.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
