@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.vectors import vector_fault
 from millrace.plans.shapes import is_small, islands, top_per_key
+from millrace.session import ensure_checkpoint_dir
 
 # Ranking constants and search defaults.
 BM25_K1 = 1.2
@@ -24,7 +25,10 @@ KEYWORD_WEIGHT = 0.4
 OVERFETCH = 3
 DIGITS = 5  # of fused scores
 MAX_QUERIES = 1024
-MAX_QUERY_VALUES = 4_000_000
+#: Docs around which cells are made, and rows of a group of a search.
+PIVOTS = 256
+CELL_ROWS = 20_000
+MAX_QUERY_BYTES = 64 << 20
 
 # Words that mark a contents page, and dotted leaders with a page number.
 TOC_WORDS = ("contents", "index", "table of contents", "daftar isi")
@@ -73,14 +77,11 @@ def knn(docs: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", wher
         prefilter: bool = True, max_queries: int = MAX_QUERIES) -> DataFrame:
     """The ``k`` nearest of ``docs`` (id, vec) for each of ``queries`` (query_id, query_vec).
 
-    Every doc is compared with every query of its length, in Arrow batches; a batch
-    hands on only its own ``k`` best for each query, so little is shuffled, no doc is
-    copied and nothing is paired.  Queries travel with the tasks, in blocks of at most
-    ``max_queries`` rows and ``MAX_QUERY_VALUES`` numbers, so the number of passes
-    over the docs follows the number of queries.  Reading the queries is a job of its
-    own, which runs at once.  Ranks go by full distances.  Vectors that are null or
-    hold a value that is not a finite number take no part; ``validate_vectors`` tells
-    them apart, as well as those of another length.
+    Queries of at most ``max_queries`` rows and ``MAX_QUERY_BYTES``, both read first, travel with the tasks: every doc is
+    compared with every query of its length, in Arrow batches that hand on their own ``k`` best for each query.  More
+    queries are routed to metric partitions of the docs by a join (``metric_search``) and never pass through the driver.
+    Ranks go by full distances, ties by id.  Vectors that are null or hold a value that is not a finite number take no
+    part; ``validate_vectors`` tells them apart, as well as those of another length.
     ``where`` limits the docs before the search, or after it without ``prefilter``.
     """
     if metric not in ("l2", "cosine"):
@@ -98,9 +99,10 @@ def knn(docs: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", wher
         T.StructField("id", docs.schema["id"].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    near = docs.sparkSession.createDataFrame([], schema)
-    for block in _query_blocks(asked, max_queries):
-        near = near.unionByName(_knn_block(ready, block, k, metric, schema))
+    if is_small(asked, max_queries, MAX_QUERY_BYTES):
+        near = _knn_block(ready, [tuple(r) for r in asked.collect()], k, metric, schema)
+    else:
+        near = metric_search(ready, asked, k, metric, schema)
     order = [F.col("distance").asc(), F.col("id").asc()]
     best = top_per_key(near, ["query_id"], order, k, "rank")
     if where is not None and not prefilter:
@@ -109,18 +111,6 @@ def knn(docs: DataFrame, queries: DataFrame, k: int, *, metric: str = "l2", wher
     return best.withColumn("similarity", 1 - F.col("distance"))
 
 
-def _query_blocks(asked: DataFrame, max_queries: int) -> Iterator[list[tuple]]:
-    block, values = [], 0
-    for row in asked.toLocalIterator():
-        if block and (len(block) >= max_queries or values + len(row.query_vec) > MAX_QUERY_VALUES):
-            yield block
-            block, values = [], 0
-        block.append((row.query_id, row.query_vec))
-        values += len(row.query_vec)
-    if block:
-        yield block
-
-
 def _knn_block(docs: DataFrame, block: list[tuple], k: int, metric: str, schema: T.StructType) -> DataFrame:
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for size in {len(v) for _, v in block}:
@@ -144,6 +134,143 @@ def _knn_block(docs: DataFrame, block: list[tuple], k: int, metric: str, schema:
     return docs.mapInArrow(search, schema)
 
 
+def metric_search(docs: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.StructType, pivots: int = PIVOTS,
+                  cell_rows: int = CELL_ROWS, work: list | None = None) -> DataFrame:
+    """The ``k`` nearest docs of each query, and maybe more rows, from cells of docs around pivots.
+
+    A doc belongs to the nearest of at most ``pivots`` docs, drawn by a hash; a cell knows how many docs it has and how near
+    and far they are.  By the triangle inequality no doc of a cell is nearer to a query than the query's distance to the
+    pivot, less the cell's radius.  A query first goes to the cells, nearest pivot first, that hold ``k`` docs together; the
+    distance of the last of these is a bound for the rest, and it goes on to cells that may hold nearer ones.  Cells of
+    many docs, or of many queries, are cut by hashes, and each pairing of cuts is a group of its own of at most about
+    ``cell_rows`` docs and as many queries, which meet by a join.  What passes through the driver are pivots and cells.
+    For cosine the cells are those of unit vectors.  Docs of a length without a pivot, and zero vectors under cosine, have
+    cells that every query of their length visits.  ``work``, a list, gets the number of distances worked out and of all.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    drawn = docs.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    sizes: dict[int, list[np.ndarray]] = {}
+    for r in drawn:
+        v = _unit(np.asarray([r.vec], np.float64), metric)[0]
+        if metric == "l2" or v.any():
+            sizes.setdefault(len(v), []).append(v)
+    first, at = {}, 0
+    for size, held in sizes.items():
+        first[size] = (at, np.unique(np.array(held).reshape(len(held), size), axis=0))
+        at += len(first[size][1])
+    sent = spark.sparkContext.broadcast((first, metric))
+
+    def place(batches):
+        middles, kind = sent.value
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths):
+                rows = batch.take(pa.array(np.flatnonzero(lengths == size)))
+                flat = _unit(rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, size), kind)
+                # Cells without a pivot are named by the length, below 0.
+                cell, far = np.full(rows.num_rows, -1 - int(size), np.int64), np.zeros(rows.num_rows)
+                if int(size) in middles:
+                    start, centre = middles[int(size)]
+                    rough = (flat**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * flat @ centre.T
+                    near = rough.argmin(axis=1)
+                    there = flat.any(axis=1) if kind == "cosine" else np.ones(len(flat), bool)
+                    cell[there], far[there] = start + near[there], np.sqrt(((flat - centre[near]) ** 2).sum(axis=1))[there]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    placed = docs.mapInArrow(place, f"id {id_type}, vec {docs.schema['vec'].dataType.simpleString()}, cell long, far double").checkpoint()
+    # One row a pivot and a length without one.
+    cells = {r["cell"]: (r["n"], r["low"], r["high"]) for r in placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}
+    around = spark.sparkContext.broadcast(cells)
+    slack = 1e-9
+
+    def route(batches):
+        middles, kind = sent.value
+        for batch in batches:
+            out, which, bound, order = [], [], [], []
+            for i, vec in enumerate(batch.column(1).to_pylist()):
+                v = _unit(np.asarray([vec], np.float64), kind)[0]
+                names = [-1 - len(v)] if -1 - len(v) in around.value else []
+                lows, gaps = [0.0] * len(names), [0.0] * len(names)
+                if len(v) in middles:
+                    start, centre = middles[len(v)]
+                    gap = np.sqrt(((centre - v) ** 2).sum(axis=1))
+                    zero = kind == "cosine" and not v.any()
+                    for j, d in enumerate(gap):
+                        if start + j in around.value:
+                            _, low, high = around.value[start + j]
+                            names.append(start + j)
+                            lows.append(0.0 if zero else max(0.0, d - high, low - d))
+                            gaps.append(d)
+                ahead = 0
+                for j in np.argsort(gaps, kind="stable"):
+                    out.append(i)
+                    which.append(names[j])
+                    bound.append(lows[j])
+                    order.append(ahead < k)  # the cells before hold too few
+                    ahead += around.value[names[j]][0]
+            rows = batch.take(pa.array(out, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(which, pa.int64()), pa.array(bound, pa.float64()), pa.array(order, pa.bool_())],
+                [*batch.schema.names, "cell", "bound", "now"])
+
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    vec_type = queries.schema["query_vec"].dataType.simpleString()
+    routed = queries.mapInArrow(route, f"query_id {q_type}, query_vec {vec_type}, cell long, bound double, now boolean").checkpoint()
+
+    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            size = len(left.column("vec")[0])
+            matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            ids = left.column("id").to_numpy()
+            vectors, asked = matrix(left.column("vec")), matrix(right.column("query_vec"))
+            q, i, d = _nearest(ids, vectors, right.column("query_id").to_pylist(), asked, k, metric)
+            found = [q, i, d]
+        columns = found or [[], [], []]
+        types = [right.schema.field("query_id").type, left.schema.field("id").type, pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "id", "distance"])
+
+    def visit(chosen: DataFrame) -> DataFrame:
+        asked = {r["cell"]: r["n"] for r in chosen.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if work is not None:
+            work.append((sum(n * cells[c][0] for c, n in asked.items())))
+        if not asked:
+            return spark.createDataFrame([], schema)
+        share = lambda rows: F.create_map(*[F.lit(x) for c, n in rows for x in (c, max(1, -(-n // cell_rows)))])[F.col("cell")]
+        doc_cuts, query_cuts = share([(c, cells[c][0]) for c in asked]), share(list(asked.items()))
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = placed.filter(F.col("cell").isin(*asked)).select(
+            "cell", F.pmod(F.xxhash64("id"), doc_cuts).cast("int").alias("dcut"), every(query_cuts).alias("qcut"), "id", "vec")
+        right = chosen.select("cell", every(doc_cuts).alias("dcut"), F.pmod(F.xxhash64("query_id"), query_cuts).cast("int").alias("qcut"), "query_id", "query_vec")
+        keys = ["cell", "dcut", "qcut"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema).checkpoint()
+
+    near = visit(routed.filter("now"))
+    last = top_per_key(near, ["query_id"], [F.col("distance").asc(), F.col("id").asc()], k, "rank").filter(F.col("rank") == k)
+    # Cells compare by Euclid's distance, of unit vectors for cosine.
+    reach = F.col("distance") if metric == "l2" else F.sqrt(F.greatest(2 * F.col("distance"), F.lit(0.0)) + slack)
+    last = last.select(F.col("query_id").alias("_q"), reach.alias("_reach"))
+    open_ = routed.filter("NOT now").join(last, F.col("query_id").eqNullSafe(F.col("_q")), "left").filter(
+        F.col("_reach").isNull() | F.isnan("_reach") | (F.col("bound") <= F.col("_reach") * (1 + slack) + slack))
+    near = near.unionByName(visit(open_.drop("_q", "_reach")))
+    if work is not None:
+        lengths = {r[0]: r[1] for r in queries.groupBy(F.size("query_vec")).count().collect()}
+        total = sum(n * lengths.get(-1 - c if c < 0 else next(s for s, (a, m) in first.items() if a <= c < a + len(m)), 0) for c, (n, _, _) in cells.items())
+        work[:] = [sum(work), total]
+    return near
+
+
+def _unit(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """For cosine vectors of length 1, zero vectors as they are."""
+    if metric == "l2":
+        return vectors
+    size = np.sqrt((vectors**2).sum(axis=1))[:, None]
+    return vectors / np.where(size == 0, 1.0, size)
+
+
 def above(hits: DataFrame, threshold: float) -> DataFrame:
     """Hits at least as similar as the threshold."""
     return hits.filter(F.col("similarity") >= threshold)

@@ -64,6 +64,12 @@ def vec_knn(v):
     return R.knn(_docs(v), v("searches_v"), 10).select("query_id", "id", _short("distance"), "rank")
 
 
+@query("vec_knn_metric", ["searches_v"], f"WITH {knn_sql(10).strip()} SELECT query_id, id, round(distance, 5) AS distance, rank FROM vec")
+def vec_knn_metric(v):
+    """As if the queries were too many to travel with the tasks."""
+    return R.knn(_docs(v), v("searches_v"), 10, max_queries=0).select("query_id", "id", _short("distance"), "rank")
+
+
 @query("vec_threshold", ["searches_v"], f"WITH {knn_sql(50).strip()} SELECT query_id, id, round(1 - distance, 5) AS similarity FROM vec WHERE 1 - distance >= 0.1")
 def vec_threshold(v):
     return R.above(R.knn(_docs(v), v("searches_v"), 50), 0.1).select("query_id", "id", _short("similarity"))
