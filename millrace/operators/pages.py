@@ -84,12 +84,13 @@ BLOCK_PHRASES = (
     "please wait", "security check", "enable javascript", "turn off ad blocker", "cookie consent", "access error",
     "potential misuse", "access blocked", "status code: 403", "<debug-panel>",
 )
+# Sizes and limits.
 BLOCK_CHARS = 1000
 
 # Hosts of embedded players.
 PLAYERS = ("youtube.com/embed", "youtu.be", "vimeo.com", "dailymotion.com")
+# Sizes and limits.
 MEDIA_CHARS = 500
-
 POLL_LIMITS = {"q": 300, "options": 100, "exp": 200}
 SPOOL_CHARS = 10_000
 CHUNK = (25_000, 2_500)

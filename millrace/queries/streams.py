@@ -40,6 +40,15 @@ def tab_read_sql(v):
     return A.read_sql(c.sparkSession, "SELECT c_mktsegment, count(*) AS n FROM {c} WHERE c_acctbal > :low GROUP BY c_mktsegment", {"low": 1000}, c=c)
 
 
+@query("tab_scan", ["articles_v"], """
+SELECT CAST(id AS VARCHAR) AS id, nullif(url, '') AS url, nullif(title, '') AS title, embedding_status FROM articles_v""")
+def tab_scan(v):
+    rows = v("articles_v").select(F.col("id").cast("string").alias("id"), "url", "title", "embedding_status")
+    folder = f"{ensure_checkpoint_dir(rows.sparkSession)}/scan-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/scraped_articles")
+    return A.scan(rows.sparkSession, folder, "scraped_articles").select("id", "url", "title", "embedding_status")
+
+
 @query("tab_replace", ["stored_v"], """
 WITH n AS (SELECT ticker, concept, quarter, numeric_value + 1 AS numeric_value FROM stored_v WHERE quarter >= '2000' AND ticker < 'C')
 SELECT ticker, concept, quarter, numeric_value FROM stored_v WHERE ticker NOT IN (SELECT ticker FROM n) UNION ALL SELECT * FROM n""")

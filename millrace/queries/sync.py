@@ -1,10 +1,14 @@
 """Queries over the two sides of a table."""
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators import digests as D
 from millrace.operators import sync as S
 from millrace.queries.registry import query
+from millrace.session import ensure_checkpoint_dir
 
 SIDES = ["local_v", "cloud_v"]
 BOTH = """
@@ -64,6 +68,26 @@ def sync_classify(v):
     return _classes(v).select("id", "class")
 
 
+def _digested(v) -> list[str]:
+    """Both sides by ranges of a composite key, in folders of their own."""
+    folder = f"{ensure_checkpoint_dir(v('local_v').sparkSession)}/digests-{uuid.uuid4().hex}"
+    sides = [v(n).withColumn("tier", F.concat(F.lit("t"), F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3)))) for n in SIDES]
+    splits = D.key_splits(sides[0], ["tier", "id"])
+    for name, side in zip(SIDES, sides):
+        D.write_side(side, ["tier", "id"], splits, f"{folder}/{name}")
+    return [f"{folder}/{n}" for n in SIDES]
+
+
+@query("sync_difference", SIDES, f"WITH {BOTH.strip()} SELECT id, class FROM k WHERE class <> 'identical'")
+def sync_difference(v):
+    return D.difference(v("local_v").sparkSession, *_digested(v), ["tier", "id"]).select("id", "class")
+
+
+@query("sync_difference_counts", SIDES, f"WITH {BOTH.strip()} SELECT class, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY class")
+def sync_difference_counts(v):
+    return D.summary(v("local_v").sparkSession, *_digested(v), ["tier", "id"])
+
+
 @query("sync_summary", SIDES, f"""
 WITH {BOTH.strip()} SELECT class, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE lt > ct) AS BIGINT) AS op_newer,
   CAST(count(*) FILTER (WHERE ct > lt) AS BIGINT) AS cloud_newer FROM k GROUP BY class""")
