@@ -45,14 +45,12 @@ def test_lines(kept):
 
 
 def test_near_duplicates(kept):
-    from test_simhash import groups, plain_fingerprint
-
-    before = sorted(rows(kept[2]).items())
-    label, first = groups([plain_fingerprint(r["text"]) for _, r in before]), {}
-    for (i, _), x in zip(before, label):
-        first.setdefault(x, i)
-    assert set(rows(kept[3])) == set(first.values())
-    assert all(rows(kept[3])[i] == rows(kept[2])[i] for i in first.values())
+    from test_similar import kept_positions
+
+    before, after = rows(kept[2]), rows(kept[3])
+    ids = sorted(before)
+    assert set(after) == {ids[k] for k in kept_positions([before[i]["text"] for i in ids])}
+    assert all(after[i] == before[i] for i in after)
 
 
 def test_decontamination(spark, data_dir, kept):
