@@ -17,6 +17,7 @@ from millrace.session import ensure_checkpoint_dir
 from millrace.sources import tables as A
 from millrace.sources.schemas import REGISTRY
 from millrace.streaming import jobs as T
+from millrace.streaming import keyed as K
 
 
 @query("tab_orphans", [], "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -159,6 +160,16 @@ def stream_rates(stream, folder, spark, sf_dir):
     return out.select(F.unix_seconds("window_start").alias("window_second"), "user_id", "in_window")
 
 
+@stream_query("stream_rate_audit", "events", f"""
+WITH c AS (SELECT user_id, ts, count(*) AS n FROM events GROUP BY 1, 2),
+w AS (SELECT user_id, ts, n, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS s FROM c)
+SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS at_us, CAST(n AS BIGINT) AS at_time, CAST(s AS BIGINT) AS in_window
+FROM w WHERE s > 3 AND ts <= date_trunc('milliseconds', {CLOSED})""")
+def stream_rate_audit(stream, folder, spark, sf_dir):
+    K.write_exact_rates(stream, 3, 6 * 3600, ["user_id"], f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return spark.read.schema("user_id long, at_us long, at_time long, in_window long").parquet(f"{folder}/rows")
+
+
 NORM = "lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''))"
 
 
