@@ -6,8 +6,9 @@ shingles do.  Texts that agree on a band of four of them share a shard, which is
 what the tree finds within the radius is compared shingle by shingle.
 
 Texts with the same words are one class before anything else, of which one row goes on.  Classes are compared in two steps,
-so that a dense group doesn't cost all its pairs: first each class with the hub of its group, the member closest to what
-most of the group's bits say; then, only where that left several groups in one shard, members of different groups.
+so that a dense group doesn't give all its pairs: first each class with the hub of its group, the member closest to what
+most of the group's bits say; then, only where that left several groups in one shard, members of different groups, in the
+task that holds the shard, until links connect the groups or nothing is left to compare.
 """
 
 from __future__ import annotations
@@ -139,11 +140,12 @@ def hubs(shard: list[tuple], radius: int) -> Iterator[tuple[int, int, int]]:
                 yield shard[i][0], shard[hub][0], len(group)
 
 
-def across(shard: list[tuple], radius: int) -> Iterator[tuple[int, int]]:
-    """Pairs of classes of different groups that are within the radius in a shard of rows (class, fp, group).
+def connecting(shard: list[tuple], radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (class, class) that connect the groups of a shard of rows (class, fp, group, shingles as packed hashes).
 
-    Groups leave the tree one after the other, smallest first, and are then searched in what is left: a pair comes once,
-    and the largest group is searched for nothing.
+    Groups leave the tree one after the other, smallest first, and their members are then searched in what is left; what is
+    within the radius is compared shingle by shingle, nearest first, unless links already connect the two groups.  So a
+    shard gives fewer links than it has groups, however many of its pairs are alike.
     """
     of_group: dict[int, list[int]] = {}
     for i, r in enumerate(shard):
@@ -151,13 +153,42 @@ def across(shard: list[tuple], radius: int) -> Iterator[tuple[int, int]]:
     if len(of_group) < 2:
         return
     values = [r[1] & (1 << 64) - 1 for r in shard]
-    tree = Tree(values)
-    for group in sorted(of_group.values(), key=len)[:-1]:
-        for i in group:
+    sizes = [len(r[3]) // 8 for r in shard]
+    ends = np.cumsum(sizes).tolist()
+    # Shingles as numbers from 0, so that those of one text can be marked in an array.
+    kinds, codes = np.unique(np.frombuffer(b"".join(r[3] for r in shard), np.int64), return_inverse=True)
+    codes = codes.astype(np.int32)
+    marked = np.zeros(len(kinds), bool)
+    of = lambda i: codes[ends[i] - sizes[i]:ends[i]]
+    head = {g: g for g in of_group}
+
+    def find(group: int) -> int:
+        while head[group] != group:
+            head[group] = head[head[group]]
+            group = head[group]
+        return group
+
+    tree, apart = Tree(values), len(of_group)
+    for group in sorted(of_group, key=lambda g: len(of_group[g]))[:-1]:
+        for i in of_group[group]:
             tree.take(i)
-        for i in group:
-            for j in tree.near(values[i], radius):
-                yield shard[i][0], shard[j][0]
+        for i in of_group[group]:
+            mine = find(group)
+            near = [j for j in tree.near(values[i], radius) if find(shard[j][2]) != mine]
+            if not near:
+                continue
+            marked[of(i)] = True
+            for j in sorted(near, key=lambda j: (values[i] ^ values[j]).bit_count()):
+                if min(sizes[i], sizes[j]) < similarity * max(sizes[i], sizes[j]) or find(shard[j][2]) == mine:
+                    continue
+                common = int(np.count_nonzero(marked[of(j)]))
+                if common / (sizes[i] + sizes[j] - common) >= similarity:
+                    yield shard[i][0], shard[j][0]
+                    head[find(shard[j][2])] = mine
+                    apart -= 1
+                    if apart == 1:
+                        return
+            marked[of(i)] = False
 
 
 def _by_shard(meeting: DataFrame, columns: list[str], find, kinds: str) -> DataFrame:
@@ -185,21 +216,32 @@ def _by_shard(meeting: DataFrame, columns: list[str], find, kinds: str) -> DataF
     return spread.mapInArrow(run, kinds)
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of the distinct pairs (v, u) whose texts, rows (row, text), have sets of shingles as similar as asked for."""
+def _sets(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """`row, has` of the texts, rows (row, text), that `rows` asks for: the distinct hashes of the shingles, packed."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last in by_volume(batch.column("text")):
                 part = batch.slice(first, last - first)
-                sets = [shingle_set(words_of(t), shingle).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "has"])
+                sets = [shingle_set(words_of(t), shingle).astype("<u8").tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.binary())], ["row", "has"])
+
+    return _written(texts.join(rows.select("row"), "row", "left_semi").mapInArrow(run, "row long, has binary"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (v, u) whose sets of shingles are as similar as asked for."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                left, right = (np.frombuffer(x.as_py(), "<u8") for x in (a, b))
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(common / (len(left) + len(right) - common) >= similarity)
+            yield batch.select(["v", "u"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("v", "u")).alias("row")).distinct()
-    sets = _written(texts.join(asked, "row", "left_semi").mapInArrow(run, "row long, has array<long>"))
     both = pairs.join(sets.select(F.col("row").alias("v"), F.col("has").alias("a")), "v").join(
         sets.select(F.col("row").alias("u"), F.col("has").alias("b")), "u")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common / (F.size("a") + F.size("b") - common) >= similarity).select("v", "u")
+    return both.select("v", "u", "a", "b").mapInArrow(run, "v long, u long")
 
 
 def _linked_classes(classes: DataFrame, texts: DataFrame, similarity: float, shingle: int, radius: int) -> DataFrame:
@@ -209,16 +251,17 @@ def _linked_classes(classes: DataFrame, texts: DataFrame, similarity: float, shi
     # The hub that most shards offer; a class has at most one in each of its shards.
     votes = offers.repartition("v").groupBy("v", "u").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     best = cut(votes.groupBy("v").agg(F.max(F.struct("n", "size", "u")).alias("best")).select("v", "best.u"))
-    groups = components(cut(_alike(best, texts, similarity, shingle)))
-
     near = best.select(F.explode(F.array("v", "u")).alias("row")).distinct()
+    sets = _sets(near, texts, shingle)
+    groups = components(cut(_alike(best, sets, similarity)))
+
     grouped = near.join(groups.withColumnRenamed("v", "row"), "row", "left").select(
         "row", F.coalesce("label", "row").alias("label"))
-    others = classes.join(grouped, "row").select("row", "fp", "label", F.explode("shards").alias("shard"))
-    found = _by_shard(others, ["row", "fp", "label"], lambda rows: across(rows, radius), "v long, u long")
-    ordered = lambda df: df.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u"))
-    pairs = cut(ordered(found).distinct().join(ordered(best).distinct(), ["v", "u"], "left_anti"))
-    more = _alike(pairs, texts, similarity, shingle)
+    others = cut(classes.join(grouped, "row").select("row", "fp", "label", F.explode("shards").alias("shard")))
+    # Shards of one group have nothing left to find.
+    open_shards = others.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    asked = others.join(open_shards, "shard", "left_semi").join(sets, "row")
+    more = _by_shard(asked, ["row", "fp", "label", "has"], lambda rows: connecting(rows, radius, similarity), "v long, u long")
     return components(cut(groups.select("v", F.col("label").alias("u")).unionByName(more.select("v", "u"))))
 
 
@@ -230,8 +273,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     copies of each other.  Of rows with the same id and words one stays, any of them.  An empty frame gives an empty one.
     A link is missed only if two texts share no band or their fingerprints differ in more than `radius` bits, which the
     constants above put below one in a thousand at a similarity of 0.8, and far lower above it; no text is linked without
-    the exact check.  A shard passes through one task, and texts in it that aren't near each other cost the square of
-    their number in comparisons of fingerprints.
+    the exact check.  A shard passes through one task, which gives fewer links than it has texts; texts in it that aren't
+    near each other cost the square of their number in comparisons.
     """
     names = ["near_key", "near_fp", "near_shards"]
     key, fp, shards = (free_name(docs, n) for n in names)

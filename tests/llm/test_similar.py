@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from fixtures import DOC_SCHEMA, doc, odd_rows, prose
 from pyspark.sql import functions as F
 
@@ -85,12 +86,40 @@ def test_odd_rows(spark):
     assert s.one_of_each(docs.where("doc_id < 0")).count() == 0
 
 
-def test_across_gives_each_pair_of_groups_once():
+def joined(groups, pairs):
+    """Groups as sets of groups that the pairs connect."""
+    parts = [{g} for g in sorted(groups)]
+    for a, b in pairs:
+        hit = [p for p in parts if a in p or b in p]
+        parts = [p for p in parts if p not in hit] + [set().union(*hit)]
+    return sorted(map(sorted, parts))
+
+
+def test_groups_of_a_shard_are_connected_as_all_pairs_do():
     rng = random.Random(14)
-    rows = [(i, rng.getrandbits(8), rng.randrange(5)) for i in range(80)]
-    want = {(i, j) for i, a, g in rows for j, b, h in rows if i < j and g != h and (a ^ b).bit_count() <= 2}
-    got = [tuple(sorted(p)) for p in s.across(rows, 2)]
-    assert len(got) == len(set(got)) and set(got) == want
+    for n in (2, 30, 120):
+        bases = [rng.sample(range(10_000), 40) for _ in range(5)]
+        rows = []
+        for i in range(n):
+            has = set(rng.choice(bases))
+            has -= set(rng.sample(sorted(has), rng.randrange(7)))
+            rows.append((i, rng.getrandbits(6), rng.randrange(12), np.array(sorted(has), "<u8").tobytes()))
+        sets = [set(np.frombuffer(r[3], "<u8").tolist()) for r in rows]
+        pairs = [(i, j) for i in range(n) for j in range(i) if rows[i][2] != rows[j][2]
+                 and (rows[i][1] ^ rows[j][1]).bit_count() <= 4 and alike(sets[i], sets[j])]
+        got = list(s.connecting(rows, 4, 0.8))
+        groups = {r[2] for r in rows}
+        assert all((max(p), min(p)) in pairs for p in got) and len(got) < len(groups)
+        named = lambda links: joined(groups, [(rows[i][2], rows[j][2]) for i, j in links])
+        assert named(got) == named(pairs)
+
+
+def test_texts_apart_from_each_other_and_from_their_hub_give_no_pairs():
+    """A family just below the similarity: all pairs are compared, none is given."""
+    rng = random.Random(16)
+    base = rng.sample(range(10_000), 100)
+    rows = [(i, 0, i, np.array(sorted(set(base) - set(rng.sample(base, 25))), "<u8").tobytes()) for i in range(60)]
+    assert list(s.connecting(rows, 4, 0.8)) == []
 
 
 def test_hub_is_the_centre():
