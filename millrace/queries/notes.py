@@ -41,7 +41,7 @@ def note_ids(v):
 @query("note_fill", ["tidy_v"], """
 SELECT detail_id, CASE WHEN abstract THEN 'True' ELSE 'False' END AS abstract, concept, '' AS balance, coalesce(CAST(TRY_CAST(value AS DOUBLE) / 100000 AS INT), 0) AS small_level FROM tidy_v""")
 def note_fill(v):
-    rows = v("tidy_v").withColumn("level", F.round(F.col("value").try_cast("double") / 100000))
+    rows = v("tidy_v").withColumn("level", F.rint(F.col("value").try_cast("double") / 100000))
     return N.fill_meta(rows).select("detail_id", "abstract", "concept", "balance", F.col("level").alias("small_level"))
 
 

@@ -9,3 +9,10 @@ def test_a_ticker_without_stored_prices_gives_nothing(spark, rows):
     prices = spark.createDataFrame(
         [("a", date(2024, 1, 1), 9e4), ("a", date(2024, 1, 5), 2e5), ("b", date(2024, 1, 2), 2e5)], "ticker string, price_date date, close double")
     assert rows(fin_incremental(lambda _: prices), "ticker", "price_date") == [("a", date(2024, 1, 1)), ("a", date(2024, 1, 5))]
+
+
+def test_halves_of_a_level_go_to_the_even_number(spark, rows):
+    from millrace.queries.notes import note_fill
+
+    tidy = spark.createDataFrame([("x", "3050000", True), ("y", "3150000", True)], "detail_id string, value string, abstract boolean")
+    assert rows(note_fill(lambda _: tidy), "detail_id", "small_level") == [("x", 30), ("y", 32)]
