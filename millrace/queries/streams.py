@@ -104,6 +104,11 @@ def sync_restore(v):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def _table(sf_dir: str, source: str) -> str:
+    """The table as a path for a stream.  It may be one file, which a stream takes from a pattern only, or a folder of files."""
+    return f"{sf_dir}/{source}.parque[t]"
+
+
 def stream_query(name: str, source: str, sql: str):
     """Register ``fn(stream, folder, spark, sf_dir)``; it starts a query that ends, and gives its rows."""
     query(name, [], sql)(lambda v: None)
@@ -112,7 +117,7 @@ def stream_query(name: str, source: str, sql: str):
         def run(spark, sf_dir) -> DataFrame:
             folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
             schema = spark.read.parquet(f"{sf_dir}/{source}.parquet").schema
-            stream = T.read_files(spark, sf_dir, schema, f"{source}.parquet")
+            stream = T.read_files(spark, _table(sf_dir, source), schema)
             return fn(stream, folder, spark, sf_dir)
 
         run.__name__ = name
@@ -188,7 +193,7 @@ def stream_redact(stream, folder, spark, sf_dir):
 
 @stream_query("stream_pending", "orders", "SELECT o_orderkey, o_custkey FROM orders")
 def stream_pending(stream, folder, spark, sf_dir):
-    T.stream_pending(spark, sf_dir, stream.schema, f"{folder}/rows", f"{folder}/state", "orders.parquet").awaitTermination()
+    T.stream_pending(spark, _table(sf_dir, "orders"), stream.schema, f"{folder}/rows", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select("o_orderkey", "o_custkey")
 
 

@@ -1,7 +1,10 @@
 """Values on which a query once differed from its SQL."""
 
+import shutil
 from datetime import date
 
+import pytest
+
 
 def test_a_ticker_without_stored_prices_gives_nothing(spark, rows):
     from millrace.queries.market import fin_incremental
@@ -16,3 +19,19 @@ def test_halves_of_a_level_go_to_the_even_number(spark, rows):
 
     tidy = spark.createDataFrame([("x", "3050000", True), ("y", "3150000", True)], "detail_id string, value string, abstract boolean")
     assert rows(note_fill(lambda _: tidy), "detail_id", "small_level") == [("x", 30), ("y", 32)]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_stream_reads_a_table_of_one_file_or_of_many(spark, data_dir, tmp_path, parts):
+    from millrace.queries import QUERIES
+
+    for name in ("pages", "documents", "orders"):
+        if parts:
+            spark.read.parquet(f"{data_dir}/{name}.parquet").repartition(parts).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            shutil.copy(f"{data_dir}/{name}.parquet", tmp_path)
+    where = str(tmp_path)
+    for name, table in (("stream_redact", "documents"), ("stream_pending", "orders")):
+        assert QUERIES[name](spark, where).count() == spark.read.parquet(f"{where}/{table}.parquet").count()
+    urls = [r.url for r in QUERIES["stream_links"](spark, where).collect()]
+    assert urls and len(urls) == len(set(urls))
