@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 PUNCTUATION_FROM = "‑–—‘’“” "
 PUNCTUATION_TO = "---''\"\" "
 
+# Letters with a capital of one character where upper case writes two or three.
+CAPITALS_FROM = "ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ"
+CAPITALS_TO = "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ"
+
 # Openings that only name the source of a statement.
 ATTRIBUTIONS = (
     "The article says ", "The article states ", "The article notes ", "The article reports ",
@@ -59,10 +63,16 @@ def ascii_punct(text: Column) -> Column:
     return F.btrim(F.replace(plain, F.lit("&nbsp;"), F.lit(" ")), F.lit(SPACES))
 
 
+def capital(letter: Column) -> Column:
+    """One letter's capital letter; a letter whose capitals would be several characters (ŉ, ﬁ) stays."""
+    upper = F.upper(letter)
+    return F.when(F.length(upper) > 1, F.translate(letter, CAPITALS_FROM, CAPITALS_TO)).otherwise(upper)
+
+
 def clean_bullet(text: Column) -> Column:
     """Without an opening that names the source, and with a capital letter."""
     bare = F.regexp_replace(text, "(?i)^(?:" + "|".join(ATTRIBUTIONS) + r")\s*", "")
-    return F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, F.lit(2), F.length(bare)))
+    return F.concat(capital(F.substring(bare, 1, 1)), F.substring(bare, F.lit(2), F.length(bare)))
 
 
 def clean_bullets(bullets: Column) -> Column:

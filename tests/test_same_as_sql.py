@@ -4,6 +4,9 @@ import shutil
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions.text import clean_bullet
 
 
 def test_a_ticker_without_stored_prices_gives_nothing(spark, rows):
@@ -35,3 +38,9 @@ def test_a_stream_reads_a_table_of_one_file_or_of_many(spark, data_dir, tmp_path
         assert QUERIES[name](spark, where).count() == spark.read.parquet(f"{where}/{table}.parquet").count()
     urls = [r.url for r in QUERIES["stream_links"](spark, where).collect()]
     assert urls and len(urls) == len(set(urls))
+
+
+def test_a_capital_is_one_letter(spark):
+    texts = ["ßa", "ŉa", "ﬁa", "ᾳa", "éa", "aß", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.b for r in df.select("i", clean_bullet(F.col("t")).alias("b")).orderBy("i").collect()] == ["ẞa", "ŉa", "ﬁa", "ᾼa", "Éa", "Aß", ""]
