@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.retrieval import BM25_B, BM25_K1, IDF_FLOOR, _split_docs, _wanted
+from millrace.operators.retrieval import BM25_B, BM25_K1, IDF_FLOOR, _counted_rows, _split_docs, _wanted
 from millrace.plans.shapes import is_small, top_per_key
 from millrace.session import ensure_checkpoint_dir
 from millrace.streaming.jobs import _load
@@ -67,7 +67,7 @@ def _tables(spark: SparkSession, root: str, name: str, found: list[Segment]) ->
     """One table of several segments, with the number and the sequence of each."""
     parts = [spark.read.parquet(f"{root}/{s.folder}/{name}").withColumns({"seg": F.lit(i), "seq": F.lit(s.seq).cast("long")})
              for i, s in enumerate(found)]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def _voided(spark: SparkSession, root: str, found: list[Segment]) -> DataFrame:
@@ -89,12 +89,15 @@ def _bucketed(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return postings.withColumn("bucket", F.shiftleft(kind().cast("long"), 40) + part)
 
 
-def _write(root: str, seq: int, postings: DataFrame, docs: DataFrame, dead: DataFrame, stats: DataFrame) -> Segment:
-    """A segment of postings (token, id, tf, length), documents (id, length, words), voided ids and counts of words."""
-    spark = docs.sparkSession
+def _write_docs(root: str, docs: DataFrame) -> tuple[str, DataFrame]:
+    """The folder of a new segment, and its documents as written there."""
     folder = f"segment-{uuid.uuid4().hex}"
     docs.write.parquet(f"{root}/{folder}/docs")
-    kept = spark.read.parquet(f"{root}/{folder}/docs")
+    return folder, docs.sparkSession.read.parquet(f"{root}/{folder}/docs")
+
+
+def _write(root: str, folder: str, seq: int, postings: DataFrame, kept: DataFrame, dead: DataFrame, stats: DataFrame) -> Segment:
+    """A segment of postings (token, id, tf, length), documents (id, length, words) written before, voided ids and counts of words."""
     blocks = _bucketed(postings, kept).groupBy("token", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"),
         F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("postings"))  # a bucket's documents at most
@@ -122,18 +125,21 @@ def update(spark: SparkSession, root: str, changed: DataFrame, columns: Sequence
     found = segments(spark, root)
     seq = max((s.seq for s in found), default=-1) + 1
     split = _split_docs(changed, columns)
-    docs = split.select("id", F.col("length").cast("int").alias("length"), F.array_distinct(F.filter("_p", lambda w: w != "")).alias("words"))
-    words = split.select("id", F.col("length").cast("int").alias("length"), F.explode("_p").alias("token")).filter("token <> ''")
-    postings = words.groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    counts = F.filter("_c", lambda c: c["token"] != "")
+    counted = _counted_rows(split, F.col("_p")).select("id", F.col("length").cast("int").alias("length"), counts.alias("_c"))
+    # Texts are cut into words once; all else comes from what is written here.
+    folder, docs = _write_docs(root, counted.select("id", "length", F.col("_c.token").alias("words"), F.col("_c.tf").alias("times")))
+    each = F.explode(F.arrays_zip("words", "times")).alias("_c")
+    postings = docs.select("id", "length", each).select(F.col("_c.words").alias("token"), "id", "length", F.col("_c.times").alias("tf"))
     if not found:
         empty = changed.filter("id IS NOT NULL").select("id").limit(0)
-        made = _write(root, seq, postings, docs, empty.withColumn("until", F.lit(seq).cast("long")), _counts(docs, 1))
+        made = _write(root, folder, seq, postings, docs, empty.withColumn("until", F.lit(seq).cast("long")), _counts(docs, 1))
     else:
         gone = changed.select("id") if removed is None else changed.select("id").unionByName(removed.select("id"))
         old = _alive(_tables(spark, root, "docs", found), _voided(spark, root, found)).join(gone.distinct(), "id", "left_semi")
         old = _cut(old.select("id", "length", "words"))
         stats = _counts(docs, 1).unionByName(_counts(old, -1)).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-        made = _write(root, seq, postings, docs, old.select("id", F.lit(seq).cast("long").alias("until")), stats)
+        made = _write(root, folder, seq, postings, docs, old.select("id", F.lit(seq).cast("long").alias("until")), stats)
     _publish(spark, root, [*found, made])
     return made
 
@@ -172,7 +178,8 @@ def _merge(spark: SparkSession, root: str, found: list[Segment], merged: list[Se
     dead = _tables(spark, root, "dead", merged).select("id", "until")
     dead = dead.limit(0) if oldest is None else dead.filter(F.col("until") > oldest)
     stats = _tables(spark, root, "stats", merged).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    made = _write(root, seq, postings, docs, dead, stats.filter("df <> 0 OR total <> 0 OR token = ''"))
+    folder, kept = _write_docs(root, docs)
+    made = _write(root, folder, seq, postings, kept, dead, stats.filter("df <> 0 OR total <> 0 OR token = ''"))
     _publish(spark, root, [*rest, made])
 
 

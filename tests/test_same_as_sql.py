@@ -64,3 +64,12 @@ def test_words_are_counted_without_a_shuffle(spark, rows):
     assert rows(R.postings(docs, ["title"])) == sorted([("a", 1, 5, 3), ("b", 1, 5, 2), ("ä", 4, 2, 1), ("a", 4, 2, 1)], key=repr)
     plan = R.postings(docs, ["title"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "HashAggregate" not in plan
+
+
+def test_a_segment_keeps_how_often_a_document_has_a_word(spark, tmp_path):
+    from millrace.operators import textindex as X
+
+    docs = spark.createDataFrame([(1, "b a, B a-a"), (2, " -"), (3, None)], "id long, title string")
+    made = X.update(spark, str(tmp_path), docs, ["title"])
+    kept = spark.read.parquet(f"{tmp_path}/{made.folder}/docs").orderBy("id").collect()
+    assert [(r.id, r.length, r.words, r.times) for r in kept] == [(1, 5, ["a", "b"], [3, 2]), (2, 0, [], []), (3, 0, [], [])]
