@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,19 +195,23 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], newest: str
         order.append(F.xxhash64(*source.columns).desc())
     fresh = first_per_key(source, list(keys), order)
     shared = [c for c in target.columns if c in fresh.columns and c not in keys]
-    fresh = under_keys(
-        fresh.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in shared], F.lit(True).alias("_new")), keys)
+    # Sides meet as groups of a window, for which null keys are equal as they are: a side that is dealt by its keys stays so.
+    both = target.unionByName(
+        fresh.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in shared], F.lit(True).alias("_new")), allowMissingColumns=True)
+    group = Window.partitionBy(*keys)
+    # A key has one new row at most: what it holds is the first value that is not null, or none is.
+    given = [F.first(c, ignorenulls=True).over(group).alias(c) for c in (*[f"_s_{c}" for c in shared], "_new")]
+    held = F.count_if(F.col("_new").isNull()).over(group)
+    met = both.select(*target.columns, *given, (F.col("_new").isNull() | (held == 0)).alias("_stays")).filter("_stays")
     columns = []
     for name in target.columns:
-        if name in keys:
-            columns.append(F.coalesce(name, f"_k_{name}").alias(name))
-        elif name not in shared:
+        if name in keys or name not in shared:
             columns.append(F.col(name))
         elif name in keep:
             columns.append(F.coalesce(name, f"_s_{name}").alias(name))
         else:
             columns.append(F.when(F.col("_new"), F.col(f"_s_{name}")).otherwise(F.col(name)).alias(name))
-    return target.join(fresh, same_key(keys), "full").select(*columns)
+    return met.select(*columns)
 
 
 def apply_sync(local: DataFrame, cloud: DataFrame, keys: Sequence[str], strategy: str) -> DataFrame:

@@ -176,7 +176,9 @@ WITH u AS (SELECT detail_id, any_value(value) AS value, any_value(concept) AS co
 SELECT detail_id, CASE WHEN note_number <= 4 THEN concat(value, '!') ELSE value END AS value, 'first' AS created_at FROM u
 UNION ALL SELECT concat(detail_id, '+'), concat(value, '!'), 'second' FROM u WHERE note_number > 4""")
 def note_upsert(v):
-    rows = v("tidy_v").dropDuplicates(["detail_id"]).select("detail_id", "value", "concept", "note_number", F.col("period_end_date").alias("updated_at"))
+    # One whole row of each id, as one value: both sides read the same columns, so Spark makes it once.
+    row = F.struct("value", "note_number", F.col("period_end_date").alias("updated_at"))
+    rows = v("tidy_v").groupBy("detail_id").agg(F.any_value(row).alias("_row")).select("detail_id", "_row.*")
     old = rows.withColumn("created_at", F.lit("first"))
     other = F.when(F.col("note_number") > 4, F.concat("detail_id", F.lit("+"))).otherwise(F.col("detail_id"))
     new = rows.withColumn("created_at", F.lit("second")).withColumn("value", F.concat("value", F.lit("!"))).withColumn("detail_id", other)

@@ -73,3 +73,21 @@ def test_a_segment_keeps_how_often_a_document_has_a_word(spark, tmp_path):
     made = X.update(spark, str(tmp_path), docs, ["title"])
     kept = spark.read.parquet(f"{tmp_path}/{made.folder}/docs").orderBy("id").collect()
     assert [(r.id, r.length, r.words, r.times) for r in kept] == [(1, 5, ["a", "b"], [3, 2]), (2, 0, [], []), (3, 0, [], [])]
+
+
+def test_a_merge_leaves_sides_where_their_keys_are(spark, rows, data_dir):
+    from millrace.operators import sync as S
+    from millrace.queries import QUERIES
+
+    target = spark.createDataFrame([(1, "a", "x", 1), (None, "b", None, 2), (None, "c", "y", 3), (4, "d", "z", 4)], "id long, v string, made string, own int")
+    source = spark.createDataFrame([(1, None, "n", 5), (None, "new", "n", 5), (None, "old", "n", 4), (7, "e", "n", 1)], "id long, v string, made string, updated_at int")
+    want = [(1, None, "x", 1), (None, "new", "n", 2), (None, "new", "y", 3), (4, "d", "z", 4), (7, "e", "n", None)]
+    assert rows(S.merge(target, source, ["id"], keep=["made"])) == sorted(want, key=repr)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["note_upsert"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # One for the rows of each id, made once for both sides, and one for the other ids of the new rows.
+    dealt = [line for line in plan.splitlines() if "- Exchange hashpartitioning(" in line and "detail_id" in line]
+    assert len(dealt) == 2 and plan.count("- ReusedExchange") == 1
