@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,27 +32,31 @@ def key_splits(df: DataFrame, keys: Sequence[str], fan: int = FAN) -> list[tuple
     return list(dict.fromkeys(rows[len(rows) * i // n] for i in range(1, n))) if rows else []
 
 
-def _leaf(df: DataFrame, keys: Sequence[str], splits: list[tuple], fan: int) -> Column:
-    """The number of the range of a key: how many splits are at or before it, found node by node; null sorts first."""
-    own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+def _leafed(df: DataFrame, keys: Sequence[str], splits: list[tuple]) -> DataFrame:
+    """``df`` with the number of the range of each key, ``_leaf``: how many splits are at or before it; null sorts first.
+
+    Found by halves, one column for each step: a step is compiled, and a key is compared with one split in it.
+    """
     kinds = [df.schema[k].dataType for k in keys]
     said = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(s, kinds))]) for s in splits]
+    out = df.withColumn("_leaf", F.lit(0))
     if not said:
-        return F.lit(0)
-    parts = [F.array(*said[i:i + fan]) for i in range(0, len(said), fan)]
-    passed = lambda a: F.size(F.filter(a, lambda s: s <= own))
-    node = F.size(F.filter(F.array(*[said[i] for i in range(0, len(said), fan)]), lambda s: s <= own))
-    within = F.element_at(F.array(*parts), F.greatest(node, F.lit(1)))
-    return F.when(node == 0, F.lit(0)).otherwise((node - 1) * fan + passed(within))
+        return out
+    out = out.withColumn("_own", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    for step in (1 << bit for bit in reversed(range(len(said).bit_length()))):
+        # Beyond the last split there is null, which isn't passed.
+        passed = F.get(F.array(*said), F.col("_leaf") + step - 1) <= F.col("_own")
+        out = out.withColumn("_leaf", F.col("_leaf") + F.when(passed, step).otherwise(0))
+    return out.drop("_own")
 
 
-def write_side(df: DataFrame, keys: Sequence[str], splits: list[tuple], path: str, fan: int = FAN) -> None:
+def write_side(df: DataFrame, keys: Sequence[str], splits: list[tuple], path: str) -> None:
     """Write a side (keys, content_hash, updated_at and what else it has) by key ranges, and its digests.
 
     A range's digest is the number of its rows and two sums of hashes of key, content hash and time, so that rows may come
     in any order and any number of times.
     """
-    leafed = df.withColumn("_leaf", _leaf(df, keys, splits, fan))
+    leafed = _leafed(df, keys, splits)
     df.sparkSession.createDataFrame([(leafed.schema.json(),)], "value string").write.text(f"{path}/columns")
     leafed.repartition("_leaf").write.partitionBy("_leaf").parquet(f"{path}/rows")
     parts = [F.struct(*keys), F.coalesce("content_hash", F.lit("")), F.col("updated_at").cast("timestamp")]

@@ -55,3 +55,18 @@ def test_equal_sides_and_empty_ones(spark, tmp_path):
     assert D.unequal_leaves(spark, x, y) == ([], 50) and D.difference(spark, x, y, KEYS).count() == 0
     assert {(r["class"], r["n"]) for r in D.summary(spark, x, z, KEYS).collect()} == {("op_only", 50)}
     assert D.key_splits(df.limit(0), KEYS) == []
+
+
+def test_ranges_are_found_by_halves(spark):
+    keys = [(r, n) for r in (None, "", "a", "b") for n in (None, -1, *range(40))]
+    keys.sort(key=lambda k: [(v is not None, "" if v is None else v) for v in k])
+    place = {k: i for i, k in enumerate(keys)}
+    df = spark.createDataFrame(keys, "region string, num long")
+    for splits in ([], keys[:1], keys[3:5], keys[::7], keys[1::2], keys):
+        marked = D._leafed(df, KEYS, splits)
+        assert marked.columns == [*KEYS, "_leaf"]
+        for r in marked.collect():
+            assert r["_leaf"] == sum(place[s] <= place[r["region"], r["num"]] for s in splits)
+        # Compiled, and one comparison for each halving.
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and plan.count(" <= ") == len(splits).bit_length()
