@@ -11,15 +11,19 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.retrieval import BM25_B, BM25_K1, IDF_FLOOR, _counted_rows, _split_docs, _wanted
-from millrace.plans.shapes import is_small, top_per_key
+from millrace.functions.words import count_words, word_letters
+from millrace.operators.retrieval import _WORD_GAP, BM25_B, BM25_K1, GONE_ROWS, IDF_FLOOR, MAX_QUERY_BYTES, _wanted
+from millrace.plans.shapes import is_small, small_side, top_per_key
 from millrace.session import ensure_checkpoint_dir
 from millrace.streaming.jobs import _load
 
@@ -29,6 +33,8 @@ BUCKET_DOCS = 1024
 CLASSES = 8
 #: Segments of a size that are merged into one.
 FAN = 4
+#: Words of a bucket at most, unless one document has more, and of a range of blocks, about.
+BUCKET_WORDS = 1_000_000
 #: Buckets of a query that are scored before the first threshold, and before the second.
 WAVES = (2, 16)
 #: Bounds and scores are added up in different orders.
@@ -70,9 +76,14 @@ def _tables(spark: SparkSession, root: str, name: str, found: list[Segment]) ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Ids or places, written once; they travel with the tasks up to a bound that is read first."""
+    return small_side(_cut(df), GONE_ROWS, MAX_QUERY_BYTES)
+
+
 def _voided(spark: SparkSession, root: str, found: list[Segment]) -> DataFrame:
     """`_gone, _until`: ids and the sequence before which their documents don't count any more."""
-    return _tables(spark, root, "dead", found).groupBy(F.col("id").alias("_gone")).agg(F.max("until").alias("_until"))
+    return _few(_tables(spark, root, "dead", found).groupBy(F.col("id").alias("_gone")).agg(F.max("until").alias("_until")))
 
 
 def _alive(df: DataFrame, voided: DataFrame) -> DataFrame:
@@ -80,13 +91,62 @@ def _alive(df: DataFrame, voided: DataFrame) -> DataFrame:
     return df.join(voided, late, "left_anti")
 
 
-def _bucketed(postings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Postings with their bucket: a class of lengths, cut by a hash into buckets of about `BUCKET_DOCS` documents."""
+def _words(texts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Documents with the number of their words, their distinct words in order, and how often they have each."""
+    spark = texts.sparkSession
+    letters = spark.sparkContext.broadcast(word_letters(spark, _WORD_GAP))
+    lower = texts.filter("id IS NOT NULL").select("id", F.lower(F.concat_ws(" ", *[F.col(c) for c in columns])).alias("_t"))
+    kind = texts.schema["id"].dataType.simpleString()
+    return lower.mapInArrow(lambda batches: count_words(batches, letters.value), f"id {kind}, length int, words array<string>, times array<long>")
+
+
+def _buckets(docs: DataFrame) -> tuple[Column, int]:
+    """The bucket of an id and length: a class of lengths, cut by a hash into buckets of about `BUCKET_DOCS` documents and no more
+    than about `BUCKET_WORDS` words.  Also the number of ranges that the words of the documents take."""
     kind = lambda: F.floor(F.log2(F.col("length") + 1) * CLASSES).cast("int")
-    counts = docs.groupBy(kind().alias("kind")).count().collect()  # a few hundred: lengths are bounded by their logarithm
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["kind"], -(-r["count"] // BUCKET_DOCS))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    # A few hundred: lengths are bounded by their logarithm.
+    counts = docs.groupBy(kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")).collect()
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["kind"], max(-(-r["n"] // BUCKET_DOCS), -(-r["words"] // BUCKET_WORDS)))]) if counts else F.create_map(F.lit(0), F.lit(1))
     part = F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(shares, kind()), F.lit(1)))
-    return postings.withColumn("bucket", F.shiftleft(kind().cast("long"), 40) + part)
+    return F.shiftleft(kind().cast("long"), 40) + part, max(1, -(-sum(r["words"] for r in counts) // BUCKET_WORDS))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents (bucket, id, length, words, times) sorted by bucket, the blocks of some whole buckets at a time."""
+    held, words, last = [], 0, None
+    for batch in batches:
+        bucket, length = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)] if len(bucket) else [0]
+        for low, high in zip(edges, edges[1:]):
+            if words >= BUCKET_WORDS // 2 and bucket[low] != last:
+                yield _block_rows(pa.concat_batches(held))
+                held, words = [], 0
+            held.append(batch.slice(low, high - low))
+            words, last = words + int(length[low:high].sum()), bucket[low]
+    if words:
+        yield _block_rows(pa.concat_batches(held))
+
+
+def _block_rows(docs: pa.RecordBatch) -> pa.RecordBatch:
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("bucket", "ascending"), ("id", "ascending")]))
+    bucket, ids, length, words, times = docs.columns
+    doc = np.repeat(np.arange(len(docs)), pc.list_value_length(words).to_numpy())
+    coded = words.flatten().dictionary_encode()
+    in_order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(in_order), np.int64)
+    rank[in_order] = np.arange(len(in_order))
+    token = rank[coded.indices.to_numpy()]
+    # A document has a word once, and documents are in order of their buckets: postings by word, bucket and document.
+    order = np.argsort(token * len(docs) + doc)
+    token, doc, tf = token[order], doc[order], times.flatten().to_numpy()[order]
+    here, size = bucket.to_numpy()[doc], length.to_numpy()[doc]
+    starts = np.append(0, np.flatnonzero((token[1:] != token[:-1]) | (here[1:] != here[:-1])) + 1)
+    ends = np.append(starts, len(token))
+    postings = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf), pa.array(size)], ["id", "tf", "length"])
+    return pa.RecordBatch.from_arrays(
+        [coded.dictionary.take(pa.array(in_order[token[starts]])), pa.array(here[starts]), pa.array(np.diff(ends)),
+         pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(size, starts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings)],
+        ["token", "bucket", "n", "max_tf", "min_length", "postings"])
 
 
 def _write_docs(root: str, docs: DataFrame) -> tuple[str, DataFrame]:
@@ -96,22 +156,33 @@ def _write_docs(root: str, docs: DataFrame) -> tuple[str, DataFrame]:
     return folder, docs.sparkSession.read.parquet(f"{root}/{folder}/docs")
 
 
-def _write(root: str, folder: str, seq: int, postings: DataFrame, kept: DataFrame, dead: DataFrame, stats: DataFrame) -> Segment:
-    """A segment of postings (token, id, tf, length), documents (id, length, words) written before, voided ids and counts of words."""
-    blocks = _bucketed(postings, kept).groupBy("token", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"),
-        F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("postings"))  # a bucket's documents at most
-    blocks.sort("token", "bucket").write.parquet(f"{root}/{folder}/blocks")
-    dead.write.parquet(f"{root}/{folder}/dead")
-    stats.write.parquet(f"{root}/{folder}/stats")
-    return Segment(folder, seq, kept.count())
+def _write_blocks(root: str, folder: str, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """The blocks of a segment, sorted by ranges of words, from its documents (id, length, words, times) or their postings
+    (token, id, tf, length).  Returned as written.
+
+    Whole documents move to their bucket, where their words are put together; of postings, one a row, none move.
+    """
+    spark = docs.sparkSession
+    bucket, ranges = _buckets(docs)
+    if postings is None:
+        dealt = docs.select(bucket.alias("bucket"), "id", "length", "words", "times").repartition(ranges, "bucket").sortWithinPartitions("bucket")
+        kind = docs.schema["id"].dataType.simpleString()
+        made = "token string, bucket long, n long, max_tf long, min_length int"
+        blocks = dealt.mapInArrow(_blocks, f"{made}, postings array<struct<id:{kind},tf:long,length:int>>")
+    else:
+        blocks = postings.withColumn("bucket", bucket).groupBy("token", "bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"),
+            F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("postings"))  # a bucket's documents at most
+    blocks = blocks.repartitionByRange(ranges, "token", "bucket").sortWithinPartitions("token", "bucket")
+    blocks.write.parquet(f"{root}/{folder}/blocks")
+    return spark.read.parquet(f"{root}/{folder}/blocks")
 
 
-def _counts(docs: DataFrame, sign: int) -> DataFrame:
-    """Documents of each word, and under the empty word all documents and their length."""
-    words = docs.select(F.explode("words").alias("token"), F.lit(0).alias("length")).unionByName(
-        docs.select(F.lit("").alias("token"), F.col("length").cast("int").alias("length")))
-    return words.groupBy("token").agg((sign * F.count(F.lit(1))).alias("df"), (sign * F.sum("length")).cast("long").alias("total"))
+def _counts(words: DataFrame, docs: DataFrame, sign: int = 1) -> DataFrame:
+    """From words with their numbers of documents (token, n), and documents: those of each word, and under the empty word all documents and their length."""
+    every = docs.select(F.lit("").alias("token"), F.lit(1).cast("long").alias("n"), F.col("length").cast("long").alias("length"))
+    rows = words.select("token", F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("length")).unionByName(every)
+    return rows.groupBy("token").agg((sign * F.sum("n")).alias("df"), (sign * F.sum("length")).alias("total"))
 
 
 def update(spark: SparkSession, root: str, changed: DataFrame, columns: Sequence[str], removed: DataFrame | None = None) -> Segment:
@@ -124,22 +195,22 @@ def update(spark: SparkSession, root: str, changed: DataFrame, columns: Sequence
     """
     found = segments(spark, root)
     seq = max((s.seq for s in found), default=-1) + 1
-    split = _split_docs(changed, columns)
-    counts = F.filter("_c", lambda c: c["token"] != "")
-    counted = _counted_rows(split, F.col("_p")).select("id", F.col("length").cast("int").alias("length"), counts.alias("_c"))
     # Texts are cut into words once; all else comes from what is written here.
-    folder, docs = _write_docs(root, counted.select("id", "length", F.col("_c.token").alias("words"), F.col("_c.tf").alias("times")))
-    each = F.explode(F.arrays_zip("words", "times")).alias("_c")
-    postings = docs.select("id", "length", each).select(F.col("_c.words").alias("token"), "id", "length", F.col("_c.times").alias("tf"))
+    folder, docs = _write_docs(root, _words(changed, columns))
+    dead = f"{root}/{folder}/dead"
+    stats = _counts(_write_blocks(root, folder, docs).select("token", "n"), docs)
     if not found:
-        empty = changed.filter("id IS NOT NULL").select("id").limit(0)
-        made = _write(root, folder, seq, postings, docs, empty.withColumn("until", F.lit(seq).cast("long")), _counts(docs, 1))
+        docs.select("id", F.lit(seq).cast("long").alias("until")).limit(0).write.parquet(dead)
     else:
-        gone = changed.select("id") if removed is None else changed.select("id").unionByName(removed.select("id"))
-        old = _alive(_tables(spark, root, "docs", found), _voided(spark, root, found)).join(gone.distinct(), "id", "left_semi")
-        old = _cut(old.select("id", "length", "words"))
-        stats = _counts(docs, 1).unionByName(_counts(old, -1)).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-        made = _write(root, folder, seq, postings, docs, old.select("id", F.lit(seq).cast("long").alias("until")), stats)
+        gone = docs.select("id") if removed is None else docs.select("id").unionByName(removed.select("id"))
+        old = _alive(_tables(spark, root, "docs", found), _voided(spark, root, found))
+        old.select("id").join(_few(gone.distinct()), "id", "left_semi").select("id", F.lit(seq).cast("long").alias("until")).write.parquet(dead)
+        # The words of documents are read where these go only.
+        old = old.join(small_side(spark.read.parquet(dead).select("id"), GONE_ROWS, MAX_QUERY_BYTES), "id", "left_semi")
+        less = _counts(old.select(F.explode("words").alias("token"), F.lit(1).alias("n")), old, -1)
+        stats = stats.unionByName(less).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    stats.write.parquet(f"{root}/{folder}/stats")
+    made = Segment(folder, seq, docs.count())
     _publish(spark, root, [*found, made])
     return made
 
@@ -169,18 +240,21 @@ def merge(spark: SparkSession, root: str, fan: int = FAN) -> int:
 
 def _merge(spark: SparkSession, root: str, found: list[Segment], merged: list[Segment], rest: list[Segment]) -> None:
     seq = max(s.seq for s in merged)
-    voided = _cut(_voided(spark, root, found))
-    docs = _alive(_tables(spark, root, "docs", merged), voided).select("id", "length", "words")
-    postings = _tables(spark, root, "blocks", merged).select("token", "seq", F.explode("postings").alias("p")).select(
-        "token", "seq", "p.id", "p.tf", "p.length")
-    postings = _alive(postings, voided).drop("seq")
+    voided = _voided(spark, root, found)
+    docs = _alive(_tables(spark, root, "docs", merged), voided)
+    # Segments of before have words alone, how often a document has them is in their blocks.
+    timed = all("times" in spark.read.parquet(f"{root}/{s.folder}/docs").columns for s in merged)
+    postings = None if timed else _alive(_tables(spark, root, "blocks", merged).select("token", "seq", F.explode("postings").alias("p")).select(
+        "token", "seq", "p.id", "p.tf", "p.length"), voided).drop("seq")
     oldest = min((s.seq for s in rest), default=None)
     dead = _tables(spark, root, "dead", merged).select("id", "until")
     dead = dead.limit(0) if oldest is None else dead.filter(F.col("until") > oldest)
     stats = _tables(spark, root, "stats", merged).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    folder, kept = _write_docs(root, docs)
-    made = _write(root, folder, seq, postings, kept, dead, stats.filter("df <> 0 OR total <> 0 OR token = ''"))
-    _publish(spark, root, [*rest, made])
+    folder, kept = _write_docs(root, docs.select("id", "length", "words", *(["times"] if timed else [])))
+    _write_blocks(root, folder, kept, postings)
+    dead.write.parquet(f"{root}/{folder}/dead")
+    stats.filter("df <> 0 OR total <> 0 OR token = ''").write.parquet(f"{root}/{folder}/stats")
+    _publish(spark, root, [*rest, Segment(folder, seq, kept.count())])
 
 
 def _gain(idf: Column, tf: Column, length: Column, mean: Column) -> Column:
@@ -206,20 +280,24 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int, *, allowe
     known = terms.join(stats.filter("token <> '' AND _df > 0"), "token").select(
         "query_id", "token", "n_terms", F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("_idf"))
     weighted = _cut(known)
-    blocks = _tables(spark, root, "blocks", found)
+    # The blocks are gone through once.  Those of words that are asked for are kept, dealt by bucket, as a word may have many.
+    blocks = _cut(_tables(spark, root, "blocks", found).join(hint(weighted.select("token").distinct()), "token", "left_semi").select(
+        "seg", "seq", "bucket", "token", "n", "max_tf", "min_length", *[F.col(f"postings.{c}").alias(c) for c in ("id", "tf", "length")]).repartition("seg", "bucket"))
     bound = _gain(F.col("_idf"), F.col("max_tf"), F.col("min_length"), mean)
-    # Without the postings: these columns aren't read here.
     spots = blocks.select("seg", "seq", "bucket", "token", "n", "max_tf", "min_length").join(hint(weighted), "token").groupBy(
         "query_id", "n_terms", "seg", "seq", "bucket").agg(F.count(F.lit(1)).alias("_have"), F.sum(bound).alias("_bound"), F.sum("n").alias("_n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("_bound"), "seg", "bucket")
     spots = _cut(spots.filter("_have = n_terms").withColumn("_place", F.row_number().over(order)))
-    voided = _cut(_voided(spark, root, found))
+    voided = _voided(spark, root, found)
 
     def scored(chosen: DataFrame) -> DataFrame:
-        picked = chosen.select("query_id", "seg", "seq", "bucket").join(weighted, "query_id")
-        small = F.broadcast if is_small(picked) else (lambda df: df)
-        rows = blocks.select("seg", "bucket", "token", "postings").join(small(picked), ["seg", "bucket", "token"])
-        rows = rows.select("query_id", "n_terms", "seg", "seq", "token", "_idf", F.explode("postings").alias("p"))
+        places = chosen.select("query_id", "seg", "bucket")
+        if is_small(places, GONE_ROWS, MAX_QUERY_BYTES):
+            # Words and places travel, so that no block is shuffled.
+            rows = blocks.drop("n").join(hint(weighted), "token").join(F.broadcast(places), ["query_id", "seg", "bucket"])
+        else:
+            rows = blocks.drop("n").join(places.join(hint(weighted), "query_id"), ["seg", "bucket", "token"])
+        rows = rows.select("query_id", "n_terms", "seg", "seq", "token", "_idf", F.explode(F.arrays_zip("id", "tf", "length")).alias("p"))
         gain = _gain(F.col("_idf"), F.col("p.tf"), F.col("p.length"), mean)
         hits = rows.groupBy("query_id", "n_terms", "seg", "seq", F.col("p.id").alias("id")).agg(
             F.array_sort(F.collect_list(F.struct("token", gain.alias("gain")))).alias("_gains")).filter(F.size("_gains") == F.col("n_terms"))
